@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE_CLASS
+
 # --- Fixed values ---
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 SERIAL_EPOCH = "1899-12-30"
@@ -32,7 +34,7 @@ def day_first_all(text: Column) -> Column:
 
 def worded_date(text: Column) -> Column:
     """First ``20 августа 2026`` in a text as a date."""
-    shape = "(?iu)(\\d{1,2})\\s+([а-я]+)\\s+(\\d{4})"
+    shape = f"(?iu)(\\d{{1,2}}){SPACE_CLASS}+([а-я]+){SPACE_CLASS}+(\\d{{4}})"
     day, word, year = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(word))
     return F.when(month > 0, _ymd(year, month.cast("string"), day))

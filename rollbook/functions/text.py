@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: they decide ids and search keys, so they are stated exactly. ---
 QUOTE_CHARS = "«»“”„‟\"‘’‚‛'"
-SPACE_CHARS = "\t\n\u000b\u000c\r                  　﻿"
+SPACE_CHARS = (
+    "\t\n\u000b\u000c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 CYRILLIC_I = "і"
 ID_LENGTH = 12
 # ----------------------------------------------------------------------------------
@@ -16,8 +19,9 @@ SPACE_CLASS = f"[{SPACE_CHARS}]"
 LINE_SPACE_CLASS = "[" + SPACE_CHARS.replace("\n", "") + "]"
 
 # 'İ' grows when lowered and 'Σ' lowers by context; both go round through single characters.
-LOWER_GUARD = ("İΣ", "σ")
-FOLD_FROM = "ёi" + QUOTE_CHARS + SPACE_CHARS + ""
+KEPT = "\ue000"  # stands for a character that lowering must not touch
+LOWER_GUARD = ("İΣ", KEPT + "σ")
+FOLD_FROM = "ёi" + QUOTE_CHARS + SPACE_CHARS + KEPT
 FOLD_TO = "е" + CYRILLIC_I + '"' * len(QUOTE_CHARS) + " " * len(SPACE_CHARS) + "İ"
 
 
@@ -33,7 +37,7 @@ def normalize_compact(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Multi-line cell: no CR or NBSP, no blank tails, at most one empty line, trimmed lines."""
-    t = F.translate(text, " \r", " ")
+    t = F.translate(text, "\u00a0\r", " ")
     t = F.regexp_replace(t, "[ \\t]+\\n", "\n")
     t = F.regexp_replace(t, "\\n{3,}", "\n\n")
     t = F.regexp_replace(t, f"(?md)^{LINE_SPACE_CLASS}+|{LINE_SPACE_CLASS}+$", "")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "rollbook") -> SparkSession:
@@ -45,7 +45,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df):
-    """Reliable checkpoint in the shared folder, so lost executors never change a row's partition."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage, so a lost executor never changes which row got which number, and later reads of the
+    stage still prune columns and push filters down.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
