@@ -170,20 +170,20 @@ def pair_edits(gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[C
     degree = edges.groupBy("old_id").agg(F.count(F.lit(1)).alias("_degree"))
     open_ends = degree.filter(F.col("_degree") <= max_pairs).select("old_id")
     kept = edges.join(F.broadcast(open_ends), "old_id")
+
+    def unambiguous(rows: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        pairs = []
+        for (_, old_id), group in rows.groupby(["old_ord", "old_id"], sort=True):
+            free = [n for n in group["new_id"] if n not in used]
+            if len(free) == 1:
+                used.add(free[0])
+                pairs.append((old_id, free[0]))
+        return pd.DataFrame(pairs, columns=["old_id", "new_id"])
+
     types = dict(kept.dtypes)
     schema = f"old_id {types['old_id']}, new_id {types['new_id']}"
-    return kept.groupBy(F.lit(1).alias("_all")).applyInPandas(_unambiguous_pairs, schema)
-
-
-def _unambiguous_pairs(edges: pd.DataFrame) -> pd.DataFrame:
-    used: set = set()
-    pairs = []
-    for (_, old_id), group in edges.sort_values(["old_ord", "new_id"]).groupby(["old_ord", "old_id"], sort=True):
-        free = [n for n in group["new_id"] if n not in used]
-        if len(free) == 1:
-            used.add(free[0])
-            pairs.append((old_id, free[0]))
-    return pd.DataFrame(pairs, columns=["old_id", "new_id"])
+    return kept.groupBy(F.lit(1).alias("_all")).applyInPandas(unambiguous, schema)
 
 
 # Edit rules: which removed and new records are one record, with the keys that any such pair must share.
