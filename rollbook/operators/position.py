@@ -25,16 +25,14 @@ def dense_position(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (
         .withColumn("_mid", F.monotonically_increasing_id()),
         "positions",
     ).withColumn("_part", F.shiftright("_mid", _ROW_BITS))
-    sizes = rows.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    sizes = rows.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_start"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = rows["_part"] == starts["_part"]
+    s = starts.select(F.col("_part").alias("_s_part"), "_start", "_before", *[F.col(c).alias(f"_s_{c}") for c in by])
+    same = F.col("_part") == F.col("_s_part")
     for c in by:
-        same = same & rows[c].eqNullSafe(starts[c])
-    placed = rows.join(starts.select("_part", "_first", "_before", *by), same)
-    return placed.select(
-        *[rows[c] for c in df.columns], (F.col("_before") + F.col("_mid") - F.col("_first")).alias(name)
-    )
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return rows.join(s, same).select(*df.columns, (F.col("_before") + F.col("_mid") - F.col("_start")).alias(name))
 
 
 def with_previous(df: DataFrame, cols: Sequence[str], order: Sequence[Column], by: Sequence[str], prefix: str = "prev_") -> DataFrame:
@@ -43,9 +41,9 @@ def with_previous(df: DataFrame, cols: Sequence[str], order: Sequence[Column], b
     before = placed.select(
         *[F.col(c).alias(f"_k_{c}") for c in by], (F.col("_pos") + 1).alias("_k_pos"), *[F.col(c).alias(prefix + c) for c in cols]
     )
-    match = placed["_pos"] == before["_k_pos"]
+    match = F.col("_pos") == F.col("_k_pos")
     for c in by:
-        match = match & placed[c].eqNullSafe(before[f"_k_{c}"])
+        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return placed.join(before, match, "left").select(*df.columns, "_pos", *[prefix + c for c in cols])
 
 

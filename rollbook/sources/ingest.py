@@ -183,7 +183,7 @@ def anchor_segments(docs: DataFrame, key: str, body: str, rules: AnchorRules = A
     entry date after it. The cells since the previous record are its head: number, name, transliteration,
     citizenship. Leftovers are counted and never given to a neighbour. Works on arrays inside one document.
     """
-    blank = F.translate(F.col(body), " \r", " ")
+    blank = F.translate(F.col(body), "\u00a0\r", " ")
     cells = F.transform(F.split(blank, "\t"), lambda c: F.trim(F.substring(c, 1, MAX_CELL)))
     at = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     is_anchor = lambda c: (F.length(c) >= rules.min_len) & c.rlike(rules.word) & c.rlike(rules.context)
