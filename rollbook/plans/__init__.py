@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["merging", "catalog", "calendar", "news"]
+MODULES = ["merging", "catalog", "calendar", "news", "loose", "streams"]
 
 
 def all_queries():
