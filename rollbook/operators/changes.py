@@ -105,51 +105,76 @@ def digest_block(number: Column, name: Column) -> Column:
     return F.concat(number.cast("string"), F.lit(". "), cut_title(name, TITLE_MAX))
 
 
-def digest_pack(blocks: DataFrame, header_len: int, next_header_len: int, limit: int = MESSAGE_LIMIT, chunk: int = 8192) -> DataFrame:
+def digest_pack(blocks: DataFrame, header_len: int, next_header_len: int, limit: int = MESSAGE_LIMIT, chunk: int = 65_536) -> DataFrame:
     """Number the message each block goes into: greedy, in order, a new message when a block would not fit.
 
-    ``blocks`` has ``digest, pos, size`` with 0-based positions. A digest may be of any length: where the message
-    that starts at a block ends is found inside short overlapping chunks (a message holds few blocks), then the
-    starts reachable from the first block are found by doubling the jumps. A block over the limit still gets a
-    message of its own.
+    ``blocks`` has ``digest, pos, size`` with 0-based positions. A digest may be of any length: it is cut into
+    chunks, and each chunk works out, for every block a message could begin with at its start, where the first
+    message of the next chunk would begin. Following those exits (by doubling) gives the true entry of each chunk,
+    from which the chunk numbers its messages. A block over the limit still gets a message of its own.
     """
     ahead = limit // SEPARATOR + 2  # no message can hold more blocks
     if ahead >= chunk:
         raise ValueError("chunk must be longer than the longest message")
     home = F.floor(F.col("pos") / chunk)
-    own = blocks.withColumn("chunk", home)
-    copies = blocks.filter((F.col("pos") % chunk < ahead) & (F.col("pos") >= chunk)).withColumn("chunk", home - 1)
+    own = blocks.select("digest", "pos", "size", home.alias("chunk"))
+    early = blocks.filter((F.col("pos") % chunk < ahead) & (F.col("pos") >= chunk))
+    rows = staged(own.unionByName(early.select("digest", "pos", "size", (home - 1).alias("chunk"))), "chunks")
     digest_type = dict(blocks.dtypes)["digest"]
 
-    def jumps(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def next_starts(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and, for a message that begins there, the index of the block after it."""
         rows = rows.sort_values("pos")
-        pos = rows["pos"].to_numpy()
-        ends = np.cumsum(rows["size"].to_numpy() + SEPARATOR)
-        before = ends - rows["size"].to_numpy() - SEPARATOR
+        pos, widths = rows["pos"].to_numpy(), rows["size"].to_numpy() + SEPARATOR
+        ends = np.cumsum(widths)
         room = np.where(pos == 0, limit - header_len, limit - next_header_len)
-        stop = np.searchsorted(ends, before + room, side="right")
-        stop = np.maximum(stop, np.arange(len(pos)) + 1)
-        mine = pos // chunk == key[1]
-        return pd.DataFrame({"digest": rows["digest"][mine], "pos": pos[mine], "next": pos[0] + stop[mine]})
-
-    hop = own.unionByName(copies).groupBy("digest", "chunk").applyInPandas(jumps, f"digest {digest_type}, pos long, next long")
-    hop = staged(hop, "hops")
-    starts, jump, known = staged(hop.filter("pos = 0").select("digest", "pos"), "starts"), hop, -1
+        after = np.searchsorted(ends, ends - widths + room, side="right")
+        return pos, np.maximum(after, np.arange(len(pos)) + 1)
+
+    def exits(key, rows: pd.DataFrame) -> pd.DataFrame:
+        pos, after = next_starts(rows)
+        inside = int((pos // chunk == key[1]).sum())
+        out = after.copy()
+        for i in range(inside - 1, -1, -1):
+            if after[i] < inside:
+                out[i] = out[after[i]]
+        doors = 1 if key[1] == 0 else min(ahead, inside)
+        return pd.DataFrame({"digest": rows["digest"].iloc[0], "pos": pos[:doors], "next": pos[0] + out[:doors]})
+
+    jump = staged(rows.groupBy("digest", "chunk").applyInPandas(exits, f"digest {digest_type}, pos long, next long"), "exits")
+    doors = jump.select("digest", "pos")
+    entries, known = jump.filter("pos = 0").select("digest", "pos"), -1
     while True:
-        # reach = all starts so far plus the block each of them jumps to; then the jumps double
-        reach = starts.join(jump, ["digest", "pos"]).select("digest", F.col("next").alias("pos"))
-        ends_inside = reach.join(hop.select("digest", "pos"), ["digest", "pos"], "left_semi")
-        starts = staged(starts.unionByName(ends_inside).distinct(), "starts")
-        found = starts.count()
+        entries = staged(entries, "entries")
+        found = entries.count()
         if found == known:
             break
         known = found
+        reached = entries.join(jump, ["digest", "pos"]).select("digest", F.col("next").alias("pos")).join(doors, ["digest", "pos"], "left_semi")
+        entries = entries.unionByName(reached).distinct()
         far = jump.select("digest", F.col("pos").alias("next"), F.col("next").alias("far"))
-        jump = staged(jump.join(far, ["digest", "next"]).select("digest", "pos", F.col("far").alias("next")), "hops")
-    messages = dense_position(starts, [F.col("pos")], by=["digest"], name="message")
-    spans = messages.join(hop, ["digest", "pos"])
-    inside = F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos")
-    return spans.select("digest", "message", inside).join(blocks, ["digest", "pos"])
+        jump = staged(jump.join(far, ["digest", "next"]).select("digest", "pos", F.col("far").alias("next")), "exits")
+
+    def number(key, rows: pd.DataFrame) -> pd.DataFrame:
+        pos, after = next_starts(rows)
+        inside = int((pos // chunk == key[1]).sum())
+        entry = rows["entry"].iloc[0]
+        local = np.full(inside, -1, dtype=np.int64)  # -1: still in the last message of the chunk before
+        i, n = (inside if pd.isna(entry) else int(entry - pos[0])), 0
+        while i < inside:
+            local[i : after[i]] = n
+            i, n = after[i], n + 1
+        return pd.DataFrame({"digest": rows["digest"].iloc[0], "chunk": key[1], "pos": pos[:inside], "local": local})
+
+    entry = entries.select("digest", F.col("pos").alias("entry"), F.floor(F.col("pos") / chunk).alias("chunk"))
+    numbered = rows.join(entry, ["digest", "chunk"], "left").groupBy("digest", "chunk").applyInPandas(
+        number, f"digest {digest_type}, chunk long, pos long, local long")
+    numbered = staged(numbered, "numbered")
+    begun = numbered.groupBy("digest", "chunk").agg((F.max("local") + 1).alias("n"))
+    earlier = Window.partitionBy("digest").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    begun = begun.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    messages = numbered.join(begun, ["digest", "chunk"]).select("digest", "pos", (F.col("before") + F.col("local")).alias("message"))
+    return blocks.join(messages, ["digest", "pos"])
 
 
 def distinct_total(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spelling import edit_budget, query_tokens, token_variants
 from ..functions.text import normalize
-from ..session import staged
+from ..session import spread, staged
 
 LISTS_DEFAULT = "m"
 INLINE_VARIANTS = 96   # up to this many variants are tested in one scan without any join
@@ -133,7 +133,7 @@ def similar_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     left = asked.select("token", "k", F.explode(_deletions(F.col("token"), F.col("k"))).alias("rest"))
     n = F.length("word")
     reach = F.when(n >= 6, 2).when(n >= 4, 1).otherwise(0)  # any token that may reach a word this long
-    right = words.withColumn("reach", reach).filter("reach > 0").select("word", F.explode(_deletions(F.col("word"), F.col("reach"))).alias("rest"))
+    right = spread(words, "word").withColumn("reach", reach).filter("reach > 0").select("word", F.explode(_deletions(F.col("word"), F.col("reach"))).alias("rest"))
     near = F.call_function("levenshtein", F.col("token"), F.col("word"), F.col("k")) >= 0
     length_band = F.abs(F.length("token") - F.length("word")) <= F.col("k")
     return right.join(left, "rest").filter((F.col("token") != F.col("word")) & length_band).filter(near).select("token", "word").distinct()
@@ -228,13 +228,15 @@ def match_ranges(texts: DataFrame, variants: DataFrame) -> DataFrame:
     ``texts`` has ``id, q, text`` of matching rows. Occurrences of one variant never overlap each other; ranges
     that overlap or touch are merged. Both windows stay inside one text.
     """
-    gaps = F.split(normalize(F.col("text")), F.concat(F.lit("\\Q"), F.col("variant"), F.lit("\\E")), F.lit(-1))
-    pieces = texts.join(variants.filter(F.col("variant") != "").select("q", "variant").distinct(), "q").select(
-        "id", "q", "variant", F.length("variant").alias("width"), F.size(gaps).alias("n"), F.posexplode(gaps).alias("i", "gap")
-    )
-    so_far = Window.partitionBy("id", "q", "variant").orderBy("i")
-    start = F.sum(F.length("gap")).over(so_far) + F.col("i") * F.col("width")
-    hits = pieces.withColumn("start", start).filter("i < n - 1").withColumn("stop", F.col("start") + F.col("width"))
+    literal = F.concat(F.lit("\\Q"), F.col("variant"), F.lit("\\E"))
+    asked = variants.filter(F.col("variant") != "").select("q", "variant").distinct()
+    rows = texts.select("id", "q", normalize(F.col("text")).alias("h")).join(asked, "q").filter(F.contains("h", "variant"))
+    gaps = F.transform(F.split("h", literal, F.lit(-1)), lambda p: F.length(p))
+    rows = rows.select("id", "q", "variant", F.length("variant").alias("width"), F.posexplode(gaps).alias("i", "gap"))
+    same = Window.partitionBy("id", "q", "variant").orderBy("i")
+    start = F.sum("gap").over(same) + F.col("i") * F.col("width")
+    hits = rows.withColumns({"start": start, "more": F.lead("gap").over(same)}).filter("more is not null")
+    hits = hits.withColumn("stop", F.col("start") + F.col("width"))
     by_start = Window.partitionBy("id", "q").orderBy("start", "stop")
     reach = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "rollbook") -> SparkSession:
@@ -20,6 +21,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -54,3 +56,25 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add costly columns so that each is computed once per row.
+
+    They pass through a generator of one element, which later filters are not pushed through; otherwise every
+    filter on a derived column would repeat the whole derivation.
+    """
+    return df.select(*[F.col(c) for c in df.columns if c not in cols], F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, for heavy work after a shuffle whose small output would be coalesced."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores is spread over them; a wide scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

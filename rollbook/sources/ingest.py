@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import any_date, day_first_all, day_first_date, exact_or_before, serial_date, worded_date
+from ..session import settle
 from ..functions.text import blank_if_no_data, clean, extract_codes, normalize_compact, one_line, stable_id, truncated
 
 # --- Fixed values: shapes and limits of the sources ---
@@ -45,7 +46,8 @@ def text_records(docs: DataFrame, key: str, body: str, record_sep: str = "\t\n",
     """
     quoted = lambda sep: "\\Q" + sep + "\\E"
     raw = docs.select(key, F.posexplode(F.split(body, quoted(record_sep))).alias("rec_no", "raw"))
-    rows = raw.withColumn("cells", _drop_blank_tail(F.transform(F.split("raw", quoted(cell_sep)), clean)))
+    rows = settle(raw, cells=F.transform(F.split("raw", quoted(cell_sep)), clean)).drop("raw")
+    rows = settle(rows, cells=_drop_blank_tail(F.col("cells")))
     rows = rows.filter(F.size("cells") >= 2).filter(~F.get("cells", F.lit(0)).rlike(heads[0]))
     first, rest = F.get("cells", F.lit(0)), F.slice("cells", F.lit(2), F.size("cells") - 1)
     moved = (F.size("cells") == 2) & (F.length(first) > LONG_FIRST_CELL)
@@ -125,7 +127,8 @@ def rule_filtered_ingest(rows: DataFrame, keep: list[str], excluded: str = EXCLU
 
 def validated_rows(raw: DataFrame, keep: list[str], json: str = "raw", name_rule: str = CYRILLIC) -> DataFrame:
     """JSON entries to typed records, every field checked and cut; ``valid`` tells rejects apart."""
-    entry = F.try_parse_json(json)
+    raw = settle(raw, _entry=F.try_parse_json(json))
+    entry = F.col("_entry")
     type_of = lambda c: F.schema_of_variant(F.try_variant_get(entry, f"$.{c}", "variant"))
     as_text = lambda c: F.try_variant_get(entry, f"$.{c}", "string")
     text = lambda c, n: truncated(F.when(type_of(c) == "STRING", as_text(c)), n)
@@ -195,9 +198,9 @@ def anchor_segments(docs: DataFrame, key: str, body: str, rules: AnchorRules = A
         end = F.coalesce(end, i + 2)
         return F.struct(i.alias("i"), born.alias("born"), entered.alias("entered"), end.alias("end"))
 
-    docs = docs.select(key, cells.alias("cells")).filter(F.size("cells") >= 2)
+    docs = settle(docs.select(key, body), cells=cells).drop(body).filter(F.size("cells") >= 2)
     places = F.filter(F.sequence(F.lit(1), F.size("cells") - 1), lambda i: is_anchor(at(i)))
-    docs = docs.withColumn("anchors", F.transform(places, anchor))
+    docs = settle(docs, anchors=F.transform(places, anchor))
     # an end reaches at most three cells past its anchor, so the last four anchors decide where a head begins
     prev = F.transform("anchors", lambda a, t: F.coalesce(
         F.array_max(F.transform(F.slice("anchors", F.greatest(t - 3, F.lit(1)), F.least(t, F.lit(4))), lambda b: b["end"])), F.lit(-1)))
@@ -208,21 +211,21 @@ def anchor_segments(docs: DataFrame, key: str, body: str, rules: AnchorRules = A
     spots = F.when(stop > F.col("prev"), F.sequence(F.col("prev") + 1, stop)).otherwise(F.array().cast("array<int>"))
     full = lambda k: (at(k) != "") & ~at(k).rlike(DASHES)
     void_number = lambda k: at(k).rlike(NUMBER) & at(k + 1).rlike(DASHES)
-    rows = rows.withColumn("spots", F.filter(spots, full))
-    rows = rows.withColumn("excluded", F.size(F.filter("spots", void_number)))
-    rows = rows.withColumn("head", F.transform(F.filter("spots", lambda k: ~void_number(k)), at))
+    rows = settle(rows, spots=F.filter(spots, full))
+    head = F.transform(F.filter("spots", lambda k: ~void_number(k)), at)
+    rows = settle(rows, excluded=F.size(F.filter("spots", void_number)), head=head)
     numbers = F.filter(F.transform("head", lambda c, k: F.when(c.rlike(NUMBER), k)), lambda k: k.isNotNull())
-    rows = rows.withColumn("num_at", F.coalesce(F.array_max(numbers), F.lit(-1)))
+    rows = settle(rows, num_at=F.coalesce(F.array_max(numbers), F.lit(-1)))
     after = F.slice("head", F.col("num_at") + 2, F.size("head"))
-    rows = rows.withColumn("after", after).withColumn("rest", F.when(F.size("after") > 3, F.slice("after", -3, 3)).otherwise(F.col("after")))
+    rows = settle(rows, after=after)
+    rows = settle(rows, rest=F.when(F.size("after") > 3, F.slice("after", -3, 3)).otherwise(F.col("after")))
     letters = lambda c, shape: F.regexp_count(c, F.lit(shape))
     latin = lambda c: letters(c, LATIN) > letters(c, CYRILLIC)
-    rows = rows.withColumn("lat", F.filter("rest", latin))
-    rows = rows.withColumn("cyr", F.filter("rest", lambda c: c.rlike(CYRILLIC) & ~latin(c)))
+    rows = settle(rows, lat=F.filter("rest", latin), cyr=F.filter("rest", lambda c: c.rlike(CYRILLIC) & ~latin(c)))
     like_name = lambda c: (F.length(c) <= rules.max_name) & c.rlike(rules.name_shape) & c.rlike("\\S\\s+\\S") & ~c.rlike(rules.not_name)
     last_like = F.array_max(F.filter(F.transform("cyr", lambda c, k: F.when(like_name(c), k)), lambda k: k.isNotNull()))
     first_other = F.array_min(F.filter(F.transform("cyr", lambda c, k: F.when(~c.rlike(rules.not_name), k)), lambda k: k.isNotNull()))
-    rows = rows.withColumn("name_at", F.coalesce(last_like, first_other, F.lit(-1)))
+    rows = settle(rows, name_at=F.coalesce(last_like, first_other, F.lit(-1)))
 
     dated = F.col("born") | F.col("entered")
     outcome = F.when(~dated, "unanchored").when(F.col("name_at") < 0, "skipped").otherwise("record")
