@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_hot
+
 MAX_HOPS = 8  # reached by three doublings
 
 
@@ -64,11 +66,11 @@ def link_groups(persons: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataF
 def cross_links(persons: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per linked record: how many records of the other list it is linked to, and the first of them."""
     p, w, groups = link_groups(persons, wanted)
-    from_p = p.join(groups, ["name", "year"]).select(
+    from_p = join_hot(p, groups, ["name", "year"], "id").select(
         F.lit("p").alias("list"), "id", F.col("wanted").alias("links"), F.col("first_wanted").alias("first_link")
     )
     from_w = (
-        w.join(groups, ["name", "year"]).groupBy("id")
+        join_hot(w, groups, ["name", "year"], "id").groupBy("id")
         .agg(F.sum("persons").alias("links"), F.min("first_person").alias("first_link"))
         .select(F.lit("w").alias("list"), "id", "links", "first_link")
     )

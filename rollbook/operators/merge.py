@@ -157,7 +157,7 @@ def pair_edits(gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[C
     if max_pairs > PAIRS_CEILING:
         raise ValueError(f"max_pairs is a safeguard, at most {PAIRS_CEILING}")
     few = gone.limit(max_pairs + 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    old = few.filter(F.col("_n") <= max_pairs).drop("_n").alias("o")
+    old = staged(few.filter(F.col("_n") <= max_pairs).drop("_n"), "old").alias("o")  # at most max_pairs rows
     new = fresh.alias("n")
     found = None
     for block in blocks:
@@ -166,7 +166,7 @@ def pair_edits(gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[C
         hits = right.join(F.broadcast(left), F.col("o._key") == F.col("n._key")).filter(rule("o", "n"))
         hits = hits.select(F.col("o.id").alias("old_id"), F.col("o.base_ord").alias("old_ord"), F.col("n.id").alias("new_id"))
         found = hits if found is None else found.unionByName(hits)
-    edges = found.distinct()
+    edges = staged(found.distinct(), "edges")
     degree = edges.groupBy("old_id").agg(F.count(F.lit(1)).alias("_degree"))
     open_ends = degree.filter(F.col("_degree") <= max_pairs).select("old_id")
     kept = edges.join(F.broadcast(open_ends), "old_id")

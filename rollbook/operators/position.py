@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .skew import join_hot
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
@@ -70,4 +71,7 @@ def dict_encode(df: DataFrame, column: str, pos: str, code: str) -> tuple[DataFr
     """Number the distinct values by first appearance; returns the encoded rows and the dictionary."""
     firsts = df.groupBy(column).agg(F.min(pos).alias("_first"))
     words = dense_position(firsts, [F.col("_first")], name=code).select(column, code)
-    return df.join(words, df[column].eqNullSafe(words[column])).drop(words[column]), words
+    known = words.filter(F.col(column).isNotNull())
+    null_code = words.filter(F.col(column).isNull()).select(code).scalar()
+    coded = join_hot(df, known, [column], pos, "left")
+    return coded.withColumn(code, F.coalesce(F.col(code), null_code)).select(*df.columns, code), words

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.spelling import edit_budget, query_tokens, token_variants
 from ..functions.text import normalize
 from ..session import spread, staged
+from .skew import join_hot
 
 LISTS_DEFAULT = "m"
 INLINE_VARIANTS = 96   # up to this many variants are tested in one scan without any join
@@ -88,15 +89,15 @@ def _by_grams(corpus: DataFrame, variants: DataFrame, any_token: bool) -> DataFr
     by_size = [F.when(F.least(F.length("variant"), F.lit(3)) == s, _grams(F.col("variant"), s)) for s in sizes]
     needed = words.select("variant", F.explode(F.coalesce(*by_size)).alias("gram"))
     text_grams = corpus.select("id", F.explode(F.flatten(F.array(*[_grams(F.col("h"), s) for s in sizes]))).alias("gram"))
-    postings = staged(text_grams.join(needed.select("gram").distinct(), "gram", "left_semi"), "postings")
+    postings = staged(join_hot(text_grams, needed.select("gram").distinct(), ["gram"], "id", "left_semi"), "postings")
     weight = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     rarest = (
         needed.join(weight, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
         .groupBy("variant").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
     )
-    candidates = postings.join(rarest, "gram").select("id", "variant")
+    candidates = join_hot(postings, rarest, ["gram"], "id").select("id", "variant")
     holds = corpus.select("id", "h").join(candidates, "id").filter(F.contains("h", "variant")).select("id", "variant")
-    per_token = holds.join(variants, "variant").groupBy("q", "id", "token_no").agg(F.lit(1).alias("one"))
+    per_token = join_hot(holds, variants, ["variant"], "id").groupBy("q", "id", "token_no").agg(F.lit(1).alias("one"))
     hits = per_token.groupBy("q", "id").agg(F.count(F.lit(1)).alias("tokens"))
     if not any_token:
         wanted = variants.select("q", "token_no").distinct().groupBy("q").agg(F.count(F.lit(1)).alias("tokens"))
@@ -114,11 +115,18 @@ def vocabulary(corpus: DataFrame) -> DataFrame:
 
 def _deletions(word: Column, budget: Column) -> Column:
     """The word with up to ``budget`` (0–2) letters left out."""
-    def one(w):
-        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    n = F.length(word)
     none = F.array().cast("array<string>")
-    singles = F.when(budget >= 1, one(word)).otherwise(none)
-    doubles = F.when(budget >= 2, F.flatten(F.transform(singles, one))).otherwise(none)
+
+    def without(i):
+        return F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))
+
+    def without_pair(i):
+        head = F.substr(word, F.lit(1), i - 1)
+        return F.transform(F.sequence(i + 1, n), lambda j: F.concat(head, F.substr(word, i + 1, j - i - 1), F.substr(word, j + 1)))
+
+    singles = F.when(budget >= 1, F.transform(F.sequence(F.lit(1), n), without)).otherwise(none)
+    doubles = F.when(budget >= 2, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), without_pair))).otherwise(none)
     return F.array_distinct(F.concat(F.array(word), singles, doubles))
 
 
@@ -230,7 +238,7 @@ def match_ranges(texts: DataFrame, variants: DataFrame) -> DataFrame:
     """
     literal = F.concat(F.lit("\\Q"), F.col("variant"), F.lit("\\E"))
     asked = variants.filter(F.col("variant") != "").select("q", "variant").distinct()
-    rows = texts.select("id", "q", normalize(F.col("text")).alias("h")).join(asked, "q").filter(F.contains("h", "variant"))
+    rows = join_hot(texts.select("id", "q", normalize(F.col("text")).alias("h")), asked, ["q"], "id").filter(F.contains("h", "variant"))
     gaps = F.transform(F.split("h", literal, F.lit(-1)), lambda p: F.length(p))
     rows = rows.select("id", "q", "variant", F.length("variant").alias("width"), F.posexplode(gaps).alias("i", "gap"))
     same = Window.partitionBy("id", "q", "variant").orderBy("i")

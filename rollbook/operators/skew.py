@@ -1,0 +1,22 @@
+"""Joins on keys that may be hot."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Equi-join where a few keys of ``big`` may hold a large share of its rows.
+
+    Rows of ``big`` carry a salt from ``spread_by`` and ``small`` is repeated per salt, so a hot key is worked on
+    by ``SALTS`` tasks. ``how`` may be inner, left or left_semi. Repeating is cheap where ``small`` has few rows
+    per key; if it fits a broadcast, no shuffle is left to skew.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

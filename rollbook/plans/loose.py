@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..session import widen
 from ..sources import ingest, lists, pages
 from .inputs import sql_compact, sql_date_words, sql_id, sql_lev, table
 from .registry import query
@@ -203,7 +204,7 @@ segs AS (
 
 
 def _anchor_docs(spark, sf):
-    o = table(spark, sf, "orders")
+    o = widen(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey"))
     st, pr = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
     d = F.date_format("o_orderdate", "dd.MM.yyyy")
     article = (100 + F.col("o_custkey") % 800).cast("string")

@@ -74,9 +74,10 @@ def public_projection(rows: DataFrame, allowed: Mapping[str, Sequence[str]], key
     return rows.filter(F.col("list").isin(*allowed)).select("list", key, out.alias("record"))
 
 
-def haystack(names: Sequence[Column], label: Column, place: Column, date: Column) -> Column:
+def haystack(names: Sequence[Column] | Column, label: Column, place: Column, date: Column) -> Column:
     """Search text of a record: its names, the label, the place and the date in words, one per line."""
-    shown = F.array_join(F.filter(F.array(*names), lambda n: n.isNotNull() & (n != "")), "\n")
+    listed = names if isinstance(names, Column) else F.array(*names)
+    shown = F.array_join(F.filter(listed, lambda n: n.isNotNull() & (n != "")), "\n")
     empty = lambda c: F.coalesce(c, F.lit(""))
     return F.concat_ws(
         "\n", normalize_compact(shown), normalize_compact(empty(label)), normalize_compact(empty(place)), date_words(date)

@@ -66,7 +66,8 @@ def stream_once(rows: DataFrame, path: str, since: Column, today: Column, checkp
     spark = rows.sparkSession
 
     def handle(batch: DataFrame, n: int) -> None:
-        before = _read(spark, f"{path}/sent", SENT).filter(F.col("batch") < n)
+        keep_from = F.date_sub(today, changes.KEEP_DAYS)
+        before = _read(spark, f"{path}/sent", SENT).filter((F.col("batch") < n) & (F.col("sent_on") >= keep_from))
         once = batch.dropDuplicates(["id"])
         fresh = changes.select_fresh(once, before.select("id"), since)
         _write_batch(fresh, f"{path}/announced", n)
