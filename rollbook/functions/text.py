@@ -37,16 +37,16 @@ def normalize_compact(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Multi-line cell: no CR or NBSP, no blank tails, at most one empty line, trimmed lines."""
-    t = F.translate(text, "\u00a0\r", " ")
-    t = F.regexp_replace(t, "[ \\t]+\\n", "\n")
+    flat = F.translate(text, "\u00a0\r", " ")
+    t = F.regexp_replace(flat, "[ \\t]+\\n", "\n")
     t = F.regexp_replace(t, "\\n{3,}", "\n\n")
     t = F.regexp_replace(t, f"(?md)^{LINE_SPACE_CLASS}+|{LINE_SPACE_CLASS}+$", "")
-    return strip(t)
+    return strip(F.when(F.contains(flat, F.lit("\n")), t).otherwise(flat))
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only U+0020."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+\\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def one_line(text: Column) -> Column:

@@ -143,17 +143,14 @@ def digest_pack(blocks: DataFrame, header_len: int, next_header_len: int, limit:
 
     jump = staged(rows.groupBy("digest", "chunk").applyInPandas(exits, f"digest {digest_type}, pos long, next long"), "exits")
     doors = jump.select("digest", "pos")
-    entries, known = jump.filter("pos = 0").select("digest", "pos"), -1
-    while True:
-        entries = staged(entries, "entries")
-        found = entries.count()
-        if found == known:
-            break
-        known = found
+    entries = jump.filter("pos = 0").select("digest", "pos")
+    hops = rows.agg(F.max("chunk")).first()[0] or 0  # an exit leads to a later chunk, so a digest has no more hops
+    for i in range(int(hops).bit_length()):
         reached = entries.join(jump, ["digest", "pos"]).select("digest", F.col("next").alias("pos")).join(doors, ["digest", "pos"], "left_semi")
-        entries = entries.unionByName(reached).distinct()
-        far = jump.select("digest", F.col("pos").alias("next"), F.col("next").alias("far"))
-        jump = staged(jump.join(far, ["digest", "next"]).select("digest", "pos", F.col("far").alias("next")), "exits")
+        entries = staged(entries.unionByName(reached).distinct(), "entries")
+        if hops >> (i + 1):
+            far = jump.select("digest", F.col("pos").alias("next"), F.col("next").alias("far"))
+            jump = staged(jump.join(far, ["digest", "next"]).select("digest", "pos", F.col("far").alias("next")), "exits")
 
     def number(key, rows: pd.DataFrame) -> pd.DataFrame:
         pos, after = next_starts(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_compact
 from ..operators import changes, search, stats
 from ..operators.position import dense_position
+from ..session import staged
 from ..sources.lists import list_position, read_list, record_lookup, tagged_union
 from ..sources.publish import public_projection
 from .inputs import (
@@ -119,6 +120,11 @@ def distinct_ordered(spark, sf):
     return table(spark, sf, "documents").select("doc_id", words.alias("words"))
 
 
+def _corpus(spark, sf):
+    """The corpus as a stored table: its search text is built once, however many passes a search needs."""
+    return staged(items(spark, sf), "corpus")
+
+
 # --- search -----------------------------------------------------------------------------------------
 
 @query("query_tokens", f"""WITH l AS (SELECT p_partkey AS q, unnest([1, 2, 3]) AS n, p_name, p_brand, p_type FROM part),
@@ -223,7 +229,7 @@ found AS (SELECT q, id, list, 'exact' AS mode FROM exact UNION ALL SELECT q, id,
 
 @query("staged_search", f"WITH {STAGED_SQL} SELECT q, id, mode FROM found")
 def staged_search(spark, sf):
-    return search.staged_search(items(spark, sf), queries_of(spark, ITEM_QUERIES)).select("q", "id", "mode")
+    return search.staged_search(_corpus(spark, sf), queries_of(spark, ITEM_QUERIES)).select("q", "id", "mode")
 
 
 FACETS_SQL = f"""{STAGED_SQL},
@@ -237,7 +243,7 @@ facets AS (SELECT need.q, coalesce(w.mode, 'exact') AS mode, coalesce(n_all, 0)
 
 @query("search_facets", f"WITH {FACETS_SQL} SELECT * FROM facets")
 def search_facets(spark, sf):
-    return search.search_facets(items(spark, sf), queries_of(spark, ITEM_QUERIES), LISTS, "m")
+    return search.search_facets(_corpus(spark, sf), queries_of(spark, ITEM_QUERIES), LISTS, "m")
 
 
 @query("search_summary", f"""WITH {FACETS_SQL}
@@ -245,7 +251,7 @@ SELECT q, CASE WHEN view_n > 0 AND view_mode = 'fuzzy' THEN 'fuzzy' WHEN n_all =
 CASE WHEN view_n > 0 AND view_mode = 'fuzzy' THEN view_n ELSE n_all END AS n FROM facets
 UNION ALL SELECT 0, 'total', count(*) FROM items WHERE {VISIBLE} AND removed IS NULL""")
 def search_summary(spark, sf):
-    rows = items(spark, sf)
+    rows = _corpus(spark, sf)
     facets = search.search_facets(rows, queries_of(spark, [(0, "  "), *ITEM_QUERIES]), LISTS, "m")
     live = rows.filter(search.visible()).filter("removed is null").agg(F.count(F.lit(1))).scalar()
     return search.search_summary(facets, F.col("q") != 0, live)
@@ -301,7 +307,7 @@ for _name, (_order, _sql) in SORTS.items():
 SELECT f.q, f.id, row_number() OVER (PARTITION BY f.q ORDER BY i.date DESC NULLS LAST, i.pos DESC) AS rank FROM found f JOIN items i USING (id)
 QUALIFY row_number() OVER (PARTITION BY f.q ORDER BY i.date DESC NULLS LAST, i.pos DESC) <= 50""")
 def result_page(spark, sf):
-    hits = search.staged_search(items(spark, sf), queries_of(spark, ITEM_QUERIES))
+    hits = search.staged_search(_corpus(spark, sf), queries_of(spark, ITEM_QUERIES))
     return search.result_page(hits, search.newest_first()).select("q", "id", "rank")
 
 
@@ -317,7 +323,7 @@ SELECT DISTINCT unnest(list_distinct([CASE WHEN series = 'terror' THEN 't' ELSE
 FROM (SELECT i.* FROM found JOIN items i USING (id)) WHERE series <> 'terror'
 UNION SELECT 't' FROM found JOIN items i USING (id) WHERE i.series = 'terror'""")
 def lists_present(spark, sf):
-    return changes.lists_present(search.staged_search(items(spark, sf), queries_of(spark, ITEM_QUERIES)))
+    return changes.lists_present(search.staged_search(_corpus(spark, sf), queries_of(spark, ITEM_QUERIES)))
 
 
 @query("coverage_counts", f"""WITH {ITEMS_SQL}

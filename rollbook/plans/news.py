@@ -125,7 +125,7 @@ def digest_pack(spark, sf):
     fresh = _fresh(spark, sf, "1995-01-01")
     rows = fresh.select(F.col("list").alias("digest"), "id", "added", "ord", (F.length("name") + 60).alias("size"))
     blocks = dense_position(rows, [F.col("added"), F.col("ord"), F.col("id")], by=["digest"])
-    packed = changes.digest_pack(blocks, HEADER_LEN, NEXT_LEN, LIMIT, chunk=2048)
+    packed = changes.digest_pack(blocks, HEADER_LEN, NEXT_LEN, LIMIT, chunk=16_384)
     return packed.select("digest", "id", "pos", "message")
 
 
