@@ -39,7 +39,7 @@ ORDER_COLS = ["n1", "n2", "n5", "other"]
 
 
 def bucket_sql(grain: str, until: str) -> str:
-    sums = ", ".join(f"coalesce(sum({c}), 0) AS {c}" for c in [*ORDER_COLS, "total"])
+    sums = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in [*ORDER_COLS, "total"])
     return f"""{ORDERS_SQL}, cal AS (SELECT CAST(unnest(generate_series(date_trunc('{grain}', min(day)), date_trunc('{grain}', greatest(max(day), DATE '{until}')), INTERVAL {STEP[grain]})) AS DATE) AS start FROM daily),
 bk AS (SELECT start, CAST(start + INTERVAL {STEP[grain]} AS DATE) AS stop, {sums} FROM cal LEFT JOIN daily ON date_trunc('{grain}', day) = start GROUP BY start)"""
 
@@ -91,12 +91,12 @@ def bucket_focus(spark, sf):
 
 
 SUMMARY_SQL = f"""{ORDERS_SQL},
-m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS start, sum(total) AS total FROM daily GROUP BY 1),
-s AS (SELECT sum(total) AS total,
-  coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 30 AND day < DATE '{NOW}' + 1), 0) AS last30,
-  coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 60 AND day < DATE '{NOW}' - 30), 0) AS prev30,
-  coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 365 AND day < DATE '{NOW}' + 1), 0) AS last365,
-  coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 730 AND day < DATE '{NOW}' - 365), 0) AS prev365, min(day) AS first_day,
+m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS start, CAST(sum(total) AS BIGINT) AS total FROM daily GROUP BY 1),
+s AS (SELECT CAST(sum(total) AS BIGINT) AS total,
+  CAST(coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 30 AND day < DATE '{NOW}' + 1), 0) AS BIGINT) AS last30,
+  CAST(coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 60 AND day < DATE '{NOW}' - 30), 0) AS BIGINT) AS prev30,
+  CAST(coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 365 AND day < DATE '{NOW}' + 1), 0) AS BIGINT) AS last365,
+  CAST(coalesce(sum(total) FILTER (day >= DATE '{NOW}' - 730 AND day < DATE '{NOW}' - 365), 0) AS BIGINT) AS prev365, min(day) AS first_day,
   (SELECT start FROM m ORDER BY total DESC, start LIMIT 1) AS peak_start, (SELECT total FROM m ORDER BY total DESC, start LIMIT 1) AS peak_total FROM daily)"""
 
 

@@ -263,7 +263,7 @@ lens AS (SELECT q, id, length(token) AS w, unnest(range(1, len(ps))) AS i, list_
 raw AS (SELECT q, id, list_sum(ls[1:i]) + (i - 1) * w AS s, list_sum(ls[1:i]) + i * w AS e FROM lens),
 flag AS (SELECT *, coalesce(max(e) OVER (PARTITION BY q, id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < s, true)::INT AS opens FROM raw),
 isl AS (SELECT *, sum(opens) OVER (PARTITION BY q, id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM flag)
-SELECT q, id, min(s) AS start, max(e) AS stop FROM isl GROUP BY q, id, island"""
+SELECT q, id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS stop FROM isl GROUP BY q, id, island"""
 
 
 @query("match_ranges", RANGES_SQL)

@@ -228,8 +228,8 @@ def anchor_segments(spark, sf):
 
 
 @query("segment_metrics", f"""WITH {ANCHOR_SQL}
-SELECT o_orderkey, count(*) FILTER (outcome = 'record') AS records, sum(excluded) AS excluded, count(*) FILTER (outcome = 'skipped') AS skipped,
-count(*) FILTER (outcome = 'unanchored') AS unanchored, coalesce(sum(dropped) FILTER (seg > 0), 0) AS leftover, count(*) FILTER (outcome = 'record' AND included = '') AS no_included FROM segs GROUP BY 1""")
+SELECT o_orderkey, count(*) FILTER (outcome = 'record') AS records, CAST(sum(excluded) AS BIGINT) AS excluded, count(*) FILTER (outcome = 'skipped') AS skipped,
+count(*) FILTER (outcome = 'unanchored') AS unanchored, CAST(coalesce(sum(dropped) FILTER (seg > 0), 0) AS BIGINT) AS leftover, count(*) FILTER (outcome = 'record' AND included = '') AS no_included FROM segs GROUP BY 1""")
 def segment_metrics(spark, sf):
     return ingest.segment_metrics(ingest.anchor_segments(_anchor_docs(spark, sf), "o_orderkey", "body"), "o_orderkey")
 
