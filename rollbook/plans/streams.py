@@ -62,10 +62,12 @@ def stream_watch(spark, sf):
 @query("stream_buckets", "SELECT CAST(ts AS DATE) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_buckets(spark, sf):
     path = work_dir(spark, "windows")
-    events = _stream_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    part = lambda p: F.extract(F.lit(p), F.col("ts"))
+    clock = F.make_timestamp(part("YEAR"), part("MONTH"), part("DAY"), part("HOUR"), part("MINUTE"), part("SECOND"), F.lit("UTC"))
+    events = _stream_table(spark, sf, "events").withColumn("ts", clock)  # windows follow the wall clock in any session zone
     jobs.stream_buckets(events, "ts", "event_type", path, work_dir(spark, "checkpoint"))
     final = jobs.final_buckets(spark, path, "start timestamp, event_type string, n long", ["start", "event_type"])
-    return final.withColumn("start", F.col("start").cast("date"))
+    return final.withColumn("start", F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int")))
 
 
 @query("stream_health", f"""WITH {RUNS_SQL}, ok AS (SELECT source, max((ts, event_id)) FILTER (NOT failed) AS last_ok, max(ts) AS checked_at, count(*) AS runs FROM runs GROUP BY 1)
