@@ -21,7 +21,7 @@ from .words import SPECIAL, Words, byte_level_starts, ragged, text_groups
 
 
 #: Words whose ids a worker keeps at most.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 
 def _byte_signs() -> dict[str, int]:
