@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
 from .packing import pack
+from .rules import FULL, RULES, fails, quality_ledger
+from .urls import url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,8 +31,102 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), BYTE_BPE, capacity=1024, end_id=2).withColumnRenamed("id", "doc_id")
 
 
+URL_ENTRIES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_ENTRIES).withColumnRenamed("id", "page_id")
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_ENTRIES)
+    return rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+entries(verdict, h, p) AS (VALUES {rows}),
+fit AS (
+  SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC, verdict DESC) AS k
+  FROM parts JOIN entries ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fit ON fit.rid = parts.rid AND k = 1"""
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document."""
+    ledger = quality_ledger(documents(spark, sf_dir))
+    base = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
+    return ledger.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        (~base & ~fails(FULL)).alias("kept"), F.col("failed").alias("failed_rules"))
+
+
+_BLANK, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+OP7_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT rid, doc_id, text, regexp_extract_all(text, '{_WORD}+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS rows FROM docs),
+windows AS (
+  SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM cut)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
+measured AS (
+  SELECT cut.rid, doc_id, len(words) AS n_words, length(regexp_replace(text, '{_BLANK}', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(rows) - len(list_distinct(rows)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, len(rows) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_shouts
+  FROM cut LEFT JOIN covered USING (rid)),
+judged AS (
+  SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))} AS failed_rules FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules
+FROM judged"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, labels and score of every document."""
+    return license_scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def _templates_sql() -> str:
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    return ", ".join(f"('{label}', {quoted(template_words(text))})" for label, text in TEMPLATES)
+
+
+_SIGNS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP9_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+cut AS (SELECT rid, doc_id, text, regexp_extract_all(text, '{_SIGNS}') AS words FROM docs),
+place AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM cut),
+places AS (
+  SELECT rid, i - 1 AS i, CASE WHEN words[i] = 'cc' AND words[i + 1] = 'by' THEN 'cc-by'
+                               WHEN words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license' THEN 'gpl'
+                               WHEN words[i] = 'all' AND words[i + 1] = 'rights' AND words[i + 2] = 'reserved' THEN 'reserved' END AS label FROM place),
+base AS (SELECT rid, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places WHERE label IS NOT NULL GROUP BY rid),
+templates(label, ws) AS (VALUES {_templates_sql()}),
+blocks AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '{_SIGNS}')) AS ws FROM cut),
+met AS (
+  SELECT rid, label, len(list_intersect(blocks.ws, templates.ws)) / len(templates.ws) AS share FROM blocks, templates
+  WHERE len(list_intersect(blocks.ws, templates.ws)) >= {CONTAINMENT} * len(templates.ws)),
+more AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS best FROM met GROUP BY rid)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM cut LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_license_scan": op9_license_scan,
+}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": _rules_sql(),
+    "op7_quality_rules": OP7_SQL,
+    "op9_license_scan": OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
