@@ -10,9 +10,11 @@ from .bpe import bpe_decode, bpe_encode
 from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
 from .packing import pack
 from .rules import FULL, RULES, fails, quality_ledger
+from .unigram import token_counts
 from .urls import url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of unigram tokens of every document."""
+    return token_counts(documents(spark, sf_dir), PIECES).withColumnRenamed("id", "doc_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and where they stand in sequences of 1024 tokens."""
     return pack(documents(spark, sf_dir), BYTE_BPE, capacity=1024, end_id=2).withColumnRenamed("id", "doc_id")
@@ -120,6 +127,7 @@ FROM cut LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_url_filter": op5_url_filter,
     "op7_quality_rules": op7_quality_rules,
