@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
+from .near import near_duplicates
 from .packing import pack
 from .rules import FULL, RULES, fails, quality_ledger
 from .unigram import token_counts
@@ -125,6 +126,11 @@ SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, first_word, last
 FROM cut LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)"""
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_token_counts": op2_token_counts,
@@ -132,6 +138,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_license_scan": op9_license_scan,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_url_filter": _rules_sql(),

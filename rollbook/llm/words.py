@@ -42,7 +42,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-def _hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_runs(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of 64 bits for each word; a word longer than a slice is hashed in parts."""
     out = np.zeros((2, len(starts)), np.uint64)
     with np.errstate(over="ignore"):
@@ -96,9 +96,9 @@ class Words:
         self.text_begins = np.concatenate([[0], self.text_ends[:-1]]) if len(ends) else ends
         if len(starts) == 0:
             self.number = np.zeros(0, np.int64)
-            self.chars, self.starts, self.lengths, self.hashes = chars[:0], starts, starts, _hashes(chars, starts, starts)
+            self.chars, self.starts, self.lengths, self.hashes = chars[:0], starts, starts, hash_runs(chars, starts, starts)
             return
-        one, two = _hashes(chars, starts, word_ends)
+        one, two = hash_runs(chars, starts, word_ends)
         coded = pa.array(one).dictionary_encode()
         number = coded.indices.to_numpy()
         index = np.zeros(len(coded.dictionary), np.int64)
