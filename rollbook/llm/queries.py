@@ -10,6 +10,7 @@ from .bpe import bpe_decode, bpe_encode
 from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
 from .near import near_duplicates
 from .packing import pack
+from .quality import classify, fit_classifier
 from .rules import FULL, RULES, fails, quality_ledger
 from .unigram import token_counts
 from .urls import url_filter
@@ -63,6 +64,12 @@ fit AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fit ON fit.rid = parts.rid AND k = 1"""
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document."""
+    docs = documents(spark, sf_dir)
+    return classify(docs, fit_classifier(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdict of every document."""
     ledger = quality_ledger(documents(spark, sf_dir))
@@ -136,6 +143,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
