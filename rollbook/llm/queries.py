@@ -11,6 +11,7 @@ from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
 from .near import near_duplicates
 from .packing import pack
 from .quality import classify, fit_classifier
+from .repeats import removal_digests
 from .rules import FULL, RULES, fails, quality_ledger
 from .unigram import token_counts
 from .urls import url_filter
@@ -40,6 +41,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), BYTE_BPE, capacity=1024, end_id=2).withColumnRenamed("id", "doc_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without repeated strings of 200 bytes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return removal_digests(docs, length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 URL_ENTRIES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
@@ -142,6 +149,7 @@ QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
