@@ -15,6 +15,7 @@ from .repeats import removal_digests
 from .rules import FULL, RULES, fails, quality_ledger
 from .unigram import token_counts
 from .urls import url_filter
+from .vectors import near_vectors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -107,6 +108,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM judged"""
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases, labels and score of every document."""
     return license_scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
@@ -153,6 +159,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
