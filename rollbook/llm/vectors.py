@@ -4,8 +4,8 @@
    and is a guest in those of the next ones, so shards overlap.
 2. Each shard links its nodes to near ones, pruned so that a neighbour is left out where a nearer one leads to it. The adjacency
    lists that a node has from several shards are united.
-3. In each shard, every node that is at home there searches the graph: from the nearest of some medoids greedily to the closest
-   nodes, then through all nodes within a slack of the range, as long as new ones come up. Pairs in range are verified by their
+3. In each shard, every node that is at home there searches the graph: from the nearest of some medoids, and from its
+   own place, greedily to the closest nodes, then through all nodes within a slack of the range, as long as new ones come up. Pairs in range are verified by their
    cosine in double precision. No pair is a row unless its nodes have different homes.
 4. An audit compares the links found for some nodes with brute force over all vectors. Below the recall that is asked for, the
    whole is done again with twice the guests; in the end with every shard.
@@ -159,6 +159,7 @@ def _search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, least:
         row = np.arange(len(q))
         seen[row, best] = True
         close[row, best] = entry.max(axis=1)
+        seen[row, q], close[row, q] = True, 1.0  # a query is a node of the graph itself
         active = row
         while len(active):
             open_ = np.where(done[active], -np.inf, close[active])
