@@ -117,24 +117,23 @@ class Forest:
         return True
 
 
-_BITS = np.array([sum((x >> (2 * k)) & 3 == 0 for k in range(4)) for x in range(256)], np.uint8)
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots in which two sketches, as rows of 64-bit words, have the same two bits."""
+    z = x ^ y
+    z = (z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    return SLOTS - np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
 
 
 def _alike(sketches: np.ndarray, sizes: np.ndarray, share: tuple[int, int], rows: int = 64):
     """Index pairs (a < b) of a group whose sizes allow the similarity and whose sketches agree often enough, a block of rows at a time."""
     order = np.argsort(sizes, kind="stable")
     s, n = sketches[order], sizes[order]
-    words = s.view(np.uint64) if s.shape[1] % 8 == 0 else None
+    words = s.view(np.uint64)
     reach = np.searchsorted(n, n * share[1] // share[0], "right")  # the largest partner that the size allows
     for lo in range(0, len(s), rows):
         hi = min(len(s), lo + rows)
         top = int(reach[hi - 1])
-        if words is not None:
-            x = words[lo:hi, None, :] ^ words[None, lo:top, :]
-            y = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
-            same = SLOTS - np.bitwise_count(y).sum(axis=2, dtype=np.int64)
-        else:
-            same = _BITS[s[lo:hi, None, :] ^ s[None, lo:top, :]].sum(axis=2)
+        same = _agreeing(words[lo:hi, None, :], words[None, lo:top, :])
         a, b = np.nonzero(same >= ALIKE)
         keep = (b > a) & (b + lo < reach[a + lo])
         if keep.any():
@@ -176,8 +175,7 @@ def families(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
         several = stops - starts > 1
         two = stops - starts == 2
         a, b = order[starts[two]], order[starts[two] + 1]
-        x = sketch[a].view(np.uint64) ^ sketch[b].view(np.uint64)
-        same = SLOTS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+        same = _agreeing(sketch[a].view(np.uint64), sketch[b].view(np.uint64))
         fits = (same >= ALIKE) & (np.minimum(n[a], n[b]) * share[1] >= np.maximum(n[a], n[b]) * share[0])
         for i, j in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
             if forest.tie(int(node[i]), int(node[j])):
@@ -255,7 +253,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = staged(signatures(df, id_col, text_col, words), "signatures")
     named = signed.where("id IS NOT NULL AND n_shingles > 0")
     # of each class the lowest id, whose text stands for all, and the first signature: tasks may each have sent one
-    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     signature = signed.where("signature IS NOT NULL").select("k1", "k2", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["k1", "k2"])
     of_class = classes.select("k1", "k2", F.col("first.id").alias("node"), F.col("first.text_hash").alias("text_hash"))
     family = families(signature, share)

@@ -62,8 +62,7 @@ def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         total = np.bincount(of, minlength=n).astype(float)
         same = np.zeros(len(of), bool)
         same[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
-        own = np.sort(mix(hashes ^ mix(of.astype(np.uint64) + seeded(7))))
-        _, index = np.unique(mix(hashes ^ mix(of.astype(np.uint64) + seeded(7))), return_index=True) if len(own) else (own, np.zeros(0, np.int64))
+        _, index = np.unique(mix(hashes ^ mix(of.astype(np.uint64) + seeded(7))), return_index=True)
         return total, np.bincount(of[same], minlength=n).astype(float), np.bincount(of[index], minlength=n).astype(float)
 
     blank = _BLANKS[chars]
@@ -77,7 +76,7 @@ def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     last[:-1] &= blank[1:] | first[1:]
     odd_ends = per_text(last & ~told & ~np.isin(chars, np.frombuffer(b".,;:?)\"'", np.uint8)))
     words, same_words, distinct = repeats(word_of, word)
-    line_starts, line_of, line = runs(chars != 10)
+    _, line_of, line = runs(chars != 10)
     lines, same_lines, distinct_lines = repeats(line_of, line)
     upper, letters = per_text(kind == 2), per_text((kind == 1) | (kind == 2))
     measures = {
