@@ -30,14 +30,14 @@ from .words import ragged, text_groups
 LENGTH = 200
 KMER, LEAD = 16, 48
 #: Bytes of a text that are looked at together; longer texts are cut into parts that overlap.
-PART = 1 << 19
+PART = 1 << 17
 _PLACE = np.uint64((1 << 23) - 1)
 #: Documents in the sample for splitters and frequent leads, about; leads in so large a share of them count as frequent.
 SAMPLE, FREQUENT = 2000, 0.01
 #: A lead of so few sampled documents is never frequent.
 FEW = 8
 #: Strings compared at once in a bucket.
-STRINGS = 400_000
+STRINGS = 100_000
 
 
 def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def _rows(df: DataFrame, text_col: str) -> DataFrame:
 
 def _group_texts(batches):
     """Groups of texts with their keys; of copies in a group only the first."""
-    for part, texts in text_groups(batches, "text"):
+    for part, texts in text_groups(batches, "text", 8 * PART):
         k1, k2 = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("k1", "k2"))
         _, index = np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)
         index.sort()
