@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .position import with_previous
-from .skew import join_hot
 
 STALE_HOURS = 36
 
@@ -48,7 +47,7 @@ def failing_since(runs: DataFrame, order: Sequence[Column]) -> DataFrame:
     last_ok = runs.groupBy("source").agg(
         F.max(F.when(~F.col("failed"), rank)).alias("last_ok"), F.max("ts").alias("checked_at"), F.count(F.lit(1)).alias("runs")
     )
-    after = join_hot(runs, last_ok.select("source", "last_ok"), ["source"], "ts").filter("failed").filter(F.col("last_ok").isNull() | (rank > F.col("last_ok")))
+    after = runs.join(last_ok.select("source", "last_ok"), "source").filter("failed").filter(F.col("last_ok").isNull() | (rank > F.col("last_ok")))
     began = after.groupBy("source").agg(F.min("ts").cast("date").alias("failing_since"), F.count(F.lit(1)).alias("failures"))
     return last_ok.join(began, "source", "left").select(
         "source", "runs", "checked_at", "failing_since", F.coalesce("failures", F.lit(0)).alias("failures")

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .skew import join_hot
-
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
 def dense_position(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "pos") -> DataFrame:
@@ -23,9 +20,9 @@ def dense_position(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (
     rows = staged(
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_mid", F.monotonically_increasing_id()),
+        .withColumns({"_mid": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}),
         "positions",
-    ).withColumn("_part", F.shiftright("_mid", _ROW_BITS))
+    )
     sizes = rows.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_start"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -73,5 +70,5 @@ def dict_encode(df: DataFrame, column: str, pos: str, code: str) -> tuple[DataFr
     words = dense_position(firsts, [F.col("_first")], name=code).select(column, code)
     known = words.filter(F.col(column).isNotNull())
     null_code = words.filter(F.col(column).isNull()).select(code).scalar()
-    coded = join_hot(df, known, [column], pos, "left")
+    coded = df.join(known, column, "left")
     return coded.withColumn(code, F.coalesce(F.col(code), null_code)).select(*df.columns, code), words

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.spelling import query_tokens, token_variants
 from rollbook.operators import link, search, watch
-from rollbook.session import spread
 
 
 def rows(df, *cols):
@@ -79,23 +78,37 @@ def corpus(spark):
         "id long, h string, replaced_by long, merged_into long")
 
 
-def test_inline_and_gram_matching_agree_with_brute_force(spark, monkeypatch):
+def test_matching_agrees_with_brute_force_in_any_number_of_blocks(spark, monkeypatch):
     texts = ["abcabc", "xabx", "", "a", "ab", "the cat", "cathe", "ääbä", "a.b*c"]
     words = ["a", "ab", "abc", "the", "äb", "a.b", "zz", "t c", "cat"]
-    c = spark.createDataFrame(list(enumerate(texts)), "id long, h string")
+    texts += ["the cat", None]  # a repeated and an empty id, and a row without a text
+    ids = [*range(9), 5, None]
+    c = spark.createDataFrame(list(zip(ids, texts, strict=True)), "id long, h string")
     v = spark.createDataFrame([(q, t, w) for q, ws in enumerate([[w] for w in words] + [["a", "b"], ["the", "cat"]]) for t, w in enumerate(ws)], "q int, token_no int, variant string")
-    want_all = {(q, i) for q, ws in enumerate([[w] for w in words] + [["a", "b"], ["the", "cat"]]) for i, t in enumerate(texts) if all(w in t for w in ws)}
-    want_any = {(q, i) for q, ws in enumerate([[w] for w in words] + [["a", "b"], ["the", "cat"]]) for i, t in enumerate(texts) if any(w in t for w in ws)}
-    for limit in (1000, 0):
-        monkeypatch.setattr(search, "INLINE_VARIANTS", limit)
+    want_all = {(q, i) for q, ws in enumerate([[w] for w in words] + [["a", "b"], ["the", "cat"]]) for i, t in zip(ids, texts, strict=True) if t is not None and all(w in t for w in ws)}
+    want_any = {(q, i) for q, ws in enumerate([[w] for w in words] + [["a", "b"], ["the", "cat"]]) for i, t in zip(ids, texts, strict=True) if t is not None and any(w in t for w in ws)}
+    every = spark.createDataFrame([(99,)], "q int")
+    for block in (1000, 4):
+        monkeypatch.setattr(search, "BLOCK", block)
         assert rows(search.match_queries(c, v), "q", "id") == want_all
         assert rows(search.match_queries(c, v, any_token=True), "q", "id") == want_any
+        assert search.match_queries(c, v).filter("q = 3 and id = 5").count() == 2
+        assert search.match_queries(c, v, always=every).filter("q = 99").count() == len(texts)
 
 
 def test_staged_search_tries_similar_words_only_without_exact_hits(spark):
     qs = spark.createDataFrame([(1, "красный болт"), (2, "красный болтт"), (3, "синий"), (4, "ничего такого"), (5, " ")], "q int, query string")
     got = rows(search.staged_search(corpus(spark), qs), "q", "id", "mode")
-    assert got == {(1, 1, "exact"), (1, 2, "exact"), (2, 1, "fuzzy"), (2, 2, "fuzzy")}
+    assert got == {(1, 1, "exact"), (1, 2, "exact"), (2, 1, "fuzzy"), (2, 2, "fuzzy"), (5, 1, "exact"), (5, 2, "exact")}
+
+
+def test_facets_count_untagged_rows_and_live_rows_of_an_empty_query(spark):
+    c = spark.createDataFrame(
+        [(1, "red", None, None, "m", None), (2, "red", None, None, None, None), (3, "red", None, None, "f", None), (4, "blue", None, None, "m", "1999-01-01")],
+        "id long, h string, replaced_by long, merged_into long, list string, removed string")
+    qs = spark.createDataFrame([(1, "red"), (2, " "), (3, "blue")], "q int, query string")
+    got = {r["q"]: (r["n_all"], r["n_m"], r["n_f"], r["view_n"]) for r in search.search_facets(c, qs, ["m", "f"], "m").collect()}
+    assert got == {1: (3, 2, 1, 2), 2: (3, 2, 1, 2), 3: (1, 1, 0, 1)}
 
 
 def lev(a, b):
@@ -113,7 +126,12 @@ def test_similar_words_against_brute_force(spark):
 
     rnd = random.Random(5)
     words = list({"".join(rnd.choice("абв") for _ in range(rnd.randint(3, 10))) for _ in range(400)})
-    tokens = words[:60] + ["абвабвабвабв", "аб"]
+    words += ["".join(rnd.choice("аб") for _ in range(rnd.randint(12, 19))) for _ in range(250)]
+    for w in words[-60:]:  # near ones, with letters put in, left out and changed
+        i, j = sorted(rnd.sample(range(len(w)), 2))
+        words += [w[:i] + w[i + 1 :], w[:i] + "в" + w[i:j] + "в" + w[j + 1 :], w[:i] + w[i + 1 : j] + "аб" + w[j:]]
+    words = list(set(words))
+    tokens = rnd.sample(words, 120) + ["абвабвабвабв", "аб", "а" * 900]
     k = lambda t: 2 if len(t) >= 8 else 1 if len(t) >= 5 else 0
     want = {(t, w) for t in tokens for w in words if k(t) and w != t and lev(t, w) <= k(t)}
     got = search.similar_words(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w,) for w in words], "word string"))
@@ -135,7 +153,3 @@ def test_watch_reports_only_unseen(spark):
     edges = spark.createDataFrame([("c1", "c0")], "id string, edit_of string")
     seen = spark.createDataFrame([(1, "c0")], "q int, id string")
     assert rows(watch.watch_fresh(m, seen, edges), "q", "id") == {(1, "f")}
-
-
-def test_spread_keeps_rows(spark):
-    assert spread(spark.range(100), "id").count() == 100
