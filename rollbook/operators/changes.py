@@ -65,11 +65,17 @@ def list_rank(lists: Sequence[str], col: str = "list") -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in lists]), F.col(col)) - 1
 
 
+def around_nulls(rows: DataFrame, key: str, other: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join in which rows without a key, which never match, go around the shuffle instead of meeting in one task."""
+    met = rows.filter(F.col(key).isNotNull()).join(other.select(key), key, how).select(*rows.columns)
+    return met.unionByName(rows.filter(F.col(key).isNull())) if how == "left_anti" else met
+
+
 def select_fresh(rows: DataFrame, sent: DataFrame, since: Column) -> DataFrame:
     """Rows added since a day, not sent yet, and whose predecessor was not sent either."""
     fresh = rows.filter(F.col("added") >= since)
     fresh = fresh.join(sent.select("id"), "id", "left_anti")
-    return fresh.join(sent.select(F.col("id").alias("edit_of")), "edit_of", "left_anti").select(*rows.columns)
+    return around_nulls(fresh.select(*rows.columns), "edit_of", sent.select(F.col("id").alias("edit_of")), "left_anti")
 
 
 def mark_sent(sent: DataFrame, delivered: DataFrame, today: Column, keep_days: int = KEEP_DAYS) -> DataFrame:
@@ -87,9 +93,13 @@ def digest_header(fresh: DataFrame, lists: Sequence[str]) -> DataFrame:
 
 
 def digest_rows(fresh: DataFrame, lists: Sequence[str]) -> DataFrame:
-    """Running number over the digest, list by list; the first row of each list carries a heading if lists mix."""
-    placed = dense_position(fresh.withColumn("rank", list_rank(lists)), [F.asc("added"), F.asc("ord"), F.asc("id")], by=["rank"], name="in_list")
-    sizes = fresh.groupBy(list_rank(lists).alias("rank")).agg(F.count(F.lit(1)).alias("n_list"))
+    """Running number over the digest, list by list; the first row of each list carries a heading if lists mix.
+
+    Rows of no known list go with the first one.
+    """
+    rank = F.greatest(F.coalesce(list_rank(lists), F.lit(0)), F.lit(0))
+    placed = dense_position(fresh.withColumn("rank", rank), [F.asc("added"), F.asc("ord"), F.asc("id")], by=["rank"], name="in_list")
+    sizes = fresh.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n_list"))
     earlier = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row per list
     starts = sizes.withColumn("start", F.coalesce(F.sum("n_list").over(earlier), F.lit(0)))
     starts = starts.withColumn("mixed", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > 1)
@@ -135,9 +145,8 @@ def digest_pack(blocks: DataFrame, header_len: int, next_header_len: int, limit:
         pos, after = next_starts(rows)
         inside = int((pos // chunk == key[1]).sum())
         out = after.copy()
-        for i in range(inside - 1, -1, -1):
-            if after[i] < inside:
-                out[i] = out[after[i]]
+        while (again := out < inside).any():  # each step doubles how many messages are passed over
+            out[again] = out[out[again]]
         doors = 1 if key[1] == 0 else min(ahead, inside)
         return pd.DataFrame({"digest": rows["digest"].iloc[0], "pos": pos[:doors], "next": pos[0] + out[:doors]})
 

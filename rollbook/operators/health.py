@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .position import with_previous
 
-STALE_HOURS = 36
-
 
 def source_transitions(prev: DataFrame, cur: DataFrame) -> DataFrame:
     """Messages for sources whose error or fallback state flipped; a run that died without saying so is one too.
@@ -54,10 +52,6 @@ def failing_since(runs: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def is_stale(checked_at: Column, now: Column) -> Column:
-    return F.timestamp_diff("HOUR", checked_at, now) > STALE_HOURS
-
-
 def stamp(meta: str = "") -> Column:
     return F.coalesce(F.col(f"{meta}checked_at"), F.col(f"{meta}checked").cast("timestamp"), F.col(f"{meta}updated").cast("timestamp"))
 

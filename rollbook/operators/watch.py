@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .link import seen_via_chain
 from .search import match_queries, parse_queries, spell_tokens, visible
 
@@ -25,9 +26,12 @@ def watch_sanitize(raw: DataFrame) -> DataFrame:
 
 
 def watch_matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact and spelling-variant matches per query, folded records included; an empty query matches nothing."""
+    """Exact and spelling-variant matches per query, folded records included; an empty query matches nothing.
+
+    The matches are a stage: what is made of them reads it, and the corpus is scanned once.
+    """
     variants = spell_tokens(parse_queries(queries))
-    return match_queries(corpus.filter(visible(merged=True)), variants)
+    return staged(match_queries(corpus.filter(visible(merged=True)), variants), "matches")
 
 
 def watch_fresh(matches: DataFrame, seen: DataFrame, edges: DataFrame) -> DataFrame:

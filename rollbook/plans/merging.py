@@ -270,6 +270,5 @@ def publish_versioned_query(spark, sf):
     root = work_dir(spark, "published")
     publish_versioned(base_list(spark, sf), root)
     rows = merged(spark, sf).select(*MERGED_COLS)
-    verdict = merge.merge_guards(merge.merge_counts(rows), force=True)
-    publish_versioned(rows, root, verdict)
+    publish_versioned(rows, root, lambda written: merge.merge_guards(merge.merge_counts(written), force=True))
     return read_current(spark, root, rows.schema)

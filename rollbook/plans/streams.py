@@ -4,22 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import merge
 from ..operators.merge import HISTORY
-from ..session import work_dir
+from ..session import staged, work_dir
 from ..sources.publish import publish_versioned, read_current
 from ..streaming import jobs
-from .inputs import COMPARED, DOC_QUERIES, TODAY, base_list, day, docs, queries_of, snapshot, table
+from .inputs import BASE_SQL, COMPARED, DOC_QUERIES, LATEST_SQL, SNAP_SQL, TODAY, base_list, day, docs, queries_of, snapshot, table
 from .merging import MERGED_COLS, MERGED_SQL
 from .news import RUNS_SQL, WATCH_SQL, _digest, _digest_sql, _runs
 from .registry import query
 
 
-def _stream(df, label):
-    """A frame written as a directory of files and read back as a file stream."""
+def _stream(df, label, order=None, files=3):
+    """A frame written as some files and read back as a file stream, one file in each batch; in order, the oldest first."""
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    rows = df.repartition(files) if order is None else df.repartitionByRange(files, *order)
+    if order is None:
+        rows.write.parquet(path)
+    else:  # the files' times give the order in which a stream takes them
+        rows = staged(rows.withColumn("_file", F.spark_partition_id()), label)
+        for k in range(files):
+            rows.filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _stream_table(spark, sf, name):
@@ -28,20 +35,62 @@ def _stream_table(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+MERGED_OUT = (
+    "id bigint, cust bigint, state string, price double, priority string, ord bigint, added date, is_removed boolean, removed date, edited date,"
+    " edit_of bigint, replaced_by bigint, status string"
+)
+
+
 @query("stream_merge", f"WITH {MERGED_SQL} SELECT {', '.join(MERGED_COLS)} FROM merged")
 def stream_merge(spark, sf):
-    root, checkpoint = work_dir(spark, "stream-merge"), work_dir(spark, "checkpoint")
+    """One snapshot whose rows come in three batches."""
+    root, checkpoint, landing = work_dir(spark, "stream-merge"), work_dir(spark, "checkpoint"), work_dir(spark, "landing")
+    base = base_list(spark, sf)
+    publish_versioned(base, root)
+    schema = base.select("id", *COMPARED, *HISTORY).schema
+    rows = _stream(snapshot(spark, sf).withColumn("snapshot", F.lit(1)), "snapshots")
+    jobs.stream_merge(rows, root, schema, day(TODAY), COMPARED, checkpoint, landing, guards={"force": True}, initial=False)
+    return read_current(spark, root, MERGED_OUT).select(*MERGED_COLS)
+
+
+SEQUENCE_SQL = f"""{BASE_SQL}, {SNAP_SQL}, {LATEST_SQL},
+first AS (SELECT id, cust, state, price, priority FROM latest),
+second AS (SELECT id, cust, state, price + CASE WHEN cust % 3 = 0 THEN 5 ELSE 0 END AS price, priority FROM first WHERE abs(id) % 100 <> 7),
+third AS (SELECT id, cust, state, price, priority FROM first WHERE abs(id) % 100 <> 8),
+ids AS (SELECT id FROM base UNION SELECT id FROM latest),
+steps AS (
+  SELECT ids.id, b.id IS NOT NULL AS known, coalesce(b.is_removed, false) AS was_removed, f.id IS NOT NULL AS in1, s.id IS NOT NULL AS in2, t.id IS NOT NULL AS in3,
+         b.price AS p0, f.price AS p1, s.price AS p2, t.price AS p3 FROM ids LEFT JOIN base b USING (id) LEFT JOIN first f USING (id) LEFT JOIN second s USING (id) LEFT JOIN third t USING (id))
+SELECT id, coalesce(p3, p2, p1, p0) AS price, CASE WHEN in3 THEN false WHEN in2 OR in1 THEN true WHEN known THEN true ELSE true END AS is_removed,
+  CASE WHEN in3 AND NOT in2 AND in1 AND p1 IS DISTINCT FROM p3 THEN 'returned_edited' WHEN in3 AND NOT in2 AND in1 THEN 'returned'
+       WHEN in3 AND p2 IS DISTINCT FROM p3 THEN 'edited' WHEN in3 THEN 'kept' WHEN in2 THEN 'removed' ELSE 'kept' END AS status
+FROM steps"""
+
+
+@query("stream_merge_sequence", f"WITH {SEQUENCE_SQL}")
+def stream_merge_sequence(spark, sf):
+    """Three snapshots in one folder, mixed over the batches, on a root that has versions already; and a replay of the whole."""
+    root, landing = work_dir(spark, "stream-merge"), work_dir(spark, "landing")
     base = base_list(spark, sf)
-    publish_versioned(base, root, version=1)
+    for _ in range(3):
+        publish_versioned(base, root)
+    last = merge.keep_last(snapshot(spark, sf), "id", "src_pos")
+    changed = F.col("price") + F.when(F.col("cust") % 3 == 0, 5).otherwise(0)
+    parts = [
+        last.withColumn("snapshot", F.lit(1)),
+        last.filter(F.abs("id") % 100 != 7).withColumn("price", changed).withColumn("snapshot", F.lit(2)),
+        last.filter(F.abs("id") % 100 != 8).withColumn("snapshot", F.lit(3)),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     schema = base.select("id", *COMPARED, *HISTORY).schema
-    jobs.stream_merge(_stream(snapshot(spark, sf), "snapshots"), root, schema, day(TODAY), COMPARED, checkpoint, {"force": True})
-    out = "id bigint, cust bigint, state string, price double, priority string, ord bigint, added date, is_removed boolean, removed date, edited date, status string"
-    return read_current(spark, root, out)
+    for checkpoint in (work_dir(spark, "checkpoint"), work_dir(spark, "checkpoint")):
+        jobs.stream_merge(_stream(rows, "snapshots", files=2), root, schema, day(TODAY), COMPARED, checkpoint, landing, guards={"force": True, "min_removed": 10**9}, initial=False)
+    return read_current(spark, root, MERGED_OUT).select("id", "price", "is_removed", "status")
 
 
 @query("stream_once", f"WITH {_digest_sql('1995-01-01')} SELECT id, list, added FROM rows WHERE added >= DATE '1995-01-01'")
 def stream_once(spark, sf):
-    """Every order is announced exactly once, although half of the stream repeats it."""
+    """Every order is announced exactly once, although half of the stream repeats it, in three batches."""
     rows, _ = _digest(spark, sf)
     rows = rows.withColumn("edit_of", F.lit(None).cast("bigint"))
     path = work_dir(spark, "announced")
@@ -59,22 +108,50 @@ def stream_watch(spark, sf):
     return spark.read.parquet(path).select("q", "id")
 
 
-@query("stream_buckets", "SELECT CAST(ts AS DATE) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_buckets(spark, sf):
+def _wall_clock(col):
+    """A stamp without a zone as an instant that shows the same wall clock in UTC."""
+    part = lambda p: F.extract(F.lit(p), F.col(col))
+    return F.make_timestamp(part("YEAR"), part("MONTH"), part("DAY"), part("HOUR"), part("MINUTE"), part("SECOND"), F.lit("UTC"))
+
+
+def _buckets(spark, events):
     path = work_dir(spark, "windows")
-    part = lambda p: F.extract(F.lit(p), F.col("ts"))
-    clock = F.make_timestamp(part("YEAR"), part("MONTH"), part("DAY"), part("HOUR"), part("MINUTE"), part("SECOND"), F.lit("UTC"))
-    events = _stream_table(spark, sf, "events").withColumn("ts", clock)  # windows follow the wall clock in any session zone
     jobs.stream_buckets(events, "ts", "event_type", path, work_dir(spark, "checkpoint"))
     final = jobs.final_buckets(spark, path, "start timestamp, event_type string, n long", ["start", "event_type"])
     return final.withColumn("start", F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int")))
 
 
+BUCKETS_SQL = "SELECT CAST(ts AS DATE) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query("stream_buckets", BUCKETS_SQL)
+def stream_buckets(spark, sf):
+    """Windows follow the wall clock in any session zone."""
+    return _buckets(spark, _stream_table(spark, sf, "events").withColumn("ts", _wall_clock("ts")))
+
+
+@query("stream_buckets_late", BUCKETS_SQL)
+def stream_buckets_late(spark, sf):
+    """The newest days come in the first batch and the oldest in the last; nothing is late."""
+    events = table(spark, sf, "events").select("event_type", _wall_clock("ts").alias("ts"))
+    return _buckets(spark, _stream(events, "events", order=[F.desc("ts")]))
+
+
+@query("stream_high_water", "SELECT user_id, max(CAST(ts AS DATE)) AS day FROM events GROUP BY 1")
+def stream_high_water(spark, sf):
+    """The newest day of each user, over batches of mixed days."""
+    path = work_dir(spark, "high-water")
+    rows = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"))
+    jobs.stream_high_water(_stream(rows, "days"), "user_id", "day", path, work_dir(spark, "checkpoint"))
+    return jobs.last_state(spark, path, "user_id bigint, day date")
+
+
 @query("stream_health", f"""WITH {RUNS_SQL}, ok AS (SELECT source, max((ts, event_id)) FILTER (NOT failed) AS last_ok, max(ts) AS checked_at, count(*) AS runs FROM runs GROUP BY 1)
 SELECT ok.source, runs, checked_at, (SELECT CAST(min(ts) AS DATE) FROM runs r WHERE r.source = ok.source AND failed AND (last_ok IS NULL OR (r.ts, r.event_id) > last_ok)) AS failing_since FROM ok""")
 def stream_health(spark, sf):
     path = work_dir(spark, "health")
-    jobs.stream_health(_stream(_runs(spark, sf), "runs"), [F.col("ts"), F.col("event_id")], path, work_dir(spark, "checkpoint"))
+    runs = _stream(_runs(spark, sf), "runs", order=[F.asc("ts"), F.asc("event_id")])
+    jobs.stream_health(runs, [F.col("ts"), F.col("event_id")], path, work_dir(spark, "checkpoint"))
     return jobs.health_table(spark, path).select("source", "runs", "checked_at", "failing_since")
 
 
@@ -96,7 +173,7 @@ def stream_inbox(spark, sf):
         rows = rows.withColumn("file_name", F.date_format(day_of, "yyyy-MM-dd")).withColumn("version", day_of)
         return rows.drop("file_path").withColumns({"id": F.get(part, F.lit(0)).try_cast("long"), "line": F.get(part, F.lit(1)), "kind": F.get(part, F.lit(2))})
 
-    files = spark.readStream.format("text").load(inbox + "/*")
+    files = spark.readStream.format("text").option("maxFilesPerTrigger", 40).load(inbox + "/*")
     jobs.stream_inbox(files, parse, path, work_dir(spark, "checkpoint"))
     rows = jobs.inbox_list(spark, path, "id long, line string, kind string")
     return rows.select("id", F.concat_ws(":", "kind", "line").alias("payload"), "version")

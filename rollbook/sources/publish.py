@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,22 +14,33 @@ from ..functions.text import normalize_compact
 from ..operators.position import dense_position
 
 CHUNK = 200
-POINTER = "version long, path string"
+POINTER = "version long, path string, tag string"
 
 
 class GuardError(RuntimeError):
     """A stop rule fired; the published version stays as it was."""
 
 
-def current_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
-    """Number and path of the published version; (0, None) before the first."""
+def pointers(spark: SparkSession, root: str) -> DataFrame:
+    """Every published version: number, path and the tag it was published under; empty before the first."""
     try:
-        rows = spark.read.schema(POINTER).parquet(f"{root}/pointer").agg(F.max(F.struct("version", "path")).alias("p")).select("p.*").collect()
+        return spark.read.schema(POINTER).parquet(f"{root}/pointer")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
             raise
-        rows = []
-    return (rows[0]["version"], rows[0]["path"]) if rows and rows[0]["version"] is not None else (0, None)
+        return spark.createDataFrame([], POINTER)
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """Number and path of the published version; (0, None) before the first."""
+    row = pointers(spark, root).agg(F.max(F.struct("version", "path")).alias("p")).select("p.*").first()
+    return (row["version"], row["path"]) if row["version"] is not None else (0, None)
+
+
+def published_path(spark: SparkSession, root: str, tag: str) -> str | None:
+    """Path of what was published under a tag."""
+    row = pointers(spark, root).filter(F.col("tag") == tag).select("path").first()
+    return row["path"] if row else None
 
 
 def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
@@ -36,23 +48,27 @@ def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
-def publish_versioned(df: DataFrame, root: str, verdict: DataFrame | None = None, version: int | None = None, partition_by: Sequence[str] = ()) -> str:
-    """All or nothing: the stop rules are read first, the data goes to a new path, the pointer is added last.
+def publish_versioned(
+    df: DataFrame, root: str, verdict: Callable[[DataFrame], DataFrame] | None = None, tag: str | None = None, partition_by: Sequence[str] = ()
+) -> str:
+    """All or nothing: the data goes to a path of its own, the stop rules judge what was written, the pointer is added last.
 
-    Nothing that readers use is overwritten. Publishing the same ``version`` again (a replay) changes nothing.
+    So the data is computed once, and what is judged is what is published. ``verdict`` turns the written rows into one row with the
+    word ``verdict``; any other than 'ok' leaves the published version as it was. The version is always the current one and one
+    more. A ``tag`` names the work (a job and its input): publishing under a tag that is there already, as a replay does, changes
+    nothing and returns the path of the first time.
     """
     spark = df.sparkSession
+    if tag is not None and (done := published_path(spark, root, tag)):
+        return done
+    path = f"{root}/data-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
     if verdict is not None:
-        word = verdict.select("verdict").first()[0]
+        word = verdict(spark.read.schema(df.schema).parquet(path)).select("verdict").first()[0]
         if word != "ok":
             raise GuardError(word)
-    now, path = current_version(spark, root)
-    target = now + 1 if version is None else version
-    if version is not None and target <= now:
-        return path
-    path = f"{root}/v={target}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    spark.createDataFrame([(target, path)], POINTER).write.mode("append").parquet(f"{root}/pointer")
+    now, _ = current_version(spark, root)
+    spark.createDataFrame([(now + 1, path, tag)], POINTER).write.mode("append").parquet(f"{root}/pointer")
     return path
 
 
@@ -61,11 +77,6 @@ def chunk_rows(df: DataFrame, order: Sequence[Column], size: int = CHUNK) -> Dat
     return dense_position(df, order).withColumn("chunk", F.floor(F.col("pos") / size))
 
 
-def write_chunks(chunked: DataFrame, path: str) -> None:
-    """One directory per chunk; a chunk never splits over tasks."""
-    chunked.repartition("chunk").sortWithinPartitions("chunk", "pos").write.partitionBy("chunk").json(path)
-
-
 def public_projection(rows: DataFrame, allowed: Mapping[str, Sequence[str]], key: str = "id") -> DataFrame:
     """One JSON record per row with the columns its list may show and no other; unknown lists show nothing."""
     out = F.lit(None).cast("string")

@@ -114,13 +114,14 @@ def test_public_projection_never_shows_other_columns(spark):
 
 def test_publish_is_all_or_nothing(spark):
     root = work_dir(spark, "pub")
-    ok, bad = (spark.createDataFrame([(v,)], "verdict string") for v in ("ok", "too_many_removed"))
+    word = lambda v: lambda rows: rows.agg(F.lit(v).alias("verdict"))
+    ok, bad = word("ok"), word("too_many_removed")
     publish.publish_versioned(spark.range(3), root, ok)
     with pytest.raises(publish.GuardError):
         publish.publish_versioned(spark.range(9), root, bad)
     assert publish.read_current(spark, root, "id long").count() == 3
-    publish.publish_versioned(publish.read_current(spark, root, "id long").union(spark.range(2)), root, ok)
-    publish.publish_versioned(spark.range(50), root, ok, version=2)  # a replay of version 2
+    publish.publish_versioned(publish.read_current(spark, root, "id long").union(spark.range(2)), root, ok, tag="job/1")
+    publish.publish_versioned(spark.range(50), root, ok, tag="job/1")  # a replay
     assert publish.current_version(spark, root)[0] == 2 and publish.read_current(spark, root, "id long").count() == 5
 
 
@@ -178,6 +179,67 @@ def test_stream_over_several_batches(spark):
     assert got == {1: (dt.date(2026, 1, 2), 3), 2: (dt.date(2026, 1, 4), 3)}
 
 
+def test_once_only_within_a_batch(spark):
+    """Of a repeated id the first counts; a row whose predecessor is announced with it is left out; marks may expire."""
+    src, out, cp = (work_dir(spark, x) for x in ("src", "out", "cp"))
+    schema = "id long, edit_of long, added date, note string"
+    d = dt.date(2026, 1, 1)
+    spark.createDataFrame([(1, None, d, "b"), (1, None, d, "a"), (2, 1, d, "x"), (3, None, None, "no day"), (None, None, d, "no id")], schema).coalesce(1).write.parquet(src)
+    jobs.stream_once(spark.readStream.schema(schema).parquet(src), out, day("2025-12-01"), day("2026-01-05"), cp)
+    got = {(r["id"], r["note"]) for r in spark.read.parquet(f"{out}/announced").collect()}
+    assert got == {(1, "a"), (None, "no id")}
+
+
+def test_stream_merge_keeps_snapshots_apart(spark):
+    """A root with versions; a snapshot in two batches and two in one; a replay; rows that come too late."""
+    root, landing, src = (work_dir(spark, x) for x in ("root", "landing", "src"))
+    payload = "id long, name string"
+    base = spark.createDataFrame([(i, f"n{i}") for i in range(10)], payload).selectExpr(
+        "id", "name", "id AS ord", "CAST(NULL AS date) AS added", "false AS is_removed", "CAST(NULL AS date) AS removed", "CAST(NULL AS date) AS edited",
+        "CAST(NULL AS long) AS edit_of", "CAST(NULL AS long) AS replaced_by")
+    for _ in range(3):
+        publish.publish_versioned(base, root)
+    schema = "id long, name string, src_pos long, snapshot int"
+    files = [[(i, f"m{i}", i, 1) for i in range(6)], [(i, f"m{i}", i, 1) for i in range(6, 12)] + [(i, f"m{i}", i, 2) for i in range(1, 6)], [(i, f"m{i}", i, 2) for i in range(6, 12)]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda cp: jobs.stream_merge(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), root, base.schema, day("2026-01-05"), ["name"], cp, landing, initial=False)
+    cp = work_dir(spark, "cp")
+    run(cp)
+    for _ in range(2):
+        now = {r["id"]: (r["name"], r["is_removed"]) for r in publish.read_current(spark, root, base.schema).collect()}
+        assert now == {i: (f"m{i}", i == 0) for i in range(12)}
+        assert publish.current_version(spark, root)[0] == 5
+        run(work_dir(spark, "cp"))
+    spark.createDataFrame([(99, "late", 1, 2)], schema).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(RuntimeError, match="already"):
+        run(cp)
+
+
+def test_late_events_are_counted(spark):
+    src, out, cp = (work_dir(spark, x) for x in ("src", "out", "cp"))
+    for d in (10, 20, 21, 11, 10):
+        spark.createDataFrame([(dt.datetime(2026, 1, d, 5), "a")], "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.stream_buckets(stream, "ts", "kind", out, cp)
+    got = {r["start"].day: r["n"] for r in jobs.final_buckets(spark, out, "start timestamp, kind string, n long", ["start", "kind"]).collect()}
+    assert got == {10: 2, 11: 1, 20: 1, 21: 1}
+
+
+def test_digest_keeps_rows_of_no_list(spark):
+    df = spark.createDataFrame([(1, "m"), (2, None), (3, "f"), (4, "?")], "id long, list string").withColumns({"added": day("2026-01-01"), "ord": F.col("id")})
+    assert {r["id"]: r["number"] for r in changes.digest_rows(df, ["m", "f"]).collect()} == {1: 1, 2: 2, 4: 3, 3: 4}
+
+
+def test_one_key_with_half_of_the_rows(spark):
+    """Rows without a predecessor are half of all; none is lost and none meets the sent ids."""
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") - 1).alias("edit_of"), day("2026-01-01").alias("added"))
+    sent = spark.createDataFrame([(7,), (8,)], "id long")
+    got = {r["id"] for r in changes.select_fresh(rows, sent, day("2025-01-01")).collect()}
+    assert got == set(range(2000)) - {7, 8}
+
+
 def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
     from rollbook import session
 
