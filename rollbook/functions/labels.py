@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ DECIDER = {"mvd": "Решение МВД", "kgb": "Решение КГБ", "cour
 AGENCY_SERIES = {"МВД": "wmvd", "КГК": "wkgk", "КГБ": "wkgb"}
 SPEECH_CODES = ["130", "130-1", "367", "368", "369", "369-1", "370", "188", "203-1"]
 PROTEST_CODES = ["342", "293"]
-FOLDED_LABEL = "Террорист (перечень КГБ) тэрарыст terrorist"
-FOLDED_MARK = "террорист тэрарыст terrorist (перечень КГБ)"
+NEAR_COURT = f"(?iu){DECISION_WORD}\\s+(.{{1,300}}?)\\s*(?:в\\s+)?связи(?![а-яё])"
+FAR_COURT = f"(?iu){DECISION_WORD}\\s+(.{{1,300}}?)\\s+(?:о|об|за|по)\\s"
+ARTICLE = "(?iu)(\\d{2,3})(?:-?[йя])?\\s+стать[а-яё]*|стать[а-яё]*\\s+(\\d{2,3})"
+CHARGED, SENTENCED = "(?iu)обвиня", "(?iu)приговор"
 SERIES = {
     "m": ["gpk", "kgs", "none"], "f": ["mvd", "kgb", "court"], "p": ["protest", "speech", "ext", "terror", "other"],
     "w": ["wmvd", "wkgk", "wkgb", "wother"],
@@ -45,15 +49,13 @@ def court_name(decision: Column) -> Column:
 def person_court(basis: Column) -> Column:
     """The court named after the decision word, up to 'in connection' or the next preposition."""
     line = _line(F.substring(basis, 1, 1500))
-    near = F.regexp_extract(line, f"(?iu){DECISION_WORD}\\s+(.{{1,300}}?)\\s*(?:в\\s+)?связи(?![а-яё])", 1)
-    far = F.regexp_extract(line, f"(?iu){DECISION_WORD}\\s+(.{{1,300}}?)\\s+(?:о|об|за|по)\\s", 1)
+    near, far = F.regexp_extract(line, NEAR_COURT, 1), F.regexp_extract(line, FAR_COURT, 1)
     return F.trim(F.regexp_replace(F.when(near != "", near).otherwise(far), "[,;]+$", ""))
 
 
 def article(decision: Column) -> Column:
     """Number and code of the article a decision refers to; NULL when none is named."""
-    shape = "(?iu)(\\d{2,3})(?:-?[йя])?\\s+стать[а-яё]*|стать[а-яё]*\\s+(\\d{2,3})"
-    a, b = F.regexp_extract(decision, shape, 1), F.regexp_extract(decision, shape, 2)
+    a, b = F.regexp_extract(decision, ARTICLE, 1), F.regexp_extract(decision, ARTICLE, 2)
     number = F.when(a != "", a).otherwise(b)
     code = F.lit(None).cast("string")
     for name, rule in reversed(CODE_RULES):
@@ -64,31 +66,42 @@ def article(decision: Column) -> Column:
 def case_status(basis: Column) -> Column:
     """Charged, sentenced, or other."""
     b = F.coalesce(basis, F.lit(""))
-    return F.when(b.rlike("(?iu)обвиня"), "charged").when(b.rlike("(?iu)приговор"), "verdict").otherwise("other")
+    return F.when(b.rlike(CHARGED), "charged").when(b.rlike(SENTENCED), "verdict").otherwise("other")
+
+
+def rule_series(rules: Sequence[tuple[str, Column]], other: str) -> Column:
+    """The first rule that holds names the series."""
+    out = F.lit(other)
+    for name, test in reversed(rules):
+        out = F.when(F.coalesce(test, F.lit(False)), F.lit(name)).otherwise(out)
+    return out
 
 
 def code_series(codes: Column) -> Column:
     """Series of a person by the codes of the basis."""
     c = F.coalesce(codes, F.array().cast("array<string>"))
     among = lambda xs: F.arrays_overlap(c, F.array(*[F.lit(x) for x in xs]))
-    return (
-        F.when(F.exists(c, lambda x: x.rlike("^361(-\\d)?$")), "ext").when(among(PROTEST_CODES), "protest")
-        .when(among(SPEECH_CODES), "speech").otherwise("other")
-    )
+    rules = [("ext", F.exists(c, lambda x: x.rlike("^361(-\\d)?$"))), ("protest", among(PROTEST_CODES)), ("speech", among(SPEECH_CODES))]
+    return rule_series(rules, "other")
 
 
 def agency_series(agency: Column) -> Column:
     return F.coalesce(_lookup(AGENCY_SERIES, agency), F.lit("wother"))
 
 
-def record_label(list_name: Column, cols: dict[str, Column]) -> Column:
-    """The searchable type line of a record of each list."""
+def record_label(list_name: Column, cols: dict[str, Column], folded_label: str = "", mark: str = "") -> Column:
+    """The searchable type line of a record of each list.
+
+    What a record of the folded list is called, and what is added to a record that has one, is for the caller to say; nothing is
+    by default.
+    """
     codes = codes_label(cols["articles"])
     empty = F.lit("")
-    folded = F.concat(F.lit(FOLDED_LABEL), F.when(codes != "", F.concat(F.lit(" · "), codes)).otherwise(empty))
+    joined = lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" · "), b)).otherwise(F.concat(a, b))
+    folded = joined(F.lit(folded_label), codes)
     agency = F.coalesce(cols["agency"], empty)
     wanted = F.when(agency != "", F.concat(F.lit("Розыск РФ по запросу "), agency)).otherwise(F.lit("Розыск РФ"))
-    person = F.when(cols["marked"], F.concat(codes, F.lit(f" · {FOLDED_MARK}"))).otherwise(codes)
+    person = F.when(cols["marked"], joined(codes, F.lit(mark))).otherwise(codes)
     formation = F.coalesce(_lookup(KIND, cols["kind"]), F.lit(KIND["formation"]))
     return (
         F.when(list_name == "t", folded).when(list_name == "w", wanted).when(list_name == "p", person)

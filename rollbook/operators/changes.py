@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cut_title
 from ..session import staged
+from .link import chain_paths
 from .position import dense_position
 from .search import count_by_list, is_recent
 
@@ -54,6 +55,16 @@ def feed_rows(rows: DataFrame, size: int = FEED_SIZE, default_list: str = "m") -
     return chosen.withColumn("feed_day", key).orderBy(F.desc_nulls_last("feed_day"), F.asc("pos")).limit(size)
 
 
+def feed_links(feed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Feed rows with ``root``, the first version of the record, and ``target``, the record it was folded into or itself.
+
+    ``edges`` holds ``id, edit_of`` of edited records.
+    """
+    roots = chain_paths(edges).select("id", "root")
+    rows = feed.join(roots, "id", "left")
+    return rows.withColumns({"root": F.coalesce("root", "id"), "target": F.coalesce("merged_into", "id")})
+
+
 def new_fallback(rows: DataFrame, size: int = FALLBACK_SIZE) -> DataFrame:
     """While no row has a history: the newest visible rows by date; otherwise nothing."""
     any_history = rows.agg(F.coalesce(F.bool_or(F.col("added").isNotNull()), F.lit(False))).scalar()

@@ -70,10 +70,9 @@ def down_dates(metas: DataFrame) -> DataFrame:
     return metas.select("source", since.alias("since"), F.when(tried != since, tried).alias("tried"))
 
 
-def source_facts(metas: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """One row per known source with its total and dates; a source never imported has total 0."""
-    known = metas.sparkSession.createDataFrame([(s,) for s in sources], "source string")
-    return known.join(metas, "source", "left").select(
+def source_facts(metas: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per known ``source`` with its total and dates; a source never imported has total 0."""
+    return sources.select("source").join(metas, "source", "left").select(
         "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("checked", "updated").alias("checked"),
         F.coalesce("source_date", "checked", "updated").alias("source_date"),
     )

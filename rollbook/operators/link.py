@@ -71,10 +71,10 @@ def cross_links(persons: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links_of(requested: DataFrame, persons: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All linked ids of a few requested person ids (a record page), streamed from the membership tables."""
+    """All linked ids of the requested person ids (record pages), made from the membership tables."""
     p, w, _ = link_groups(persons, wanted)
     asked = p.join(requested.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "person_id")
-    return w.join(asked, ["name", "year"]).select("person_id", F.col("id").alias("wanted_id"))
+    return w.join(asked, ["name", "year"]).select("person_id", F.col("id").alias("wanted_id")).distinct()
 
 
 def chain_paths(edges: DataFrame) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_compact, same_or_cut, similar_names
@@ -13,8 +12,6 @@ from ..session import staged
 from .position import keep_last
 
 HISTORY = ["ord", "added", "is_removed", "removed", "edited", "edit_of", "replaced_by"]
-MAX_PAIRS = 20
-PAIRS_CEILING = 1000
 
 Rule = Callable[[str, str], Column]
 
@@ -69,7 +66,7 @@ def snapshot_merge(
     initial: bool | None = None,
     rule: Rule | None = None,
     blocks: Sequence[Callable[[str], list[Column]]] = (),
-    max_pairs: int = MAX_PAIRS,
+    max_pairs: int | None = None,
     first_seen: Column | None = None,
 ) -> DataFrame:
     """The merged list: payload, history columns and the status of every record in this run.
@@ -89,10 +86,10 @@ def snapshot_merge(
         )
         inherited = ["added", "since"] if versioned else ["added"]
         olds = rows.filter("is_gone").select(F.col("id").alias("old_id"), *[F.col(c).alias(f"_old_{c}") for c in inherited])
-        pairs = staged(olds.join(F.broadcast(pairs), "old_id"), "pairs")  # at most max_pairs rows
+        pairs = staged(olds.join(pairs, "old_id"), "pairs")
         becomes = pairs.select(F.col("old_id").alias("id"), F.col("new_id").alias("_becomes"))
         came = pairs.withColumnsRenamed({"new_id": "id", "old_id": "_came_from"})
-        rows = rows.join(F.broadcast(becomes), "id", "left").join(F.broadcast(came), "id", "left")
+        rows = rows.join(becomes, "id", "left").join(came, "id", "left")
     else:
         key_type = dict(rows.dtypes)["id"]
         rows = rows.withColumns({
@@ -146,44 +143,38 @@ def merge_guards(counts: DataFrame, initial: bool = False, force: bool = False,
     return counts.withColumn("verdict", verdict)
 
 
-def pair_edits(gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[Callable[[str], list[Column]]], max_pairs: int = MAX_PAIRS) -> DataFrame:
+def pair_edits(
+    gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[Callable[[str], list[Column]]], max_pairs: int | None = None
+) -> DataFrame:
     """Pairs (old_id, new_id) of removed and new records that ``rule`` takes for one record.
 
-    Old records are tried in base order; one pairs only when exactly one unused candidate fits. More than
-    ``max_pairs`` removed records are no edits at all. Candidates come from equi-joins on ``blocks``.
-    An old record with more candidates than there are old records can never become unambiguous, so its edges
-    are dropped before the ordered pass; what is left is at most ``max_pairs`` squared edges.
+    Old records are tried in base order; one pairs only when exactly one unused candidate fits. Candidates come from equi-joins on
+    ``blocks``. The order is kept without taking the records one by one: a round settles every old record that no earlier unsettled
+    one shares a candidate with, and takes its edges, and those of the records it used, off the table of edges; there are as many
+    rounds as the longest chain of records that wait for each other. With ``max_pairs``, more removed records are no edits at all.
     """
-    if max_pairs > PAIRS_CEILING:
-        raise ValueError(f"max_pairs is a safeguard, at most {PAIRS_CEILING}")
-    few = gone.limit(max_pairs + 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    old = staged(few.filter(F.col("_n") <= max_pairs).drop("_n"), "old").alias("o")  # at most max_pairs rows
-    new = fresh.alias("n")
+    old, new = gone.alias("o"), fresh.alias("n")
     found = None
     for block in blocks:
         left = old.withColumn("_key", F.array(*[c.cast("string") for c in block("o")])).alias("o")
         right = new.withColumn("_key", F.array(*[c.cast("string") for c in block("n")])).alias("n")
-        hits = right.join(F.broadcast(left), F.col("o._key") == F.col("n._key")).filter(rule("o", "n"))
+        hits = right.join(left, F.col("o._key") == F.col("n._key")).filter(rule("o", "n"))
         hits = hits.select(F.col("o.id").alias("old_id"), F.col("o.base_ord").alias("old_ord"), F.col("n.id").alias("new_id"))
         found = hits if found is None else found.unionByName(hits)
+    if max_pairs is not None and gone.limit(max_pairs + 1).count() > max_pairs:
+        found = found.limit(0)
     edges = staged(found.distinct(), "edges")
-    degree = edges.groupBy("old_id").agg(F.count(F.lit(1)).alias("_degree"))
-    open_ends = degree.filter(F.col("_degree") <= max_pairs).select("old_id")
-    kept = edges.join(F.broadcast(open_ends), "old_id")
-
-    def unambiguous(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        pairs = []
-        for (_, old_id), group in rows.groupby(["old_ord", "old_id"], sort=True):
-            free = [n for n in group["new_id"] if n not in used]
-            if len(free) == 1:
-                used.add(free[0])
-                pairs.append((old_id, free[0]))
-        return pd.DataFrame(pairs, columns=["old_id", "new_id"])
-
-    types = dict(kept.dtypes)
-    schema = f"old_id {types['old_id']}, new_id {types['new_id']}"
-    return kept.groupBy(F.lit(1).alias("_all")).applyInPandas(unambiguous, schema)
+    pairs = edges.limit(0).select("old_id", "new_id")
+    turn = F.struct("old_ord", "old_id")
+    while not edges.isEmpty():
+        first = edges.groupBy("new_id").agg(F.min(turn).alias("_first"))
+        leads = edges.join(first, "new_id").withColumn("_leads", turn.eqNullSafe(F.col("_first")))
+        settled = leads.groupBy("old_id").agg(F.min("_leads").alias("_ready"), F.count(F.lit(1)).alias("_free"), F.min("new_id").alias("new_id"))
+        settled = staged(settled.filter("_ready").drop("_ready"), "settled")
+        taken = settled.filter("_free = 1").select("old_id", "new_id")
+        pairs = pairs.unionByName(taken)
+        edges = staged(edges.join(settled.select("old_id"), "old_id", "left_anti").join(taken.select("new_id"), "new_id", "left_anti"), "edges")
+    return pairs
 
 
 # Edit rules: which removed and new records are one record, with the keys that any such pair must share.
@@ -268,12 +259,12 @@ def reorder(base: DataFrame, snap: DataFrame) -> DataFrame:
 def merge_with_exclusions(base: DataFrame, snap: DataFrame, today: Column, compare: Sequence[str], **options) -> DataFrame:
     """Merge of a source that flags excluded records itself (``out``).
 
-    Live rows merge as usual. An excluded record the base lacks enters already removed on an unknown day and is
+    Live rows, among them those whose flag is missing, merge as usual. An excluded record the base lacks enters already removed on an unknown day and is
     never 'new'; a known one is refreshed silently. The order follows the file.
     """
     payload = [c for c in _payload(snap) if c != "out"]
     last = keep_last(snap, "id", "src_pos")
-    live = snap.filter(~F.col("out")).drop("out")
+    live = snap.filter(~F.coalesce("out", F.lit(False))).drop("out")
     merged = snapshot_merge(base, live, today, compare, **options).alias("m")
     out = last.filter("out").alias("o")
     known, flagged = F.col("m.id").isNotNull(), F.col("o.id").isNotNull()

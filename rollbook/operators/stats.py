@@ -22,14 +22,6 @@ def next_of(start: Column, grain: str) -> Column:
     return F.to_date(start + F.expr(STEP[grain]))
 
 
-def rule_series(codes: Column, rules: Sequence[tuple[str, Column]], other: str) -> Column:
-    """First rule that holds names the series."""
-    out = F.lit(other)
-    for name, test in reversed(rules):
-        out = F.when(F.coalesce(test, F.lit(False)), F.lit(name)).otherwise(out)
-    return out
-
-
 def daily_counts(rows: DataFrame, series: Sequence[str], date: str = "date", by: str = "series") -> DataFrame:
     """Rows per day and series; undated rows drop out, an unknown series counts as the last one."""
     name = F.when(F.col(by).isin(*series), F.col(by)).otherwise(F.lit(series[-1]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import code_series
 from ..functions.text import normalize_compact
 from ..operators import changes, search, stats
 from ..operators.position import dense_position
@@ -77,21 +78,11 @@ RULES_SQL = """CASE WHEN len(list_filter(codes, lambda x: regexp_matches(x, '^36
 @query("rule_series", f"""WITH c AS (SELECT p_partkey, [CAST(p_size + 320 AS VARCHAR), CAST(p_size + 280 AS VARCHAR), CASE WHEN p_size < 10 THEN '361-' || p_size END] AS codes FROM part)
 SELECT p_partkey, {RULES_SQL} AS series FROM (SELECT p_partkey, list_filter(codes, lambda x: x IS NOT NULL) AS codes FROM c)""")
 def rule_series_query(spark, sf):
-    # --- Fixed values: code groups of the series ---
-    speech = ["130", "130-1", "367", "368", "369", "369-1", "370", "188", "203-1"]
-    protest = ["342", "293"]
-    # ------------------------------------------------
     codes = F.array_compact(F.array(
         (F.col("p_size") + 320).cast("string"), (F.col("p_size") + 280).cast("string"),
         F.when(F.col("p_size") < 10, F.concat(F.lit("361-"), F.col("p_size").cast("string"))),
     ))
-    rows = table(spark, sf, "part").select("p_partkey", codes.alias("codes"))
-    rules = [
-        ("ext", F.exists("codes", lambda x: x.rlike("^361(-\\d)?$"))),
-        ("protest", F.arrays_overlap("codes", F.array(*[F.lit(x) for x in protest]))),
-        ("speech", F.arrays_overlap("codes", F.array(*[F.lit(x) for x in speech]))),
-    ]
-    return rows.select("p_partkey", stats.rule_series(F.col("codes"), rules, "other").alias("series"))
+    return table(spark, sf, "part").select("p_partkey", code_series(codes).alias("series"))
 
 
 @query("list_position", f"WITH {ITEMS_SQL} SELECT list, id, row_number() OVER (PARTITION BY list ORDER BY pos) AS n FROM items")

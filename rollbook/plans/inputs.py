@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import MONTHS
 from ..functions.text import FOLD_FROM, FOLD_TO, LOWER_GUARD
-from ..session import widen
 from ..sources.publish import haystack
 
 TODAY = "2001-08-01"
@@ -21,7 +20,7 @@ TEXTS = {"documents", "pages"}  # few large rows, much work per row
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return widen(df) if name in TEXTS else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS else df
 
 
 def day(text: str) -> Column:

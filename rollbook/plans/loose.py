@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..session import widen
 from ..sources import ingest, lists, pages
 from .inputs import sql_compact, sql_date_words, sql_id, sql_lev, table
 from .registry import query
@@ -24,17 +23,18 @@ def title_case(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.title_case(F.col("text")).alias("titled"))
 
 
-@query("similar_names", f"""WITH a AS (SELECT n.n_nationkey, s.s_suppkey, c.nm AS a, s.nm AS b FROM nation n
-  JOIN (SELECT c_nationkey, max({sql_compact('c_name')}) AS nm FROM customer GROUP BY 1) c ON c.c_nationkey = n.n_nationkey
-  JOIN (SELECT s_suppkey, s_nationkey, {sql_compact("replace(s_name, 'Supplier', 'Customer')")} AS nm FROM supplier) s ON s.s_nationkey = n.n_nationkey)
-SELECT s_suppkey, a = b OR (length(a) <= 3000 AND {sql_lev('a', 'b')} <= greatest(2, floor(greatest(length(a), length(b)) * 0.08 + 0.5))) AS near8,
+@query("similar_names", f"""WITH a AS (SELECT c_custkey, {sql_compact('c_name')} AS a, {sql_compact("replace(s_name, 'Supplier', 'Customer')")} AS b
+  FROM customer JOIN supplier ON s_suppkey = c_custkey % 1000003 % (SELECT max(s_suppkey) + 1 FROM supplier))
+SELECT c_custkey, a = b OR (length(a) <= 3000 AND {sql_lev('a', 'b')} <= greatest(2, floor(greatest(length(a), length(b)) * 0.08 + 0.5))) AS near8,
        a = b OR {sql_lev('a', 'b')} <= greatest(2, floor(greatest(length(a), length(b)) * 0.15 + 0.5)) AS near15 FROM a""")
 def similar_names(spark, sf):
-    names = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.max(text.normalize_compact(F.col("c_name"))).alias("a"))
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("b"))
-    rows = s.join(names, "n").join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("n")), "n")
+    """Every customer beside a supplier."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("b"))
+    top = s.agg(F.max("s_suppkey") + 1).scalar()
+    key = (F.col("c_custkey") % 1000003) % top
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("a"), key.alias("s_suppkey")).join(s, "s_suppkey")
     a, b = F.col("a"), F.col("b")
-    return rows.select("s_suppkey", text.similar_names(a, b, 0.08, prefix=True, max_len=3000).alias("near8"), text.similar_names(a, b, 0.15).alias("near15"))
+    return rows.select("c_custkey", text.similar_names(a, b, 0.08, prefix=True, max_len=3000).alias("near8"), text.similar_names(a, b, 0.15).alias("near15"))
 
 
 @query("extract_codes", """SELECT p_partkey, array_to_string(list_distinct_keep, ',') AS codes FROM (
@@ -204,7 +204,7 @@ segs AS (
 
 
 def _anchor_docs(spark, sf):
-    o = widen(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey"))
+    o = table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism).select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey")
     st, pr = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
     d = F.date_format("o_orderdate", "dd.MM.yyyy")
     article = (100 + F.col("o_custkey") % 800).cast("string")

@@ -74,39 +74,106 @@ def reorder(spark, sf):
 
 NAMES_SQL = """list_old AS (
   SELECT 'n' || n_nationkey AS id, md5(n_name) AS name, 1990 + n_regionkey AS year, n_nationkey AS ord FROM nation
-  UNION ALL SELECT 'c' || c_custkey, md5(c_name), 1990 + c_nationkey, 1000 + c_custkey FROM customer),
+  UNION ALL SELECT 's' || s_suppkey, md5(s_name), 3000 + s_suppkey, 500 + s_suppkey FROM supplier
+  UNION ALL SELECT 'c' || c_custkey, md5(c_name), 1990 + c_nationkey, 10000000000 + c_custkey FROM customer),
 list_new AS (
   SELECT 'r' || n_nationkey AS id, 'x' || substr(md5(n_name), 2) AS name, 1990 + n_regionkey AS year FROM nation
-  UNION ALL SELECT 'c' || c_custkey, md5(c_name), 1990 + c_nationkey FROM customer
-  UNION ALL SELECT 's' || s_suppkey, md5(s_name), 1990 + s_nationkey FROM supplier)"""
+  UNION ALL SELECT 't' || s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN md5(s_name) ELSE 'xy' || substr(md5(s_name), 3) END, 3000 + s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN 1000000000 ELSE 0 END FROM supplier
+  UNION ALL SELECT 'u' || s_suppkey, 'z' || substr(md5(s_name), 2), 3000 + s_suppkey FROM supplier WHERE s_suppkey % 5 = 0
+  UNION ALL SELECT 'c' || c_custkey, md5(c_name), 1990 + c_nationkey FROM customer)"""
 
 
 def _renamed_lists(spark, sf):
-    """A list whose nations are re-issued under a new id with one letter changed; customers stay, suppliers are new."""
+    """A list of which nations and suppliers are re-issued under a new id: with a letter or two changed, or with another year, and
+    every fifth supplier with a second record that fits as well; customers stay."""
     nation, customer, supplier = (table(spark, sf, t) for t in ("nation", "customer", "supplier"))
 
     def rows(df, tag, key, name, year, *more):
-        return df.select(F.concat(F.lit(tag), key).alias("id"), name.alias("name"), (F.col(year) + 1990).alias("year"), *more)
-
-    c_name, n_name = F.md5("c_name"), F.md5("n_name")
-    old = rows(nation, "n", "n_nationkey", n_name, "n_regionkey", F.col("n_nationkey").cast("long").alias("ord")).unionByName(
-        rows(customer, "c", "c_custkey", c_name, "c_nationkey", (F.col("c_custkey") + 1000).alias("ord")))
-    new = rows(nation, "r", "n_nationkey", F.concat(F.lit("x"), F.substr(n_name, F.lit(2))), "n_regionkey").unionByName(
-        rows(customer, "c", "c_custkey", c_name, "c_nationkey")).unionByName(rows(supplier, "s", "s_suppkey", F.md5("s_name"), "s_nationkey"))
+        return df.select(F.concat(F.lit(tag), key).alias("id"), name.alias("name"), year.cast("long").alias("year"), *more)
+
+    c_name, n_name, s_name = F.md5("c_name"), F.md5("n_name"), F.md5("s_name")
+    n_year, c_year, s_year = F.col("n_regionkey") + 1990, F.col("c_nationkey") + 1990, F.col("s_suppkey") + 3000
+    moved = F.col("s_suppkey") % 3 == 0
+    old = (
+        rows(nation, "n", "n_nationkey", n_name, n_year, F.col("n_nationkey").cast("long").alias("ord"))
+        .unionByName(rows(supplier, "s", "s_suppkey", s_name, s_year, (F.col("s_suppkey") + 500).cast("long").alias("ord")))
+        .unionByName(rows(customer, "c", "c_custkey", c_name, c_year, (F.col("c_custkey") + F.lit(10000000000)).alias("ord")))
+    )
+    changed = F.when(moved, s_name).otherwise(F.concat(F.lit("xy"), F.substr(s_name, F.lit(3))))
+    new = (
+        rows(nation, "r", "n_nationkey", F.concat(F.lit("x"), F.substr(n_name, F.lit(2))), n_year)
+        .unionByName(rows(supplier, "t", "s_suppkey", changed, s_year + F.when(moved, 1000000000).otherwise(0)))
+        .unionByName(rows(supplier.filter("s_suppkey % 5 = 0"), "u", "s_suppkey", F.concat(F.lit("z"), F.substr(s_name, F.lit(2))), s_year))
+        .unionByName(rows(customer, "c", "c_custkey", c_name, c_year))
+    )
     return old, new
 
 
-@query("edit_pairs", f"""WITH {NAMES_SQL},
+EDGES_SQL = f"""{NAMES_SQL},
 gone AS (SELECT * FROM list_old WHERE id NOT IN (SELECT id FROM list_new)),
 fresh AS (SELECT * FROM list_new WHERE id NOT IN (SELECT id FROM list_old)),
-edges AS (SELECT g.id AS old_id, f.id AS new_id FROM gone g JOIN fresh f
-  ON (g.year = f.year AND levenshtein(g.name, f.name) <= 5) OR (g.year <> f.year AND g.name = f.name))
-SELECT old_id, new_id FROM edges QUALIFY count(*) OVER (PARTITION BY old_id) = 1""")
+edges AS (SELECT g.id AS old_id, f.id AS new_id FROM gone g JOIN fresh f ON g.year = f.year AND levenshtein(g.name, f.name) <= 5
+  UNION SELECT g.id, f.id FROM gone g JOIN fresh f ON g.year <> f.year AND g.name = f.name),
+edit_pairs AS (SELECT old_id, new_id FROM edges QUALIFY count(*) OVER (PARTITION BY old_id) = 1)"""
+
+
+@query("edit_pairs", f"WITH {EDGES_SQL} SELECT old_id, new_id FROM edit_pairs")
 def edit_pairs(spark, sf):
+    """No two old records share a candidate here, so the order decides nothing; tests cover the order."""
     old, new = _renamed_lists(spark, sf)
     gone = old.join(new.select("id"), "id", "left_anti").withColumnRenamed("ord", "base_ord")
     fresh = new.join(old.select("id"), "id", "left_anti")
-    return merge.pair_edits(gone, fresh, merge.year_rule, merge.year_blocks, max_pairs=60)
+    return merge.pair_edits(gone, fresh, merge.year_rule, merge.year_blocks)
+
+
+def _history(rows, added="1999-01-01"):
+    none = lambda t: F.lit(None).cast(t)
+    return rows.withColumns({
+        "added": day(added), "is_removed": F.lit(False), "removed": none("date"), "edited": none("date"), "edit_of": none("string"), "replaced_by": none("string")})
+
+
+@query("snapshot_merge_edits", f"""WITH {EDGES_SQL}, all_ids AS (SELECT id FROM list_old UNION SELECT id FROM list_new),
+rows AS (SELECT a.id, o.id IS NOT NULL AS was, n.id IS NOT NULL AS is_in, p.new_id, q.old_id, o.ord AS base_ord FROM all_ids a LEFT JOIN list_old o ON o.id = a.id LEFT JOIN list_new n ON n.id = a.id
+  LEFT JOIN edit_pairs p ON p.old_id = a.id LEFT JOIN edit_pairs q ON q.new_id = a.id)
+SELECT id, CASE WHEN was OR old_id IS NOT NULL THEN DATE '1999-01-01' ELSE DATE '{TODAY}' END AS added, NOT is_in AS is_removed, CASE WHEN NOT is_in THEN DATE '{TODAY}' END AS removed,
+  CASE WHEN old_id IS NOT NULL THEN DATE '{TODAY}' END AS edited, old_id AS edit_of, new_id AS replaced_by,
+  CASE WHEN old_id IS NOT NULL THEN 'edit_new' WHEN new_id IS NOT NULL THEN 'edit_old' WHEN NOT was THEN 'new' WHEN NOT is_in THEN 'removed' ELSE 'kept' END AS status FROM rows""")
+def snapshot_merge_edits(spark, sf):
+    """Re-issued records keep their first day, and both versions point at each other."""
+    old, new = _renamed_lists(spark, sf)
+    base, snap = _history(old), new.withColumn("src_pos", F.xxhash64("id"))
+    rows = merge.snapshot_merge(base, snap, day(TODAY), ["name", "year"], initial=False, rule=merge.year_rule, blocks=merge.year_blocks)
+    return rows.select("id", "added", "is_removed", "removed", "edited", "edit_of", "replaced_by", "status")
+
+
+@query("merge_versioned", f"""WITH {EDGES_SQL}
+SELECT n.id, CASE WHEN q.old_id IS NOT NULL THEN DATE '1998-05-05' WHEN o.id IS NOT NULL THEN DATE '1998-05-05' ELSE DATE '2001-07-07' END AS since,
+  CASE WHEN q.old_id IS NOT NULL THEN 'edit_new' WHEN o.id IS NULL THEN 'new' ELSE 'kept' END AS status
+FROM list_new n LEFT JOIN list_old o ON o.id = n.id LEFT JOIN edit_pairs q ON q.new_id = n.id
+UNION ALL SELECT o.id, DATE '1998-05-05', CASE WHEN p.new_id IS NOT NULL THEN 'edit_old' ELSE 'removed' END FROM list_old o LEFT JOIN edit_pairs p ON p.old_id = o.id WHERE o.id NOT IN (SELECT id FROM list_new)""")
+def merge_versioned(spark, sf):
+    """A list that knows since when a record is in it: a re-issued one inherits the day, a new one gets that of the file."""
+    old, new = _renamed_lists(spark, sf)
+    base, snap = _history(old).withColumn("since", day("1998-05-05")), new.withColumn("src_pos", F.xxhash64("id"))
+    rows = merge.snapshot_merge(
+        base, snap, day(TODAY), ["name", "year"], initial=False, rule=merge.year_rule, blocks=merge.year_blocks, first_seen=day("2001-07-07"))
+    return rows.select("id", "since", "status")
+
+
+@query("merge_excluded", f"""WITH {BASE_SQL}, {SNAP_SQL}, {LATEST_SQL}, flagged AS (SELECT *, cust % 7 = 0 AS out FROM latest),
+live AS (SELECT * FROM flagged WHERE NOT out)
+SELECT coalesce(b.id, f.id) AS id, coalesce(f.src_pos, (SELECT count(*) FROM snap) + b.ord) AS ord,
+  CASE WHEN b.id IS NULL AND NOT f.out THEN DATE '{TODAY}' END AS added,
+  CASE WHEN b.id IS NULL THEN f.out WHEN l.id IS NOT NULL THEN false ELSE true END AS is_removed,
+  CASE WHEN b.id IS NULL OR l.id IS NOT NULL THEN NULL WHEN b.is_removed THEN b.removed ELSE DATE '{TODAY}' END AS removed,
+  coalesce(f.price, b.price) AS price,
+  CASE WHEN b.id IS NULL AND f.out THEN 'excluded' WHEN b.id IS NULL THEN 'new' WHEN l.id IS NULL AND NOT b.is_removed THEN 'removed' WHEN l.id IS NULL THEN 'kept'
+       WHEN b.is_removed AND l.price IS DISTINCT FROM b.price THEN 'returned_edited' WHEN b.is_removed THEN 'returned' WHEN l.price IS DISTINCT FROM b.price THEN 'edited' ELSE 'kept' END AS status
+FROM base b FULL OUTER JOIN flagged f ON f.id = b.id LEFT JOIN live l ON l.id = b.id""")
+def merge_excluded(spark, sf):
+    """The source flags every seventh customer's records itself."""
+    snap = snapshot(spark, sf).withColumn("out", F.col("cust") % 7 == 0)
+    return merge.merge_with_exclusions(base_list(spark, sf), snap, day(TODAY), COMPARED, initial=False).select("id", "ord", "added", "is_removed", "removed", "price", "status")
 
 
 FOLD_SQL = """lists AS (
@@ -158,13 +225,24 @@ pairs AS (SELECT DISTINCT p.id AS p_id, w.id AS w_id FROM p JOIN w ON p.name = w
 SELECT 'p' AS list, p_id AS id, count(*) AS links, min(w_id) AS first_link FROM pairs GROUP BY p_id
 UNION ALL SELECT 'w', w_id, count(*), min(p_id) FROM pairs GROUP BY w_id""")
 def cross_links(spark, sf):
+    return link.cross_links(*_persons_and_wanted(spark, sf))
+
+
+@query("links_of", f"""WITH {LINK_SQL} SELECT p_id AS person_id, w_id AS wanted_id FROM pairs WHERE p_id IN (SELECT l_partkey FROM lineitem)""")
+def links_of(spark, sf):
+    """The linked ids of every record that is asked for: those that occur in orders."""
+    asked = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"))
+    return link.links_of(asked, *_persons_and_wanted(spark, sf))
+
+
+def _persons_and_wanted(spark, sf):
     part = table(spark, sf, "part")
     turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
     wanted_type = F.col("p_type").isin("PROMO", "ECONOMY", "STANDARD")
     ident, year = F.col("p_partkey").alias("id"), F.col("p_size").alias("year")
     wanted = part.filter(wanted_type).select(ident, F.col("p_name").alias("name"), F.array(turned).alias("aliases"), year)
     name = F.when(F.col("p_type") == "LARGE", turned).otherwise(F.col("p_name"))
-    return link.cross_links(part.filter(~wanted_type).select(ident, name.alias("name"), year), wanted)
+    return part.filter(~wanted_type).select(ident, name.alias("name"), year), wanted
 
 
 CHAIN_SQL = """edges AS (SELECT o_orderkey AS id, o_orderkey - 1 AS edit_of FROM orders WHERE o_orderpriority <> '1-URGENT'),

@@ -37,6 +37,22 @@ def feed_top100(spark, sf):
     return changes.feed_rows(items(spark, sf)).select("id", "feed_day")
 
 
+LINKED_FEED_SQL = f"""WITH RECURSIVE {ITEMS_SQL}, edges AS (SELECT id, 'p' || (CAST(substr(id, 2) AS BIGINT) - 1) AS edit_of FROM items WHERE list = 'p' AND label = 'AUTOMOBILE'),
+walk(id, cur, hops) AS (SELECT id, id, 0 FROM items UNION ALL SELECT w.id, e.edit_of, w.hops + 1 FROM walk w JOIN edges e ON e.id = w.cur WHERE w.hops < 8),
+roots AS (SELECT id, arg_max(cur, hops) AS root FROM walk GROUP BY id),
+feed AS (SELECT id, added AS feed_day, merged_into FROM items WHERE added IS NOT NULL AND removed IS NULL ORDER BY added DESC, pos LIMIT 100)
+SELECT id, feed_day, root, coalesce(merged_into, id) AS target FROM feed JOIN roots USING (id)"""
+
+
+@query("feed_linked", LINKED_FEED_SQL)
+def feed_linked(spark, sf):
+    """Feed rows with the first version of each record and the record that a link leads to."""
+    rows = items(spark, sf)
+    before = F.concat(F.lit("p"), (F.substring("id", 2, 20).cast("long") - 1).cast("string"))
+    edges = rows.filter("list = 'p' AND label = 'AUTOMOBILE'").select("id", before.alias("edit_of"))
+    return changes.feed_links(changes.feed_rows(rows), edges).select("id", "feed_day", "root", "target")
+
+
 @query("feed_without_history", f"WITH {ITEMS_SQL} SELECT id, date AS feed_day FROM items WHERE list = 'm' ORDER BY date DESC NULLS LAST, pos LIMIT 100")
 def feed_without_history(spark, sf):
     return changes.feed_rows(items(spark, sf).withColumn("added", F.lit(None).cast("date"))).select("id", "feed_day")
@@ -288,11 +304,12 @@ def source_stamps(spark, sf):
     return health.down_dates(metas).withColumn("is_latest", F.col("source") == latest)
 
 
-@query("source_facts", f"""WITH {METAS_SQL}, k(source) AS (VALUES (0), (1), (5), (77), (100000))
+@query("source_facts", f"""WITH {METAS_SQL}, k AS (SELECT c_custkey AS source FROM customer)
 SELECT k.source, coalesce(total, 0) AS total, CAST(checked_at AS DATE) AS checked, CAST(checked_at AS DATE) AS source_date FROM k LEFT JOIN cur USING (source)""")
 def source_facts(spark, sf):
-    metas = _stamps(spark, sf).withColumn("source", F.col("source").cast("string"))
-    return health.source_facts(metas, ["0", "1", "5", "77", "100000"]).withColumn("source", F.col("source").cast("long"))
+    """Every customer is a known source; many were never imported."""
+    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("source"))
+    return health.source_facts(_stamps(spark, sf), known)
 
 
 @query("snapshot_guards", """WITH m AS (SELECT source, count(*) FILTER (lang <> 'de') AS kept, count(*) FILTER (lang = 'de') AS skipped FROM documents GROUP BY 1)

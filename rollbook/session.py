@@ -65,16 +65,3 @@ def settle(df: DataFrame, **cols: Column) -> DataFrame:
     filter on a derived column would repeat the whole derivation.
     """
     return df.select(*[F.col(c) for c in df.columns if c not in cols], F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores, for heavy work after a shuffle whose small output would be coalesced."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores is spread over them; a wide scan is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -22,6 +22,7 @@ NUMBER = "^\\d+$"
 ANY_DATE = "\\d{1,2}\\.\\d{2}\\.\\d{2,4}"
 MAX_NAME, MAX_ALIASES, MAX_SHORT, MAX_CATEGORY = 120, 10, 60, 80
 YEAR_MIN, YEAR_MAX = 1900, 2100
+FIRST_DECISION = "(\\d{1,2}\\.\\d{2}\\.\\d{4})\\s*(?:г\\.?\\s*)?№?\\s*([^\\s«»\"“”]+)?"
 EXCLUDED_BASIS = "(?iu)санкционн|ООН|Совет[а-яё]* Безопасности"
 ALSO_KNOWN = "(?iu)\\s*,?\\s*(?:на основании[^:]*?|может быть также|может быть)\\s*(?:известен|известна|известны)\\s+как:?\\s*"
 CYRILLIC, LATIN = "(?iu)[а-яё]", "(?i)[a-z]"
@@ -66,8 +67,7 @@ def text_records(docs: DataFrame, key: str, body: str, record_sep: str = "\t\n",
 
 def first_decision(basis: Column) -> Column:
     """Date and number of the first decision named in a basis; a lasting key, later ones are appended."""
-    shape = "(\\d{1,2}\\.\\d{2}\\.\\d{4})\\s*(?:г\\.?\\s*)?№?\\s*([^\\s«»\"“”]+)?"
-    day, number = F.regexp_extract(basis, shape, 1), F.regexp_extract(basis, shape, 2)
+    day, number = F.regexp_extract(basis, FIRST_DECISION, 1), F.regexp_extract(basis, FIRST_DECISION, 2)
     return F.trim(F.concat_ws(" ", day, number))
 
 
@@ -198,14 +198,21 @@ def anchor_segments(docs: DataFrame, key: str, body: str, rules: AnchorRules = A
         end = F.coalesce(end, i + 2)
         return F.struct(i.alias("i"), born.alias("born"), entered.alias("entered"), end.alias("end"))
 
+    def cut(a, before):
+        low = F.greatest(F.least(before + 1, a["i"] - 1), F.lit(0))
+        own = F.slice("cells", low + 1, F.greatest(a["i"] + 4, a["end"] + 2) - low + 1)
+        return F.struct(
+            own.alias("cells"), (a["i"] - low).alias("i"), a["born"].alias("born"), a["entered"].alias("entered"), (a["end"] - low).alias("end"), (before - low).alias("prev"))
+
     docs = settle(docs.select(key, body), cells=cells).drop(body).filter(F.size("cells") >= 2)
     places = F.filter(F.sequence(F.lit(1), F.size("cells") - 1), lambda i: is_anchor(at(i)))
     docs = settle(docs, anchors=F.transform(places, anchor))
     # an end reaches at most three cells past its anchor, so the last four anchors decide where a head begins
     prev = F.transform("anchors", lambda a, t: F.coalesce(
         F.array_max(F.transform(F.slice("anchors", F.greatest(t - 3, F.lit(1)), F.least(t, F.lit(4))), lambda b: b["end"])), F.lit(-1)))
-    rows = docs.withColumn("prev", prev).select(key, "cells", F.posexplode(F.arrays_zip("anchors", "prev")).alias("seg", "z"))
-    rows = rows.select(key, "cells", "seg", "z.anchors.*", F.col("z.prev").alias("prev"))
+    # each segment takes its own cells along, from the end of the one before to the last cell that its end can name
+    zipped = F.transform(F.arrays_zip("anchors", prev.alias("prev")), lambda z: cut(z["anchors"], z["prev"]))
+    rows = docs.select(key, F.posexplode(zipped).alias("seg", "z")).select(key, "seg", "z.*")
 
     stop = F.when(F.col("born"), F.col("i") - 2).otherwise(F.col("i") - 1)
     spots = F.when(stop > F.col("prev"), F.sequence(F.col("prev") + 1, stop)).otherwise(F.array().cast("array<int>"))

@@ -69,9 +69,11 @@ def links(db: DataFrame, folded: DataFrame) -> DataFrame:
     return link.cross_links(persons, wanted)
 
 
-def build_corpus(lists: Mapping[str, DataFrame]) -> DataFrame:
+def build_corpus(lists: Mapping[str, DataFrame], folded_label: str = "", mark: str = "") -> DataFrame:
     """The search corpus: one row per record with its position, search text, series and links.
 
+    ``folded_label`` and ``mark`` are words that the search text of records of the folded list, and of those that have one, gets.
+
     ``list`` 't' is shown as part of 'p'; ``merged_into`` hides a folded record, ``marked`` tells who has one.
     """
     db = all_records(lists)
@@ -96,7 +98,7 @@ def build_corpus(lists: Mapping[str, DataFrame]) -> DataFrame:
         F.col("is_removed"), "removed", "edit_of", "replaced_by", "merged_into",
         (cols["marked"] | (kind == "t")).alias("marked"), F.coalesce("links_n", F.lit(0)).alias("links_n"),
         labels.record_series(kind, cols).alias("series"),
-        haystack(names, labels.record_label(kind, cols), labels.record_place(kind, cols), shown_day).alias("h"),
+        haystack(names, labels.record_label(kind, cols, folded_label, mark), labels.record_place(kind, cols), shown_day).alias("h"),
     )
 
 

@@ -120,6 +120,26 @@ def test_two_candidates_are_no_edit_and_many_removed_are_none(spark):
     assert pairs(spark, gone, fresh, max_pairs=2) == set()
 
 
+def test_pairs_follow_the_order_as_a_loop_would(spark):
+    """Chains of records that wait for each other, ties in the order, and old records that share candidates."""
+    import random
+
+    rng = random.Random(7)
+    edges = {(o, n) for o in range(60) for n in range(45) if rng.random() < 0.04} | {(100 + i, 200 + j) for i in range(30) for j in (i, i + 1)}
+    olds = {o: rng.randint(0, 40) for o, _ in edges}
+    used, want = set(), set()
+    for o in sorted(olds, key=lambda o: (olds[o], o)):
+        free = [n for x, n in sorted(edges) if x == o and n not in used]
+        if len(free) == 1:
+            used.add(free[0])
+            want.add((o, free[0]))
+    g = spark.createDataFrame([(o, [n for x, n in edges if x == o], pos) for o, pos in olds.items()], "id long, fits array<long>, base_ord long")
+    f = spark.createDataFrame([(n,) for n in {n for _, n in edges}], "id long").withColumn("fits", F.array("id"))
+    rule = lambda o, n: F.arrays_overlap(F.col(f"{o}.fits"), F.col(f"{n}.fits"))
+    got = merge.pair_edits(g, f, rule, [lambda a: [F.lit(1)]])
+    assert {(r["old_id"], r["new_id"]) for r in got.collect()} == want and len(want) > 10
+
+
 def test_hot_name_drops_only_hopeless_records(spark):
     gone = [("o1", "zzzzzzzz", 1), ("o2", "unique name", 2)]
     fresh = [(f"n{i}", "zzzzzzzz", 100 + i) for i in range(200)] + [("m", "unique name", 3)]
@@ -135,7 +155,7 @@ def test_versioned_list_fills_and_inherits_since(spark):
 
 def test_source_that_flags_excluded_records(spark):
     b = base(spark, ("a", "x", 1, 0, None, None, None), ("k", "y", 1, 1, None, None, None))
-    s = spark.createDataFrame([("a", "X", 1, True, 0), ("z", "z", 1, True, 1), ("k", "y", 1, False, 2), ("n", "n", 1, False, 3)],
+    s = spark.createDataFrame([("a", "X", 1, True, 0), ("z", "z", 1, True, 1), ("k", "y", 1, None, 2), ("n", "n", 1, False, 3)],
                               "id string, name string, year int, out boolean, src_pos long")
     got = {r["id"]: r for r in merge.merge_with_exclusions(b, s, today(), ["name", "year"]).collect()}
     assert got["a"]["removed"] == D and got["a"]["name"] == "X" and got["a"]["status"] == "removed"

@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import compare, oracle
+from rollbook.plans import all_oracles, all_queries
 
 
 @pytest.fixture(scope="module")
@@ -16,13 +17,13 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(all_oracles()) <= set(all_queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, sf, con, name):
-    sql = oracle_sql().get(name)
+    sql = all_oracles().get(name)
     if sql is None:
-        assert queries()[name](spark, sf).count() > 0
+        assert all_queries()[name](spark, sf).count() > 0
     else:
-        assert compare(spark, con, sf, name, queries()[name], sql) is None
+        assert compare(spark, con, sf, name, all_queries()[name], sql) is None

@@ -29,20 +29,20 @@ def lists(spark):
 
 
 def test_corpus(spark, lists):
-    got = {r["id"]: r for r in registers.build_corpus(lists).collect()}
+    got = {r["id"]: r for r in registers.build_corpus(lists, folded_label="Folded B", mark="folded b").collect()}
     assert [r["id"] for r in sorted(got.values(), key=lambda r: r["pos"])] == ["m1", "p1", "p2", "w1", "t1", "t2"]
     assert got["t1"]["merged_into"] == "p1" and got["t1"]["list"] == "p" and got["t2"]["merged_into"] is None
     assert got["p1"]["marked"] and not got["p2"]["marked"] and got["t2"]["marked"]
     assert (got["p1"]["links_n"], got["w1"]["links_n"], got["t1"]["links_n"]) == (1, 1, 0)
     assert {k: got[k]["series"] for k in got} == {"m1": "gpk", "p1": "protest", "p2": "other", "w1": "wmvd", "t1": "terror", "t2": "terror"}
     assert got["m1"]["h"] == "синий том\nкнига\nсуда северного района г.эн\n5 мая 2020 05.05.2020"
-    assert got["p1"]["h"].startswith("алый бор aly bor 01.02.1980\nст. 342 ук · террорист")
+    assert got["p1"]["h"].startswith("алый бор aly bor 01.02.1980\nст. 342 ук · folded b")
     assert "тайна" not in got["p1"]["h"] and got["w1"]["h"] == "иной алый бор 1980\nрозыск рф по запросу мвд\nэн\n"
 
 
 def test_search_over_the_corpus(spark, lists):
-    corpus = registers.build_corpus(lists)
-    qs = spark.createDataFrame([(1, "алый бор"), (2, "aly bor"), (3, "тэрарыст")], "q int, query string")
+    corpus = registers.build_corpus(lists, folded_label="Folded B", mark="folded b")
+    qs = spark.createDataFrame([(1, "алый бор"), (2, "aly bor"), (3, "folded")], "q int, query string")
     got = {(r["q"], r["id"]) for r in search.staged_search(corpus, qs).collect()}
     assert got == {(1, "p1"), (1, "w1"), (2, "p1"), (2, "w1"), (3, "p1"), (3, "t2")}
 

@@ -125,6 +125,23 @@ def test_publish_is_all_or_nothing(spark):
     assert publish.current_version(spark, root)[0] == 2 and publish.read_current(spark, root, "id long").count() == 5
 
 
+def test_no_label_is_shipped(spark):
+    from rollbook.functions import labels
+
+    cols = {c: F.lit(None).cast("string") for c in ("agency", "kind", "type", "region", "court", "decided_by")}
+    cols |= {"articles": F.lit(None).cast("array<string>"), "marked": F.lit(True)}
+    row = spark.range(1).select(*[labels.record_label(F.lit(k), cols).alias(k) for k in "tp"], labels.record_label(F.lit("t"), cols, "Listed").alias("named")).first()
+    assert (row["t"], row["p"], row["named"]) == ("", "", "Listed")
+
+
+def test_codes_match_beside_cyrillic_letters(spark):
+    """A word boundary here knows Cyrillic letters: ГПК inside a longer word is none."""
+    from rollbook.functions.labels import article
+
+    rows = spark.createDataFrame([("статья 12 ГПК", "gpk"), ("статья 12 НГПКА", None), ("статья 12 КГС.", "kgs")], "s string, want string")
+    assert all(r["got"]["code"] == r["want"] for r in rows.select("want", article(F.col("s")).alias("got")).collect())
+
+
 def test_optional_list(spark):
     assert lists.read_list(spark, "/tmp/rollbook-none", "id long", optional=True).count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
@@ -217,6 +234,16 @@ def test_stream_merge_keeps_snapshots_apart(spark):
         run(cp)
 
 
+def test_long_ragged_documents_carry_no_copies(spark):
+    """Thousands of records in a document: each segment has its own few cells, and all records come out."""
+    cell = lambda i: [str(i), f"Имя{'абвг'[i % 4]} Фамилия", "Name", "Страна", "01.02.1990", "Вступивший в законную силу приговор суда района , статья 130", "05.06.2020", "адрес", "справка"]
+    docs = [(1, "\t".join(c for i in range(3000) for c in cell(i) + ([""] if i % 3 else []))), (2, "\t".join(cell(7))), (3, "")]
+    got = ingest.anchor_segments(spark.createDataFrame(docs, "doc long, body string"), "doc", "body")
+    rows = got.filter("outcome = 'record'").collect()
+    assert sorted(r["num"] for r in rows if r["doc"] == 1) == list(range(3000))
+    assert {(r["address"], r["info"]) for r in rows} == {("адрес", "справка")}
+
+
 def test_late_events_are_counted(spark):
     src, out, cp = (work_dir(spark, x) for x in ("src", "out", "cp"))
     for d in (10, 20, 21, 11, 10):
