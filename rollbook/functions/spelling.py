@@ -17,18 +17,19 @@ CYRILLIC_TO_LATIN = {
 CYRILLIC_TO_LACINKA = CYRILLIC_TO_LATIN | {
     "г": "h", "ж": "z", "й": "j", "х": "ch", "ц": "c", "ч": "c", "ш": "s", "щ": "sc", "ю": "ju", "я": "ja",
 }
-LATIN_LETTERS = {
-    "a": "а", "b": "б", "c": "ц", "d": "д", "f": "ф", "g": "г", CYRILLIC_I: CYRILLIC_I, "j": "й", "k": "к", "l": "л",
-    "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс",
-    "y": "ы", "z": "з", "'": "ь",
-}
 LATIN_TO_CYRILLIC = {
     "shch": "щ", "zh": "ж", "kh": "х", "ts": "ц", "ch": "ч", "sh": "ш", "yu": "ю", "ya": "я", "yo": "е", "ye": "е",
-} | LATIN_LETTERS | {"e": "е", "h": "х", "q": "к"}
+    "a": "а", "b": "б", "c": "ц", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", CYRILLIC_I: CYRILLIC_I, "j": "й", "k": "к",
+    "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в",
+    "x": "кс", "y": "ы", "z": "з", "'": "ь",
+}
 LACINKA_TO_CYRILLIC = {
     "ch": "х", "dz": "дз", "dž": "дж", "ju": "ю", "ja": "я", "je": "е", "jo": "е", "ž": "ж", "č": "ч", "š": "ш",
     "ć": "ць", "ń": "нь", "ś": "сь", "ź": "зь", "ł": "л", "ŭ": "ў", "ó": "о",
-} | LATIN_LETTERS | {"e": "э", "h": "г"}
+    "a": "а", "b": "б", "c": "ц", "d": "д", "e": "э", "f": "ф", "g": "г", "h": "г", CYRILLIC_I: CYRILLIC_I, "j": "й", "k": "к",
+    "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс",
+    "y": "ы", "z": "з", "'": "ь",
+}
 HAS_LATIN = "[a-zžčšćńśźłŭó]"
 HAS_CYRILLIC = "[а-яёўґ]"
 ONE_WORD = "^[\\p{L}'ʼ-]+$"

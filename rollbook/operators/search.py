@@ -299,6 +299,14 @@ def result_page(hits: DataFrame, order: Sequence[Column], size: int = PAGE, by:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= size)
 
 
+def next_page(hits: DataFrame, last: DataFrame, size: int = PAGE, by: str = "q") -> DataFrame:
+    """The page, newest first, after the last row seen of each query: ``last`` has ``q, date, pos``. Earlier pages are not sorted again."""
+    place = lambda date, pos: F.struct(date.isNull(), -F.unix_date(date), -pos)
+    seen = last.select(by, place(F.col("date"), F.col("pos")).alias("_seen"))
+    rest = hits.join(seen, by).filter(place(F.col("date"), F.col("pos")) > F.col("_seen")).drop("_seen")
+    return result_page(rest, newest_first(), size, by)
+
+
 # --- ranges and links in texts ---------------------------------------------------------------------
 
 def ranges_in(text: str, variants: Sequence[str]) -> list[tuple[int, int]]:

@@ -302,6 +302,16 @@ def result_page(spark, sf):
     return search.result_page(hits, search.newest_first()).select("q", "id", "rank")
 
 
+@query("result_page_next", f"""WITH {STAGED_SQL}, ranked AS (
+  SELECT f.q, f.id, row_number() OVER (PARTITION BY f.q ORDER BY i.date DESC NULLS LAST, i.pos DESC) AS n FROM found f JOIN items i USING (id))
+SELECT q, id, n - 50 AS rank FROM ranked WHERE n BETWEEN 51 AND 100""")
+def result_page_next(spark, sf):
+    """The second page of every query, asked for by the last row of the first."""
+    hits = staged(search.staged_search(_corpus(spark, sf), queries_of(spark, ITEM_QUERIES)), "hits")
+    last = search.result_page(hits, search.newest_first()).filter(F.col("rank") == search.PAGE).select("q", "date", "pos")
+    return search.next_page(hits, last).select("q", "id", "rank")
+
+
 @query("facet_counts", f"""WITH {ITEMS_SQL}, l(list) AS (VALUES ('m'), ('f'), ('p'), ('w'))
 SELECT l.list, count(i.id) AS n FROM l LEFT JOIN items i ON i.list = l.list AND i.removed IS NULL GROUP BY 1
 UNION ALL SELECT 'all', count(*) FROM items WHERE removed IS NULL""")

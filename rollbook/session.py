@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_STAGES: dict[str, list[str]] = {}
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "rollbook") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     return (
@@ -30,11 +34,11 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own under /tmp.
+    Only a session in one process (``local[n]``, as tests use) without that setting gets a folder of its own under /tmp.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="rollbook-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,13 +55,23 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor never changes which row got which number, and later reads of the
-    stage still prune columns and push filters down.
+    stage still prune columns and push filters down. :func:`free_stages` deletes what was written.
     """
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _STAGES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_stages(spark: SparkSession) -> int:
+    """Delete the stages that this session has written so far, and tell how many. Frames made from them can't be read any more."""
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def settle(df: DataFrame, **cols: Column) -> DataFrame:
     """Add costly columns so that each is computed once per row.
 
