@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
 from .components import components
-from .near import Forest, _fields, _groups
+from .near import Forest, _fields, _groups, tiled
 from .words import ragged
 
 #: Vectors that centres are fitted on, nodes at home in a shard, and centres at most.
@@ -29,12 +29,20 @@ SAMPLE, SHARD, MOST_SHARDS = 8192, 1500, 2048
 DEGREE, CANDIDATES, PRUNE = 20, 48, 1.2
 MEDOIDS, BEAM, SLACK = 16, 24, 0.1
 AUDITED = 400
+#: Rows of a shard that meet in one task; a larger shard, as of very many near copies, is dealt over tiles of two blocks.
+TILE = 16_384
 
 
 def _matrix(column, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
 
 
+def usable(vector: Column) -> Column:
+    """Not null or empty, and all components finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
+
+
 def nodes_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``node`` (lowest id), ``copies``, ``dims`` and ``unit`` (bytes of doubles, of length 1) of each distinct usable vector, by ``k1, k2``."""
 
@@ -44,16 +52,15 @@ def nodes_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 part = b.slice(at, 4096)
                 units, dims = [], []
                 for v in part.column(4).to_pylist():
-                    x = np.array([np.nan if y is None else y for y in v], float)
-                    top = np.abs(x).max() if len(x) else 0.0
-                    good = np.isfinite(top) and top > 0 and np.isfinite(x).all()
-                    x = x / top if good else x
-                    units.append((x / np.sqrt((x * x).sum())).astype("<f8").tobytes() if good else None)
+                    x = np.array(v, float)
+                    top = np.abs(x).max()
+                    x = x / top if top > 0 else x
+                    units.append((x / np.sqrt((x * x).sum())).astype("<f8").tobytes() if top > 0 else None)
                     dims.append(len(v))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["k1", "k2", "node", "copies", "dims", "unit"])
 
     vector = F.col("v")
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].alias("v")).where(vector.isNotNull() & F.col("id").isNotNull())
+    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].alias("v")).where(usable(vector) & F.col("id").isNotNull())
     rows = rows.select("id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(5), "v").alias("k2"))
     same = rows.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
     out = same.select("k1", "k2", "node", "copies", "v").mapInArrow(normalise, "k1 long, k2 long, node long, copies long, dims int, unit binary")
@@ -127,9 +134,9 @@ def graph(rows: DataFrame, dims: int, shards: int) -> DataFrame:
         if not sum(b.num_rows for b in batches):
             return
         table = pa.Table.from_batches(batches)
-        shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy()
+        shard, ta, tb, node = (c.to_numpy() for c in _fields(batches, ["shard", "tile_a", "tile_b", "node"]))
         units = _matrix(table.column("unit"), dims)
-        order, starts, stops = _groups([shard])
+        order, starts, stops = _groups([shard, ta, tb])
         for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
             own = order[lo:hi]
             to = pruned(units[own])
@@ -137,7 +144,7 @@ def graph(rows: DataFrame, dims: int, shards: int) -> DataFrame:
             u, v = node[own[a]], node[own[to[a, b]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, v])), pa.array(np.concatenate([v, u]))], ["node", "neighbour"])
 
-    edges = rows.repartition(shards, "shard").mapInArrow(build, "node long, neighbour long")
+    edges = rows.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(build, "node long, neighbour long")
     return edges.groupBy("node").agg(F.collect_set("neighbour").alias("neighbours"))  # by 2 * DEGREE in each shard, but for hubs
 
 
@@ -200,9 +207,9 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
         if not sum(b.num_rows for b in batches):
             return
         table = pa.Table.from_batches(batches)
-        shard, home, node, copies = (c.to_numpy() for c in _fields(batches, ["shard", "home", "node", "copies"]))
+        shard, home, node, copies, ta, tb, block = (c.to_numpy() for c in _fields(batches, ["shard", "home", "node", "copies", "tile_a", "tile_b", "block"]))
         units = _matrix(table.column("unit"), dims)
-        order, starts, stops = _groups([shard])
+        order, starts, stops = _groups([shard, ta, tb])
         for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
             own = order[lo:hi][np.argsort(node[order[lo:hi]], kind="stable")]
             ids = node[own]
@@ -221,6 +228,9 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
             u, v = np.concatenate(us or [at_home[:0]]), np.concatenate(vs or [at_home[:0]])
             pairs = np.unique(np.minimum(u, v) * len(own) + np.maximum(u, v))
             u, v = pairs // len(own), pairs % len(own)
+            if ta[own[0]] != tb[own[0]]:  # pairs inside a block belong to the tile of that block alone
+                apart = block[own[u]] != block[own[v]]
+                u, v = u[apart], v[apart]
             inside = is_home[u] & is_home[v]
             iu, iv = u[inside], v[inside]
             weight = copies[own]
@@ -241,8 +251,8 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
                 if len(p[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], ["kind", "u", "v", "n", "m"])
 
-    joined = rows.join(adjacency, "node", "left").select("shard", "home", "node", "copies", "unit", "neighbours")
-    return joined.repartition(shards, "shard").mapInArrow(search, "kind int, u long, v long, n long, m long")
+    joined = rows.join(adjacency, "node", "left").select("shard", "tile_a", "tile_b", "block", "home", "node", "copies", "unit", "neighbours")
+    return joined.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(search, "kind int, u long, v long, n long, m long")
 
 
 def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, audited: int = AUDITED) -> float:
@@ -288,7 +298,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         centres = centres_of(units, shards) if len(units) else np.zeros((1, dims))
         more = guests
         while True:
-            rows = dealt(own, centres, more)
+            rows = tiled(dealt(own, centres, more), "shard", F.xxhash64("node"), TILE)
             found = staged(found_links(rows, graph(rows, dims, shards), dims, shards, least), "links")
             pairs = found.where("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("u") < F.col("v"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
             counted = found.where("kind = 0").select(F.col("u").alias("node"), "n").unionByName(pairs.select(F.col("u").alias("node"), F.col("m").alias("n"))).unionByName(pairs.select(F.col("v").alias("node"), "n"))
@@ -298,7 +308,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             more = min(2 * more + 1, shards - 1)
         tied = found.where("kind > 0").select("u", "v")
         links, edges = (counted, tied) if links is None else (links.unionByName(counted), edges.unionByName(tied))
-    rows = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[vector_col]).alias("k1"), F.xxhash64(F.lit(5), df[vector_col]).alias("k2"), df[vector_col].isNotNull().alias("some"))
+    rows = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[vector_col]).alias("k1"), F.xxhash64(F.lit(5), df[vector_col]).alias("k2"), usable(df[vector_col]).alias("some"))
     if links is None:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     named = nodes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(components(edges), "node", "left")

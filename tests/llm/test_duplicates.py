@@ -204,12 +204,14 @@ def test_near_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(200, 8))
     rows = [(i, (base[i % 200] if i < 250 else base[i % 7] * 2 + rng.normal(size=8) * 0.15).tolist()) for i in range(300)]
-    odd = [None, [], [0.0] * 8, [float("nan")] * 8, [float("inf")] * 8, [None] * 8, [1.0, 2.0], [1.0, 2.1], [1e30] * 8, [1e-30] * 8]
+    odd = [None, [], [0.0] * 8, [float("nan")] * 8, [float("inf")] * 8, [None] * 8, [1.0, 2.0], [1.0, 2.1], [1e30] * 8, [1e-30] * 8, [3.0, 4.0, 5.0], [3.0, None, 4.0, 5.0], [None, 1.0, 2.0], [1.0, float("nan")]]
     rows += [(400 + i, v) for i, v in enumerate(odd)] + [(None, rows[0][1])]
     schema = "vec_id long, embedding array<double>"
     check_vectors(spark.createDataFrame(rows, schema))
     assert vectors.near_vectors(spark.createDataFrame([], schema)).collect() == []
     assert [tuple(r) for r in vectors.near_vectors(spark.createDataFrame([(5, None)], schema)).collect()] == [(5, 0, 5, True)]
+    monkeypatch.setattr(vectors, "TILE", 50)
+    check_vectors(spark.createDataFrame(rows[:-1], schema))
     monkeypatch.setattr(vectors, "SHARD", 40)
     check_vectors(spark.createDataFrame(rows[:-1], schema), guests=1, recall=0.9)
 
