@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _BLANKS, mix, seeded
-from .words import hash_runs, text_groups
+from .words import CHARS_AT_ONCE, hash_runs, text_groups
 
 #: Hashed features: runs of four signs by kind, and a few bins for words and lines that repeat.
 BINS, REPEATS = 1000, 24
@@ -209,11 +209,11 @@ def fit_classifier(df: DataFrame, text_col: str = "text", sample: int = SAMPLE)
     """
 
     def cast(batches):
-        for _, texts in text_groups(batches, "text"):
+        for _, texts in text_groups(batches, "text", CHARS_AT_ONCE // 2):
             yield pa.RecordBatch.from_arrays([pa.array(_code(votes(describe(texts)[0])))], ["code"])
 
     def show(batches):
-        for _, texts in text_groups(batches, "text"):
+        for _, texts in text_groups(batches, "text", CHARS_AT_ONCE // 2):
             measures, rows = describe(texts)
             packed = [r.tobytes() for r in rows.astype("<f4")]
             yield pa.RecordBatch.from_arrays([pa.array(_code(votes(measures))), pa.array(packed, pa.binary())], ["code", "features"])
@@ -242,7 +242,7 @@ def classify(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     rows = df.select(df[id_col].alias("id"), *[df[c].alias(n) for c, n in zip(keep, names, strict=True)], df[text_col].alias("text"))
 
     def judge(batches):
-        for part, texts in text_groups(batches, "text"):
+        for part, texts in text_groups(batches, "text", CHARS_AT_ONCE // 2):
             measures, features = describe(texts)
             v = votes(measures)
             some = measures["words"] > 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Code points that a task flattens at once, unless a single text is longer.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_000_000
 SLICE = 1 << 18
 #: Stands for a special token among the code points; no text can hold it.
 SPECIAL = 0x110000
