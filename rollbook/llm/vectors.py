@@ -7,8 +7,9 @@
 3. In each shard, every node that is at home there searches the graph: from the nearest of some medoids, and from its
    own place, greedily to the closest nodes, then through all nodes within a slack of the range, as long as new ones come up. Pairs in range are verified by their
    cosine in double precision. No pair is a row unless its nodes have different homes.
-4. An audit compares the links found for some nodes with brute force over all vectors. Below the recall that is asked for, the
-   whole is done again with twice the guests; in the end with every shard.
+4. After every pass, an audit compares the links found with brute force over all vectors, for as many nodes as it takes until enough
+   of them have true links. Below the recall that is asked for, the whole is done again with twice the guests. Where so many shards
+   overlap that comparing all pairs is no more work, as in small tables, all pairs are compared, over tiles of two blocks.
 5. Links are counted, and components follow from a forest of them.
 """
 
@@ -28,7 +29,10 @@ from .words import ragged
 SAMPLE, SHARD, MOST_SHARDS = 8192, 1500, 2048
 DEGREE, CANDIDATES, PRUNE = 20, 48, 1.2
 MEDOIDS, BEAM, SLACK = 16, 24, 0.1
-AUDITED = 400
+#: Nodes with true links that an audit must have seen, unless it has seen all nodes; and nodes that it draws at a time at most.
+AUDITED, DRAWN = 400, 16_384
+#: Rows of a block of the exact comparison, at least and at most, and the blocks in between.
+BLOCK, MOST_BLOCK, BLOCKS = 4096, 65_536, 32
 #: Rows of a shard that meet in one task; a larger shard, as of very many near copies, is dealt over tiles of two blocks.
 TILE = 16_384
 
@@ -255,25 +259,89 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
     return joined.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(search, "kind int, u long, v long, n long, m long")
 
 
-def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, audited: int = AUDITED) -> float:
-    """Mean share of a node's links that were found, against brute force over all vectors, over some nodes chosen by hash that have any."""
-    few = nodes.orderBy(F.xxhash64("node")).limit(audited).select("node", "unit").collect()
-    if not few:
-        return 1.0
-    asked = np.array([r["node"] for r in few], np.int64)
-    units = np.frombuffer(b"".join(bytes(r["unit"]) for r in few), "<f8").reshape(-1, dims)
+def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, total: int, audited: int = AUDITED) -> float:
+    """Mean share of a node's links that were found, against brute force over all vectors, over nodes chosen by hash that have any.
 
-    def count(batches):
-        for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column(2), dims)
-                hit = (x @ units.T >= least) & (b.column(0).to_numpy()[:, None] != asked)
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array((hit * b.column(1).to_numpy()[:, None]).sum(axis=0))], ["node", "n"])
-
-    rows = nodes.select("node", "copies", "unit").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
-    true = {r["node"]: r["n"] for r in rows if r["n"]}
-    got = {r["node"]: r["n"] for r in links.where(F.col("node").isin(asked.tolist())).collect()}
-    return float(np.mean([got.get(k, 0) / n for k, n in true.items()])) if true else 1.0
+    Nodes are drawn until ``audited`` of them have true links, or all are drawn; only a table without any true link gives 1 unseen.
+    """
+    every = 1 << 40
+    place = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.lit(every))
+    shares: list[float] = []
+    lo, draw = 0, audited
+    while lo < every and len(shares) < audited:
+        hi = min(every, lo + max(1, every * draw // max(1, total)))
+        mine = (place >= lo) & (place < hi)
+        few = nodes.where(mine).select("node", "unit").collect()  # about as many as are drawn
+        lo, draw = hi, min(4 * draw, DRAWN)
+        if not few:
+            continue
+        asked = np.array([r["node"] for r in few], np.int64)
+        units = np.frombuffer(b"".join(bytes(r["unit"]) for r in few), "<f8").reshape(-1, dims)
+
+        def count(batches, asked=asked, units=units):
+            sums = np.zeros(len(asked), np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    hit = (_matrix(part.column(2), dims) @ units.T >= least) & (part.column(0).to_numpy()[:, None] != asked)
+                    sums += part.column(1).to_numpy() @ hit
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[some]), pa.array(sums[some])], ["node", "n"])
+
+        rows = nodes.select("node", "copies", "unit").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
+        got = {r["node"]: r["n"] for r in links.where(mine).collect()}
+        shares += [min(1.0, got.get(r["node"], 0) / r["n"]) for r in rows]
+    return float(np.mean(shares)) if shares else 1.0
+
+
+def compared(nodes: DataFrame, dims: int, total: int, least: float) -> DataFrame:
+    """All links by comparing all pairs, as :func:`found_links` gives them (kinds 0 and 1). Any two blocks meet in one task."""
+    blocks = max(1, -(-total // min(MOST_BLOCK, max(BLOCK, -(-total // BLOCKS)))))
+
+    def compare(batches):
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        table = pa.Table.from_batches(batches)
+        node, copies, ta, tb, block = (c.to_numpy() for c in _fields(batches, ["node", "copies", "tile_a", "tile_b", "block"]))
+        order, starts, stops = _groups([ta, tb])
+        for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
+            own = order[lo:hi]
+            same = ta[own[0]] == tb[own[0]]
+            first = own if same else own[block[own] == ta[own[0]]]
+            other = own if same else own[block[own] == tb[own[0]]]
+            x, y = (_matrix(table.column("unit").take(pa.array(o)), dims) for o in (first, other))
+            at_first, at_other = (np.arange(len(own)),) * 2 if same else (np.arange(len(first)), len(first) + np.arange(len(other)))
+            ids, label, links, tied = node[own if same else np.concatenate([first, other])], np.arange(len(own)), np.zeros(len(own), np.int64), []
+            for at in range(0, len(x), 256):
+                hit = x[at : at + 256] @ y.T >= least
+                if same:
+                    hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+                else:
+                    links[at_other] += copies[first[at : at + 256]] @ hit
+                links[at_first[at : at + 256]] += hit @ copies[other]
+                for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                    to = at_other[hit[i]]
+                    groups, which = np.unique(label[to], return_index=True)
+                    new = groups != label[at_first[at + i]]
+                    if new.any():
+                        tied += [(at_first[at + i], j) for j in to[which[new]].tolist()]
+                        label[np.isin(label, groups)] = label[at_first[at + i]]
+            some, (a, b) = np.flatnonzero(links), (np.array([t[k] for t in tied], np.int64) for k in (0, 1))
+            for kind, u, v, n in ((0, some, some, links[some]), (1, a, b, np.zeros(len(a), np.int64))):
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(u), kind, np.int32), ids[u], ids[v], n, np.zeros(len(u), np.int64))], ["kind", "u", "v", "n", "m"])
+
+    dealt_out = nodes.select("node", "copies", "unit", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
+    dealt_out = dealt_out.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("tile_a", F.least("block", "_y")).withColumn("tile_b", F.greatest("block", "_y")).drop("_y")
+    return dealt_out.repartition(blocks * (blocks + 1) // 2, "tile_a", "tile_b").mapInArrow(compare, "kind int, u long, v long, n long, m long")
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """``node, n``: the links of each node, each pair of different homes counted once."""
+    pairs = found.where("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("u") < F.col("v"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
+    counted = found.where("kind = 0").select(F.col("u").alias("node"), "n").unionByName(pairs.select(F.col("u").alias("node"), F.col("m").alias("n"))).unionByName(pairs.select(F.col("v").alias("node"), "n"))
+    return counted.groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, recall: float = 0.98, guests: int = 3) -> DataFrame:
@@ -283,7 +351,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     that a row is linked with, component_id is the smallest id that links reach, and kept marks the row whose id that is. One row
     for each row of df; ids are integers. A null, empty or zero vector, or one with a null or non-finite component, has no links,
     as has a row with a null id, whose component_id is null. Vectors of a length that not most have are compared among their own kind.
-    Other columns are not read. All links found are true; by the audit at least ``recall`` of the true ones are found.
+    Other columns are not read. All links found are true; at least ``recall`` of the true ones are found, by an audit of every pass, or
+    all of them where the pairs were compared.
     """
     nodes = staged(nodes_of(df, id_col, vector_col), "vectors")
     kinds = [r["dims"] for r in nodes.groupBy("dims").count().orderBy("dims").collect()]  # lengths of vectors, few
@@ -297,15 +366,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         shards = max(1, min(MOST_SHARDS, -(-total // SHARD), len(units) // 4))
         centres = centres_of(units, shards) if len(units) else np.zeros((1, dims))
         more = guests
-        while True:
+        while (more + 1) ** 2 < shards:  # beyond it, the shards' own comparisons are more than all pairs
             rows = tiled(dealt(own, centres, more), "shard", F.xxhash64("node"), TILE)
             found = staged(found_links(rows, graph(rows, dims, shards), dims, shards, least), "links")
-            pairs = found.where("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("u") < F.col("v"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
-            counted = found.where("kind = 0").select(F.col("u").alias("node"), "n").unionByName(pairs.select(F.col("u").alias("node"), F.col("m").alias("n"))).unionByName(pairs.select(F.col("v").alias("node"), "n"))
-            counted = counted.groupBy("node").agg(F.sum("n").alias("n"))
-            if more + 1 >= shards or audit(own, counted, dims, least) >= recall:
+            counted = _counted(found)
+            if audit(own, counted, dims, least, total) >= recall:
                 break
-            more = min(2 * more + 1, shards - 1)
+            more = 2 * more + 1
+        else:
+            found = staged(compared(own, dims, total, least), "links")
+            counted = _counted(found)
         tied = found.where("kind > 0").select("u", "v")
         links, edges = (counted, tied) if links is None else (links.unionByName(counted), edges.unionByName(tied))
     rows = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[vector_col]).alias("k1"), F.xxhash64(F.lit(5), df[vector_col]).alias("k2"), usable(df[vector_col]).alias("some"))

@@ -220,3 +220,34 @@ def test_op8(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     check_vectors(df)
     assert QUERIES["op8_embedding_near_dedup"](spark, sf).count() == df.count()
+
+
+def far_pairs(n, pairs, dims=24, seed=8):
+    """Far vectors, and lone pairs of near ones."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dims))
+    return np.concatenate([base, base[:pairs] + rng.normal(size=(pairs, dims)) * 0.2])
+
+
+def vector_rows(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_no_pass_is_taken_unaudited(spark, monkeypatch):
+    """Lone pairs in a table of few and of many shards, with searches that find next to nothing: all pairs are found in the end."""
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "_search", lambda x, lists, queries, *more: iter(()))
+    x = far_pairs(700, 30)
+    for shard, guests in ((200, 3), (40, 0), (40, 3)):
+        monkeypatch.setattr(vectors, "SHARD", shard)
+        check_vectors(vector_rows(spark, x), guests=guests)
+
+
+def test_audit_draws_until_nodes_have_links(spark):
+    x = far_pairs(1500, 3)
+    nodes = vectors.nodes_of(vector_rows(spark, x), "vec_id", "embedding").cache()
+    none = spark.createDataFrame([], "node long, n long")
+    assert vectors.audit(nodes, none, 24, 0.9, 1503, audited=6) == 0.0
+    some = spark.createDataFrame([(k, 1) for k in (0, 1, 1500)], "node long, n long")
+    assert vectors.audit(nodes, some, 24, 0.9, 1503, audited=7) == 0.5
+    assert vectors.audit(nodes.where("node between 10 and 900"), none, 24, 0.9, 891) == 1.0
