@@ -6,7 +6,8 @@
    lists that a node has from several shards are united.
 3. In each shard, every node that is at home there searches the graph: from the nearest of some medoids, and from its
    own place, greedily to the closest nodes, then through all nodes within a slack of the range, as long as new ones come up. Pairs in range are verified by their
-   cosine in double precision. No pair is a row unless its nodes have different homes.
+   cosine in double precision. No pair is a row unless its nodes have different homes. A node with more nodes in range than a list
+   holds is compared with its whole home shard instead, as its list may lead to its own group alone.
 4. After every pass, an audit compares the links found with brute force over all vectors, for as many nodes as it takes until enough
    of them have true links. Below the recall that is asked for, the whole is done again with twice the guests. Where so many shards
    overlap that comparing all pairs is no more work, as in small tables, all pairs are compared, over tiles of two blocks.
@@ -15,6 +16,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,20 +105,22 @@ def dealt(nodes: DataFrame, centres: np.ndarray, guests: int) -> DataFrame:
     return nodes.select("node", "copies", "unit").mapInArrow(assign, "shard int, home int, node long, copies long, unit binary")
 
 
-def pruned(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, prune: float = PRUNE, block: int = 256) -> np.ndarray:
-    """Robust-pruned neighbours of each row of x among the others: a table of row numbers, filled up with -1.
+def pruned(x: np.ndarray, least: float, degree: int = DEGREE, candidates: int = CANDIDATES, prune: float = PRUNE, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Robust-pruned neighbours of each row of x among the others: a table of row numbers, filled up with -1; and the rows with more
+    others in range than a list holds.
 
     Of its nearest ones, a row takes the nearest that is left and drops those that are nearer to that one, by the factor, than to
     the row itself.
     """
     n, c = len(x), min(candidates, len(x) - 1)
-    out = np.full((n, degree), -1, np.int64)
+    out, crowded = np.full((n, degree), -1, np.int64), np.zeros(n, bool)
     if c < 1:
-        return out
+        return out, np.flatnonzero(crowded)
     for lo in range(0, n, block):
         rows = np.arange(lo, min(n, lo + block))
         close = x[rows] @ x.T
         close[np.arange(len(rows)), rows] = -np.inf
+        crowded[rows] = (close >= least).sum(axis=1) > degree
         near = np.argpartition(-close, c - 1, axis=1)[:, :c]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(close, near, 1), axis=1, kind="stable"), 1)
         away = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(close, near, 1), 0))
@@ -127,11 +132,12 @@ def pruned(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, pr
             out[rows[take], taken[take]] = near[take, t]
             taken[take] += 1
             alive[take] &= ~(prune * between[take, t, :] <= away[take])
-    return out
+    return out, np.flatnonzero(crowded)
 
 
-def graph(rows: DataFrame, dims: int, shards: int) -> DataFrame:
-    """``node, shard, neighbours``: the united adjacency lists, in both directions, given to every shard that the node is in."""
+def graph(rows: DataFrame, dims: int, shards: int, least: float) -> DataFrame:
+    """``node, neighbours, crowded``: the united adjacency lists, in both directions, given to every shard that the node is in, and
+    whether some shard has more nodes in the node's range than a list holds."""
 
     def build(batches):
         batches = list(batches)
@@ -143,13 +149,14 @@ def graph(rows: DataFrame, dims: int, shards: int) -> DataFrame:
         order, starts, stops = _groups([shard, ta, tb])
         for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
             own = order[lo:hi]
-            to = pruned(units[own])
+            to, crowded = pruned(units[own], least)
             a, b = np.nonzero(to >= 0)
-            u, v = node[own[a]], node[own[to[a, b]]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, v])), pa.array(np.concatenate([v, u]))], ["node", "neighbour"])
+            u, v, w = node[own[a]], node[own[to[a, b]]], node[own[crowded]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, v])), pa.array(np.concatenate([v, u])), pa.array(np.zeros(2 * len(u), bool))], ["node", "neighbour", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.nulls(len(w), pa.int64()), pa.array(np.ones(len(w), bool))], ["node", "neighbour", "crowded"])
 
-    edges = rows.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(build, "node long, neighbour long")
-    return edges.groupBy("node").agg(F.collect_set("neighbour").alias("neighbours"))  # by 2 * DEGREE in each shard, but for hubs
+    edges = rows.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(build, "node long, neighbour long, crowded boolean")
+    return edges.groupBy("node").agg(F.collect_set("neighbour").alias("neighbours"), F.max("crowded").alias("crowded"))  # by 2 * DEGREE in each shard, but for hubs
 
 
 def _search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, least: float, block: int = 128):
@@ -202,6 +209,15 @@ def _search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, least:
         yield found_q[other], found[other]
 
 
+def _whole(x: np.ndarray, queries: np.ndarray, least: float, block: int = 128):
+    """As :func:`_search`, by comparing each query with all rows."""
+    for lo in range(0, len(queries), block):
+        q = queries[lo : lo + block]
+        a, b = np.nonzero(x[q] @ x.T >= least)
+        other = q[a] != b
+        yield q[a[other]], b[other]
+
+
 def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, least: float) -> DataFrame:
     """What the searches find: of nodes at home in one shard the number of links (``kind`` 0: ``u, n``) and a forest of them (kind 1:
     ``u, v``), and each pair of different homes (kind 2: ``u, v`` with their copies ``n, m``), maybe twice."""
@@ -226,7 +242,8 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
             is_home = home[own] == shard[own]
             x = units[own]
             us, vs = [], []
-            for a, b in _search(x, lists, at_home, least):
+            crowded = table.column("crowded").take(pa.array(own[at_home])).fill_null(False).to_numpy().astype(bool)
+            for a, b in chain(_search(x, lists, at_home[~crowded], least), _whole(x, at_home[crowded], least)):
                 us.append(a)
                 vs.append(b)
             u, v = np.concatenate(us or [at_home[:0]]), np.concatenate(vs or [at_home[:0]])
@@ -255,7 +272,7 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
                 if len(p[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], ["kind", "u", "v", "n", "m"])
 
-    joined = rows.join(adjacency, "node", "left").select("shard", "tile_a", "tile_b", "block", "home", "node", "copies", "unit", "neighbours")
+    joined = rows.join(adjacency, "node", "left").select("shard", "tile_a", "tile_b", "block", "home", "node", "copies", "unit", "neighbours", "crowded")
     return joined.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(search, "kind int, u long, v long, n long, m long")
 
 
@@ -368,7 +385,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         more = guests
         while (more + 1) ** 2 < shards:  # beyond it, the shards' own comparisons are more than all pairs
             rows = tiled(dealt(own, centres, more), "shard", F.xxhash64("node"), TILE)
-            found = staged(found_links(rows, graph(rows, dims, shards), dims, shards, least), "links")
+            found = staged(found_links(rows, graph(rows, dims, shards, least), dims, shards, least), "links")
             counted = _counted(found)
             if audit(own, counted, dims, least, total) >= recall:
                 break

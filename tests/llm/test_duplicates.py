@@ -251,3 +251,16 @@ def test_audit_draws_until_nodes_have_links(spark):
     some = spark.createDataFrame([(k, 1) for k in (0, 1, 1500)], "node long, n long")
     assert vectors.audit(nodes, some, 24, 0.9, 1503, audited=7) == 0.5
     assert vectors.audit(nodes.where("node between 10 and 900"), none, 24, 0.9, 891) == 1.0
+
+
+@pytest.mark.parametrize("size", [30, 120])
+def test_groups_of_many_copies_are_linked(spark, monkeypatch, size):
+    """Two clouds, tight inside and in range of each other, far from all else; without the audit's help."""
+    monkeypatch.setattr(vectors, "SHARD", 400)
+    monkeypatch.setattr(vectors, "audit", lambda *more: 1.0)
+    rng = np.random.default_rng(5)
+    a = np.eye(24)[0]
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * np.eye(24)[1]
+    clouds = np.concatenate([c + rng.normal(size=(size, 24)) * 0.002 for c in (a, b)])
+    x = np.concatenate([clouds, rng.normal(size=(800, 24)) - 2 * a])
+    check_vectors(vector_rows(spark, x), guests=0)
