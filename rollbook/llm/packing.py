@@ -8,6 +8,8 @@ often to use each; Spark then numbers the pieces of each length and looks up whi
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .bpe import encoded_groups
 
-#: Steps that the search may take before it returns its best solution.
-STEPS = 20_000
+#: Fillings that the search may try before it returns its best solution; a dominated one that is passed over counts as one of PASSED.
+STEPS, PASSED = 20_000, 32
+#: Fillings of a node in each round: the greedy ones (0), the first few undominated ones, so that a round is not spent on the last
+#: nodes alone, and all.
+WIDTHS = (0, 6, None)
 
 Fillings = list[tuple[int, list[int]]]
 
@@ -60,12 +65,9 @@ def best_fit(counts: np.ndarray, capacity: int) -> Fillings:
     return [x for r in room for x in r]
 
 
-def completions(counts: np.ndarray, gap: int, width: int) -> list[list[int]]:
-    """Fillings of a gap that none of the others found dominates, the fullest first.
-
-    A single piece as long as the gap dominates every filling, and with some pieces chosen, the longest that still fits dominates
-    any shorter one in its place; so a branch goes on from the longest that fits, and stops where the gap is met.
-    """
+def greedy_completions(counts: np.ndarray, gap: int, width: int = 6) -> list[list[int]]:
+    """For each of the longest pieces that fit a gap one filling that starts with it, those that another one dominates left out, the
+    fullest first. A filling goes on from the longest piece that fits, and stops where the gap is met."""
     sizes = np.flatnonzero(counts[: gap + 1])[::-1].tolist()
     if not sizes:
         return [[]]
@@ -96,37 +98,117 @@ def completions(counts: np.ndarray, gap: int, width: int) -> list[list[int]]:
     return kept
 
 
-def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS, width: int = 6) -> Fillings:
+def completions(counts: np.ndarray, gap: int) -> Iterator[list[int] | None]:
+    """All undominated fillings of a gap, one after another, the fullest first; and None for each dominated one that is passed over.
+
+    A filling is dominated if a piece that it leaves fits in place of some of its pieces, or of none, that are not longer together.
+    Fillings come from the sums that pieces up to each length can make, so no branch ends without one.
+    """
+    sizes = np.flatnonzero(counts[: gap + 1]).tolist()
+    if not sizes or sizes[-1] == gap:  # a piece as long as the gap dominates all others
+        yield sizes[-1:]
+        return
+    have = [min(int(counts[s]), gap // s) for s in sizes]
+    every, reach = sum(1 << s for s in sizes), [1]
+    for s, n in zip(sizes, have, strict=True):
+        sums, take = reach[-1], 1
+        while n:
+            take = min(take, n)
+            sums |= sums << s * take
+            n, take = n - take, 2 * take
+        reach.append(sums & (2 << gap) - 1)
+
+    def filled(room: int, k: int) -> Iterator[list[int]]:
+        if not room:
+            yield []
+            return
+        for i in range(bisect_right(sizes, room, 0, k) - 1, -1, -1):
+            if not reach[i + 1] >> room & 1:
+                return
+            for n in range(min(have[i], room // sizes[i]), 0, -1):
+                if reach[i] >> room - n * sizes[i] & 1:
+                    for rest in filled(room - n * sizes[i], i):
+                        yield [sizes[i]] * n + rest
+
+    def up_to(sums: int, more: int) -> int:
+        done = 0
+        while done < more:
+            step = min(done + 1, more - done)
+            sums, done = sums | sums << step, done + step
+        return sums
+
+    for total in range(gap, -1, -1):
+        if reach[-1] >> total & 1:
+            for filling in filled(total, len(sizes)):
+                left, one, two = every, 0, 0  # lengths left over; sums of one and of more of the pieces
+                for s in filling:
+                    two |= (one | two) << s
+                    one |= 1 << s
+                for s in set(filling):
+                    if counts[s] <= filling.count(s):
+                        left ^= 1 << s
+                better = up_to(two, gap - total) | (up_to((one | 1) << 1, gap - total - 1) if total < gap else 0)
+                yield None if left & better else filling
+
+
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Fillings:
     """Few fillings' uses that hold all pieces: branch and bound around the longest piece left, best-fit solutions as incumbents.
 
-    A node fills sequences around the longest piece, as many at once as the counts allow. The waste so far may not exceed what
-    a better solution than the incumbent may waste. The search ends at the lower bound or after ``steps`` nodes.
+    A node fills sequences around the longest piece with each undominated filling, with as many at once as the counts allow or with
+    one. Rounds over a few fillings of each node come first, the last one is over all. The waste so far may not exceed what a better solution than the incumbent may waste. The search ends at the lower bound,
+    when all is searched, or after ``steps`` fillings in each round; then the result may be more than the fewest.
     """
     counts = np.asarray(counts, np.int64)
     bound, best = lower_bound(counts, capacity), best_fit(counts, capacity)
     fewest, total = sum(n for n, _ in best), int((counts * np.arange(capacity + 1)).sum())
-    stack = [(counts, [], 0, 0)] if fewest > bound else []
-    while stack and steps and fewest > bound:
-        left, done, used, waste = stack.pop()
-        steps -= 1
-        if waste > (fewest - 1) * capacity - total:
-            continue
-        if not left.any():
-            best, fewest = done, used
-            continue
-        tail = best_fit(left, capacity) if steps % 64 == 0 else None
-        if tail is not None and used + sum(n for n, _ in tail) < fewest:
-            best, fewest = done + tail, used + sum(n for n, _ in tail)
+
+    def branches(left: np.ndarray, width: int | None) -> Iterator[tuple[int, list[int]] | None]:
+        found, passed = 0, 0
         longest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[longest] -= 1
-        for filling in completions(rest, capacity - longest, width)[::-1]:
+        for filling in greedy_completions(rest, capacity - longest) if width == 0 else completions(rest, capacity - longest):
+            if width and (found == width or passed == PASSED * width):
+                return
+            if filling is None:
+                passed += 1
+                yield None
+                continue
+            found += 1
             items = [longest, *filling]
             sizes, uses = np.unique(items, return_counts=True)
             n = int((left[sizes] // uses).min())
+            yield n, items
+            if n > 1 and width != 0:
+                yield 1, items
+
+    for width in WIDTHS:
+        budget = PASSED * steps
+        stack, tried = [(counts, [], 0, 0, branches(counts, width))] if fewest > bound else [], 0
+        while stack and budget > 0 and fewest > bound:
+            left, done, used, waste, more = stack[-1]
+            branch = next(more, stack)
+            if branch is stack:
+                stack.pop()
+                continue
+            budget -= 1 if branch is None else PASSED
+            if branch is None:
+                continue
+            n, items = branch
+            spare = (fewest - 1) * capacity - total - waste
+            if capacity - sum(items) > spare:  # those that follow are no fuller
+                stack.pop()
+                continue
+            if n * (capacity - sum(items)) > spare:
+                continue
             after = left.copy()
-            after[sizes] -= n * uses
-            stack.append((after, done + [(n, items)], used + n, waste + n * (capacity - sum(items))))
+            np.subtract.at(after, items, n)
+            done, used, waste, tried = [*done, (n, items)], used + n, waste + n * (capacity - sum(items)), tried + 1
+            tail = best_fit(after, capacity) if tried % 64 == 0 else [] if not after.any() else None
+            if tail is not None and used + sum(n for n, _ in tail) < fewest:
+                best, fewest = done + tail, used + sum(n for n, _ in tail)
+            if after.any():
+                stack.append((after, done, used, waste, branches(after, width)))
     return best
 
 

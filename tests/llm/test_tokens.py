@@ -177,3 +177,33 @@ def test_bin_completion_beats_best_fit():
     sizes = np.random.default_rng(2).integers(200, 420, 600)
     counts = np.bincount(sizes, minlength=1025)
     assert sum(n for n, _ in packing.bin_completion(counts, 1024)) < sum(n for n, _ in packing.best_fit(counts, 1024))
+
+
+def test_completions_are_all_undominated_fillings():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        counts, gap = np.zeros(25, np.int64), int(rng.integers(3, 25))
+        np.add.at(counts, rng.integers(1, 25, 9), 1)
+        got = [tuple(x) for x in packing.completions(counts, gap) if x is not None]
+        pieces = [s for s in range(gap, 0, -1) for _ in range(counts[s])]
+        every = {tuple(p for i, p in enumerate(pieces) if k >> i & 1) for k in range(1 << len(pieces))}
+        every = {x for x in every if sum(x) <= gap}
+
+        def dominated(x):
+            subsets = {tuple(p for i, p in enumerate(x) if k >> i & 1) for k in range(1 << len(x))}
+            left = {q for q in pieces if pieces.count(q) > x.count(q)}
+            return any(sum(s) <= q <= sum(s) + gap - sum(x) and s != (q,) for q in left for s in subsets)
+
+        assert len(got) == len(set(got))
+        if counts[gap]:
+            assert got == [(gap,)]
+        else:
+            assert set(got) == {x for x in every if not dominated(x)}
+            assert [sum(x) for x in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_bin_completion_of_smaller_pieces():
+    """Long pieces of many lengths go with two smaller ones each, not with each other."""
+    counts = np.zeros(1025, np.int64)
+    counts[470:501], counts[262] = 10, 620
+    assert sum(n for n, _ in packing.bin_completion(counts, 1024)) <= 312
