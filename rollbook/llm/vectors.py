@@ -34,8 +34,10 @@ DEGREE, CANDIDATES, PRUNE = 20, 48, 1.2
 MEDOIDS, BEAM, SLACK = 16, 24, 0.1
 #: Nodes with true links that an audit must have seen, unless it has seen all nodes; and nodes that it draws at a time at most.
 AUDITED, DRAWN = 400, 16_384
-#: Rows of a block of the exact comparison, at least and at most, and the blocks in between.
-BLOCK, MOST_BLOCK, BLOCKS = 4096, 65_536, 32
+#: The exact comparison has one block up to so many rows, and beyond it so many blocks, or more where they would have over so many rows.
+BLOCK, BLOCKS, MOST_BLOCK = 1024, 12, 65_536
+#: What a pair of nodes of a shard costs in a pass, in pairs of the exact comparison.
+PASS = 4
 #: Rows of a shard that meet in one task; a larger shard, as of very many near copies, is dealt over tiles of two blocks.
 TILE = 16_384
 
@@ -300,8 +302,9 @@ def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, total: in
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    hit = (_matrix(part.column(2), dims) @ units.T >= least) & (part.column(0).to_numpy()[:, None] != asked)
-                    sums += part.column(1).to_numpy() @ hit
+                    row, to = np.nonzero(_matrix(part.column(2), dims) @ units.T >= least)
+                    other = part.column(0).to_numpy()[row] != asked[to]
+                    sums += np.bincount(to[other], part.column(1).to_numpy()[row[other]], len(asked)).astype(np.int64)
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(asked[some]), pa.array(sums[some])], ["node", "n"])
 
@@ -313,7 +316,7 @@ def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, total: in
 
 def compared(nodes: DataFrame, dims: int, total: int, least: float) -> DataFrame:
     """All links by comparing all pairs, as :func:`found_links` gives them (kinds 0 and 1). Any two blocks meet in one task."""
-    blocks = max(1, -(-total // min(MOST_BLOCK, max(BLOCK, -(-total // BLOCKS)))))
+    blocks = 1 if total <= BLOCK else max(BLOCKS, -(-total // MOST_BLOCK))
 
     def compare(batches):
         batches = list(batches)
@@ -329,21 +332,21 @@ def compared(nodes: DataFrame, dims: int, total: int, least: float) -> DataFrame
             other = own if same else own[block[own] == tb[own[0]]]
             x, y = (_matrix(table.column("unit").take(pa.array(o)), dims) for o in (first, other))
             at_first, at_other = (np.arange(len(own)),) * 2 if same else (np.arange(len(first)), len(first) + np.arange(len(other)))
-            ids, label, links, tied = node[own if same else np.concatenate([first, other])], np.arange(len(own)), np.zeros(len(own), np.int64), []
+            both = own if same else np.concatenate([first, other])
+            ids, weight, label, links, tied = node[both], copies[both], np.arange(len(own)), np.zeros(len(own), np.int64), []
             for at in range(0, len(x), 256):
-                hit = x[at : at + 256] @ y.T >= least
-                if same:
-                    hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
-                else:
-                    links[at_other] += copies[first[at : at + 256]] @ hit
-                links[at_first[at : at + 256]] += hit @ copies[other]
-                for i in np.flatnonzero(hit.any(axis=1)).tolist():
-                    to = at_other[hit[i]]
+                a, b = np.nonzero(x[at : at + 256] @ y.T >= least)
+                u, v = at_first[at + a], at_other[b]
+                u, v = u[u != v], v[u != v]
+                links += np.bincount(u, weight[v], len(weight)).astype(np.int64)
+                if not same:
+                    links += np.bincount(v, weight[u], len(weight)).astype(np.int64)
+                for i, to in zip(u[(row := np.flatnonzero(np.diff(u, prepend=-1)))].tolist(), np.split(v, row[1:]), strict=False):
                     groups, which = np.unique(label[to], return_index=True)
-                    new = groups != label[at_first[at + i]]
+                    new = groups != label[i]
                     if new.any():
-                        tied += [(at_first[at + i], j) for j in to[which[new]].tolist()]
-                        label[np.isin(label, groups)] = label[at_first[at + i]]
+                        tied += [(i, j) for j in to[which[new]].tolist()]
+                        label[np.isin(label, groups)] = label[i]
             some, (a, b) = np.flatnonzero(links), (np.array([t[k] for t in tied], np.int64) for k in (0, 1))
             for kind, u, v, n in ((0, some, some, links[some]), (1, a, b, np.zeros(len(a), np.int64))):
                 if len(u):
@@ -383,7 +386,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         shards = max(1, min(MOST_SHARDS, -(-total // SHARD), len(units) // 4))
         centres = centres_of(units, shards) if len(units) else np.zeros((1, dims))
         more = guests
-        while (more + 1) ** 2 < shards:  # beyond it, the shards' own comparisons are more than all pairs
+        while 2 * PASS * (more + 1) ** 2 < shards:  # beyond it, a pass takes longer than all pairs
             rows = tiled(dealt(own, centres, more), "shard", F.xxhash64("node"), TILE)
             found = staged(found_links(rows, graph(rows, dims, shards, least), dims, shards, least), "links")
             counted = _counted(found)

@@ -238,7 +238,7 @@ def test_no_pass_is_taken_unaudited(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 100)
     monkeypatch.setattr(vectors, "_search", lambda x, lists, queries, *more: iter(()))
     x = far_pairs(700, 30)
-    for shard, guests in ((200, 3), (40, 0), (40, 3)):
+    for shard, guests in ((200, 3), (20, 0)):
         monkeypatch.setattr(vectors, "SHARD", shard)
         check_vectors(vector_rows(spark, x), guests=guests)
 
@@ -258,6 +258,7 @@ def test_groups_of_many_copies_are_linked(spark, monkeypatch, size):
     """Two clouds, tight inside and in range of each other, far from all else; without the audit's help."""
     monkeypatch.setattr(vectors, "SHARD", 400)
     monkeypatch.setattr(vectors, "audit", lambda *more: 1.0)
+    monkeypatch.setattr(vectors, "PASS", 0.5)
     rng = np.random.default_rng(5)
     a = np.eye(24)[0]
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * np.eye(24)[1]
