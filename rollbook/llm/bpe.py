@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import SPECIAL, Words, byte_level_starts, ragged, text_groups
+from .words import SPECIAL, KnownWords, Words, byte_level_starts, ragged, text_groups
 
 
 #: Words whose ids a worker keeps at most.
@@ -75,12 +75,11 @@ class ByteBpe:
         self.begun_at, self.ended_at = (np.searchsorted(side[by], np.arange(self.size + 1)) for side, by in ((left, self.begun), (right, self.ended)))
         self.dense = np.full(self.size, -1, np.int32)
 
-        self.known = self._none()
+        self.forget()
 
-    @staticmethod
-    def _none() -> tuple[np.ndarray, ...]:
-        """Words seen before, sorted by hash: both hashes, ids, and where each word's ids begin and how many they are."""
-        return np.zeros(1, np.uint64), np.full(1, 1, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    def forget(self) -> None:
+        """Know no words: their ids, and where each word's begin and how many they are."""
+        self.known, self.ids, self.begins, self.counts = KnownWords(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ranks_with(self, token: int, others: np.ndarray, begins: bool) -> np.ndarray:
         """Rank of the pair of token and each other one, -1 where it never merges; begins: token is the left one."""
@@ -169,10 +168,11 @@ class ByteBpe:
         words = Words(texts, byte_level_starts, self.special)
         if not len(words.starts):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        known, two, ids, begins, counts = self.known
-        at = np.searchsorted(known, words.hashes[0])
-        at[at == len(known)] = 0
-        new = (known[at] != words.hashes[0]) | (two[at] != words.hashes[1])
+        row = self.known.find(words)
+        if len(self.known) + int((row < 0).sum()) > KNOWN_WORDS:  # start anew with this group's words
+            self.forget()
+            row[:] = -1
+        new = row < 0
         if new.any():
             fresh = words.only(new)
             raw, lengths = fresh.utf8()
@@ -180,22 +180,11 @@ class ByteBpe:
             marks = fresh.chars[fresh.starts] == SPECIAL
             if marks.any():  # a special word has no bytes; its one id goes where its ids would stand
                 more, n = np.insert(more, (np.cumsum(n) - n)[marks], self.special_id), n + marks
-            if len(known) + len(n) > KNOWN_WORDS:  # start anew with this group's words
-                if new.all():
-                    known, two, ids, begins, counts = (x[:0] for x in self.known)
-                else:
-                    self.known = self._none()
-                    return self.encode(texts)
-            known, two = np.concatenate([known, fresh.hashes[0]]), np.concatenate([two, fresh.hashes[1]])
-            begins, counts = np.concatenate([begins, len(ids) + np.cumsum(n) - n]), np.concatenate([counts, n])
-            ids, order = np.concatenate([ids, more]), np.argsort(known, kind="stable")
-            known, two, begins, counts = known[order], two[order], begins[order], counts[order]
-            self.known = known, two, ids, begins, counts
-            at = np.searchsorted(known, words.hashes[0])
-            if not np.array_equal(two[at], words.hashes[1]):  # words that share the first hash
-                both = {(a, b): i for i, (a, b) in enumerate(zip(known.tolist(), two.tolist(), strict=True))}
-                at = np.array([both[k] for k in zip(*(h.tolist() for h in words.hashes), strict=True)], np.int64)
-        return words.spread(ids, begins[at], counts[at])
+            row[new] = len(self.known) + np.arange(len(n))
+            self.known.add(fresh)
+            self.begins, self.counts = np.concatenate([self.begins, len(self.ids) + np.cumsum(n) - n]), np.concatenate([self.counts, n])
+            self.ids = np.concatenate([self.ids, more])
+        return words.spread(self.ids, self.begins[row], self.counts[row])
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that the ids stand for, one after another."""

@@ -55,7 +55,7 @@ def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         start[1:] &= ~inside[:-1] | first[1:]
         stop[:-1] &= ~inside[1:] | first[1:]
         starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        return starts, text_of[starts], hash_runs(chars, starts, stops)[0]
+        return starts, text_of[starts], hash_runs(chars, starts, stops)
 
     def repeats(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of runs, of runs like the one before, and of distinct ones, in each text."""

@@ -11,7 +11,6 @@ _BLANKS = np.zeros(256, bool)
 _BLANKS[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,9 +47,8 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     last = np.searchsorted(starts, ends, "left")
     begin = np.concatenate([[0], last[:-1]]) if len(last) else last
     n_words = last - begin
-    one, two = hash_runs(chars, starts, stops)
+    word = hash_runs(chars, starts, stops)
     with np.errstate(over="ignore"):
-        word = mix(one ^ mix(two + _STEP))
         n_windows = np.where(n_words >= words, n_words - words + 1, np.minimum(n_words, 1))
         at = ragged(begin, n_windows)
         size = np.repeat(np.minimum(n_words, words), n_windows)
@@ -122,13 +120,3 @@ def super_minhash(hashes: np.ndarray, counts: np.ndarray, slots: int) -> np.ndar
         else:
             element, h, order = element[going], h[going], order[going]
     return signature.reshape(-1, slots)
-
-
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """A key for each band of so many slots: equal where the band's ranks are."""
-    bands = signature.reshape(len(signature), -1, rows)
-    key = np.zeros(bands.shape[:2], np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(rows):
-            key = mix(key * _STEP + bands[:, :, k] + np.uint64(k + 1))
-    return key.view(np.int64)

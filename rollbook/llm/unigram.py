@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import Words, text_groups
+from .words import KnownWords, Words, text_groups
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -63,9 +63,12 @@ class Unigram:
         self.automaton.make_automaton()
         self.scores = np.array([s for _, s in pieces], float)
         self.sizes = np.array([len(p) for p, _ in pieces], np.int64)
-        self.known = tuple(np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64))
+        self.forget()
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
 
+    def forget(self) -> None:
+        self.known, self.counts = KnownWords(), np.zeros(0, np.int64)
+
     def count_words(self, words: Words) -> np.ndarray:
         """Number of tokens of each distinct word."""
         n_words = len(words.starts)
@@ -115,19 +118,17 @@ class Unigram:
     def count(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
         words = Words(texts, word_starts, prefix=marked)
-        one, two, n = self.known
-        at = np.minimum(np.searchsorted(one, words.hashes[0]), max(len(one) - 1, 0))
-        new = (one[at] != words.hashes[0]) | (two[at] != words.hashes[1]) if len(one) else np.ones(len(words.starts), bool)
-        of_word = np.zeros(len(words.starts), np.int64)
-        if len(one):
-            of_word[~new] = n[at[~new]]
+        row = self.known.find(words)
+        if len(self.known) + int((row < 0).sum()) > KNOWN_WORDS:
+            self.forget()
+            row[:] = -1
+        new = row < 0
         if new.any():
             fresh = words.only(new)
-            of_word[new] = self.count_words(fresh)
-            one, two, n = (x if len(x) + len(fresh.starts) <= KNOWN_WORDS else x[:0] for x in self.known)
-            one, two, n = np.concatenate([one, fresh.hashes[0]]), np.concatenate([two, fresh.hashes[1]]), np.concatenate([n, of_word[new]])
-            order = np.argsort(one, kind="stable")
-            self.known = one[order], two[order], n[order]
+            row[new] = len(self.known) + np.arange(len(fresh.starts))
+            self.known.add(fresh)
+            self.counts = np.concatenate([self.counts, self.count_words(fresh)])
+        of_word = self.counts[row]
         sums = np.concatenate([[0], np.cumsum(of_word[words.number])])
         return sums[words.text_ends] - sums[words.text_begins]
 

@@ -18,18 +18,7 @@ CHARS_AT_ONCE = 1_000_000
 SLICE = 1 << 18
 #: Stands for a special token among the code points; no text can hold it.
 SPECIAL = 0x110000
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-
-
-@lru_cache(maxsize=2)
-def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    odd = int(_ODD[which])
-    inverse = pow(odd, -1, 1 << 64)
-    up, down = np.full(SLICE + 1, odd, np.uint64), np.full(SLICE + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(up), np.cumprod(down)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -42,32 +31,63 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-def hash_runs(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of 64 bits for each word; a word longer than a slice is hashed in parts."""
-    out = np.zeros((2, len(starts)), np.uint64)
+def _scrambled(chars: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each character at its place in a word; not linear in either."""
+    with np.errstate(over="ignore"):
+        x = (place.astype(np.uint64) << np.uint64(21)) | chars.astype(np.uint64)
+        x += np.uint64(1)
+        x *= _ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        return x
+
+
+def hash_runs(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits for each word, none of which is empty: the sum of what its characters give at their places, scrambled again.
+
+    Sums of powers modulo 2**64 would not do: they can't tell some long words of two letters from each other, whatever the base.
+    """
+    out = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         first = 0
         while first < len(starts):
             lo = int(starts[first])
             last = max(first + 1, int(np.searchsorted(ends, lo + SLICE, "right")))
             hi = int(ends[last - 1])
-            s, e = starts[first:last] - lo, ends[first:last] - lo
-            if hi - lo > SLICE:  # one word
-                for k in range(2):
-                    h = np.uint64(hi - lo)
-                    for at in range(lo, hi, SLICE):
-                        part = chars[at : min(hi, at + SLICE)].astype(np.uint64) + np.uint64(1)
-                        h = h * _ODD[1 - k] + (part * _powers(k)[0][: len(part)]).sum(dtype=np.uint64)
-                    out[k, first] = h
+            if last == first + 1:  # it may be longer than a slice
+                for at in range(lo, hi, SLICE):
+                    part = chars[at : min(hi, at + SLICE)]
+                    out[first] += _scrambled(part, np.arange(at - lo, at - lo + len(part))).sum(dtype=np.uint64)
             else:
-                part = chars[lo:hi].astype(np.uint64) + np.uint64(1)
-                for k in range(2):
-                    up, down = _powers(k)
-                    sums = np.zeros(len(part) + 1, np.uint64)
-                    np.cumsum(part * up[: len(part)], out=sums[1:])
-                    out[k, first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _ODD[1 - k]
+                s, e = starts[first:last] - lo, ends[first:last] - lo
+                place = np.arange(hi - lo) - np.repeat(s, np.diff(np.append(s, hi - lo)))
+                part = np.append(_scrambled(chars[lo:hi], place), np.uint64(0))
+                out[first:last] = np.add.reduceat(part, np.stack([s, e], 1).ravel())[::2]
             first = last
-    return out[0], out[1]
+        out += (ends - starts).astype(np.uint64) * _ODD
+        out ^= out >> np.uint64(30)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(27)
+    return out
+
+
+def same_runs(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the runs of such lengths, none of them 0, hold the same characters in both arrays."""
+    out = np.ones(len(lengths), bool)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        base = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + SLICE, "right")))
+        n = lengths[first:last]
+        differs = a[ragged(a_starts[first:last], n)] != b[ragged(b_starts[first:last], n)]
+        if differs.any():
+            out[first:last] = ~np.logical_or.reduceat(differs, ends[first:last] - n - base)
+        first = last
+    return out
 
 
 class Words:
@@ -96,19 +116,23 @@ class Words:
         self.text_begins = np.concatenate([[0], self.text_ends[:-1]]) if len(ends) else ends
         if len(starts) == 0:
             self.number = np.zeros(0, np.int64)
-            self.chars, self.starts, self.lengths, self.hashes = chars[:0], starts, starts, hash_runs(chars, starts, starts)
+            self.chars, self.starts, self.lengths, self.hashes = chars[:0], starts, starts, np.zeros(0, np.uint64)
             return
-        one, two = hash_runs(chars, starts, word_ends)
-        coded = pa.array(one).dictionary_encode()
+        hashes, lengths = hash_runs(chars, starts, word_ends), word_ends - starts
+        coded = pa.array(hashes).dictionary_encode()
         number = coded.indices.to_numpy()
         index = np.zeros(len(coded.dictionary), np.int64)
         index[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-        if not np.array_equal(two[index][number], two):  # two words share the first hash: tell them apart by both
-            both = np.stack([one, two], 1).view([("a", np.uint64), ("b", np.uint64)]).ravel()
-            _, index, number = np.unique(both, return_index=True, return_inverse=True)
+        again = np.flatnonzero(index[number] != np.arange(len(number)))
+        like = index[number[again]]
+        if not (np.array_equal(lengths[again], lengths[like]) and same_runs(chars, starts[again], chars, starts[like], lengths[again]).all()):
+            seen: dict[bytes, int] = {}  # words that share a hash: tell all apart by their characters
+            raws = [chars[s:e].tobytes() for s, e in zip(starts.tolist(), word_ends.tolist(), strict=True)]
+            number = np.fromiter((seen.setdefault(raw, len(seen)) for raw in raws), np.int64, len(raws))
+            index = np.unique(number, return_index=True)[1]
         self.number = number
-        self.hashes = one[index], two[index]
-        self.lengths = word_ends[index] - starts[index]
+        self.hashes = hashes[index]
+        self.lengths = lengths[index]
         self.chars = chars[ragged(starts[index], self.lengths)]
         self.starts = np.cumsum(self.lengths) - self.lengths
 
@@ -130,7 +154,7 @@ class Words:
     def only(self, flags: np.ndarray) -> Words:
         """Some of the distinct words, without texts."""
         out = object.__new__(Words)
-        out.lengths, out.hashes = self.lengths[flags], tuple(h[flags] for h in self.hashes)
+        out.lengths, out.hashes = self.lengths[flags], self.hashes[flags]
         out.chars = self.chars[ragged(self.starts[flags], out.lengths)]
         out.starts = np.cumsum(out.lengths) - out.lengths
         return out
@@ -154,6 +178,40 @@ class Words:
         return values[ragged(begins[number], n)], counts
 
 
+class KnownWords:
+    """Words that a worker has met, each with a number; found by hash and told apart by their characters."""
+
+    def __init__(self):
+        self.sorted, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.chars, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def find(self, words: Words) -> np.ndarray:
+        """The number of each distinct word, -1 for those not met. Of known words that share a hash only the first is found."""
+        if not len(self):
+            return np.full(len(words.starts), -1)
+        at = np.searchsorted(self.sorted, words.hashes)
+        at[at == len(self)] = 0
+        row = self.order[at]
+        found = np.flatnonzero((self.sorted[at] == words.hashes) & (self.lengths[row] == words.lengths))
+        same = same_runs(self.chars, self.starts[row[found]], words.chars, words.starts[found], words.lengths[found])
+        out = np.full(len(row), -1)
+        out[found[same]] = row[found[same]]
+        return out
+
+    def add(self, words: Words) -> None:
+        """Number further words on, in their order."""
+        hashes = np.empty(len(self) + len(words.starts), np.uint64)
+        hashes[self.order], hashes[len(self) :] = self.sorted, words.hashes
+        self.starts = np.concatenate([self.starts, len(self.chars) + words.starts])
+        self.chars = np.concatenate([self.chars, words.chars])
+        self.lengths = np.concatenate([self.lengths, words.lengths])
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+
+
 def text_groups(batches: Iterable[pa.RecordBatch], column: str, at_once: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts have about at_once bytes in all, and these texts; a null one is empty."""
     for batch in batches:
