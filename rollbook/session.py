@@ -7,12 +7,14 @@ import re
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _STAGES: dict[str, list[str]] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "rollbook") -> SparkSession:
@@ -57,20 +59,34 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor never changes which row got which number, and later reads of the
-    stage still prune columns and push filters down. :func:`free_stages` deletes what was written.
+    stage still prune columns and push filters down. :func:`free_stage` deletes what was written, :func:`free_stages` all stages.
     """
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
     _STAGES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session has written, with all that is in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_stage(stage: DataFrame) -> None:
+    """Delete what :func:`staged` wrote for this very frame. Frames made from it can't be read any more."""
+    path = _PATHS.pop(stage)
+    _STAGES[stage.sparkSession.sparkContext.applicationId].remove(path)
+    delete_path(stage.sparkSession, path)
 
 
 def free_stages(spark: SparkSession) -> int:
     """Delete the stages that this session has written so far, and tell how many. Frames made from them can't be read any more."""
     paths = _STAGES.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete_path(spark, path)
     return len(paths)
 
 
