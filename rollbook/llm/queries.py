@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .codes import books_digest, compress_vectors
+from .lexical import ranked_search
 from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
 from .near import near_duplicates
 from .packing import pack
 from .quality import classify, fit_classifier
 from .repeats import removal_digests
 from .rules import FULL, RULES, fails, quality_ledger
+from .toxicity import fit_toxicity, toxicity
 from .unigram import token_counts
 from .urls import url_filter
 from .vectors import near_vectors
@@ -151,6 +154,63 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors."""
+    coded, books = compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(n_entries: int = 256, rounds: int = 4) -> str:
+    """Plain rounds over all pairs of part and entry; distances have less than 2**53 / 256 in these tables."""
+    steps = ["b0 AS (SELECT p, rid - 1 AS e, x AS c FROM parts WHERE rid <= {n})".format(n=n_entries)]
+    squared = "CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT)"
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT rid, p, min({squared} * {n_entries} + e) AS best FROM parts JOIN b{k} USING (p) GROUP BY rid, p)")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT p, e, list(mean ORDER BY i) AS c FROM (
+    SELECT p, best % {n_entries} AS e, i, floor(sum(x[i]) / count(*)) AS mean FROM a{k} JOIN parts USING (rid, p), range(1, len(x) + 1) t(i) GROUP BY ALL) GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+{", ".join(steps)},
+coded AS (
+  SELECT rid, string_agg(lower(lpad(to_hex(best % {n_entries}), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best // {n_entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), books"""
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir), k=10)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12_SQL = rf"""
+WITH found AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS terms FROM documents),
+asked AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS terms FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM found WHERE len(terms) > 0),
+q AS (SELECT qid, item_id, term, count(*) AS qf FROM (SELECT qid, item_id, unnest(terms) AS term FROM asked) GROUP BY ALL),
+held AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM found) GROUP BY ALL),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term, n_docs),
+scored AS (
+  SELECT qid, item_id, rid, doc_id, CAST(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN held USING (term) JOIN weighed USING (term), totals GROUP BY qid, item_id, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt from the labels of two thirds of the ids."""
+    docs = documents(spark, sf_dir)
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id")))
+    return toxicity(docs, model, least=0.7).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_token_counts": op2_token_counts,
@@ -162,9 +222,14 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op5_url_filter": _rules_sql(),
     "op7_quality_rules": OP7_SQL,
     "op9_license_scan": OP9_SQL,
+    "op11_vector_codes": _codes_sql(),
+    "op12_ranked_search": OP12_SQL,
 }
