@@ -8,7 +8,7 @@ from ..operators import merge
 from ..operators.merge import HISTORY
 from ..session import staged, work_dir
 from ..sources.publish import publish_versioned, read_current
-from ..streaming import jobs
+from ..streaming import eventtime, jobs
 from .inputs import BASE_SQL, COMPARED, DOC_QUERIES, LATEST_SQL, SNAP_SQL, TODAY, base_list, day, docs, queries_of, snapshot, table
 from .merging import MERGED_COLS, MERGED_SQL
 from .news import RUNS_SQL, WATCH_SQL, _digest, _digest_sql, _runs
@@ -177,3 +177,59 @@ def stream_inbox(spark, sf):
     jobs.stream_inbox(files, parse, path, work_dir(spark, "checkpoint"))
     rows = jobs.inbox_list(spark, path, "id long, line string, kind string")
     return rows.select("id", F.concat_ws(":", "kind", "line").alias("payload"), "version")
+
+
+# --- state by event time ----------------------------------------------------------------------------
+
+LATE_SQL = "late AS (SELECT event_id FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events) WHERE event_id % 7 = 0 AND ts < lo + (hi - lo) / 4)"
+
+
+@query("stream_buckets_watermark", f"""WITH {LATE_SQL}, edge AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events),
+windows AS (SELECT CAST(ts AS DATE) AS start, event_type, count(*) AS n FROM events WHERE event_id NOT IN (SELECT event_id FROM late) GROUP BY 1, 2)
+SELECT CASE WHEN start + INTERVAL 1 DAY <= mark THEN 'closed' ELSE 'open' END AS state, start, event_type, n FROM windows, edge
+UNION ALL SELECT 'late', NULL, event_type, count(*) FROM events WHERE event_id IN (SELECT event_id FROM late) GROUP BY event_type""")
+def stream_buckets_watermark(spark, sf):
+    """Days closed by a watermark of two days, those still open, and the events that came after their day was closed: a part of
+    the oldest quarter of the time, which is delivered after everything else."""
+    e = table(spark, sf, "events").select("event_id", "event_type", _wall_clock("ts").alias("ts"))
+    lo, hi = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    is_late = (F.col("event_id") % 7 == 0) & (F.unix_micros("ts") < lo + (hi - lo) / 4)
+    rank = F.when(is_late, F.lit(10)).otherwise(F.least(F.lit(3), F.floor((F.unix_micros("ts") - lo) * 4 / (hi - lo + 1))))
+    path = work_dir(spark, "events")
+    rows = e.withColumn("part", rank.cast("int"))
+    for k in (0, 1, 2, 3, 10):  # the files' times give the order in which a stream takes them
+        rows.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, checkpoint = work_dir(spark, "closed"), work_dir(spark, "checkpoint")
+    eventtime.stream_closed_buckets(events, "ts", "event_type", out, checkpoint)
+    closed, still_open = eventtime.closed_buckets(spark, out, "event_type"), eventtime.open_buckets(spark, checkpoint, "event_type")
+    late = eventtime.late_counts(spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), closed, still_open, "event_type")
+    start = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int")).alias("start")
+    none = F.lit(None).cast("date").alias("start")
+    parts = [closed.select(F.lit("closed").alias("state"), start, "event_type", "n"), still_open.select(F.lit("open").alias("state"), start, "event_type", "n"), late.select(F.lit("late").alias("state"), none, "event_type", "n")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("stream_once_watermark", f"WITH {_digest_sql('1995-01-01')} SELECT id, list, added FROM rows WHERE added >= DATE '1995-01-01'")
+def stream_once_watermark(spark, sf):
+    """The rows of ``stream_once``, by marks that Spark keeps for 60 days of event time and then gives up."""
+    rows, _ = _digest(spark, sf)
+    rows = rows.select("id", "list", "added", F.col("added").cast("timestamp").alias("stamp"))
+    path = work_dir(spark, "announced")
+    twice = _stream(rows.unionByName(rows.filter("list = 'm'")), "rows", order=[F.asc_nulls_last("added")], files=5)
+    eventtime.stream_once_within(twice, ["id"], "stamp", path, work_dir(spark, "checkpoint"), since=F.lit("1995-01-01").cast("timestamp"))
+    return spark.read.parquet(path).select("id", "list", "added")
+
+
+@query("stream_source_state", f"""WITH {RUNS_SQL}, ok AS (SELECT source, max(ts) FILTER (NOT failed) AS last_ok, max(ts) AS checked_at, count(*) AS runs FROM runs GROUP BY 1),
+since AS (SELECT ok.*, (SELECT min(ts) FROM runs r WHERE r.source = ok.source AND failed AND (last_ok IS NULL OR r.ts > last_ok)) AS failing_since FROM ok)
+SELECT source, checked_at, failing_since, runs, failing_since IS NULL AND checked_at + INTERVAL 36 HOUR < (SELECT max(ts) FROM runs) - INTERVAL 2 DAY AS stale FROM since""")
+def stream_source_state(spark, sf):
+    """Sources whose runs come up to two days out of order: every third run is delivered with those of 40 hours later."""
+    runs = _runs(spark, sf).select("source", _wall_clock("ts").alias("ts"), "failed", "event_id")
+    arrives = F.unix_seconds("ts") + F.when(F.col("event_id") % 3 == 0, 40 * 3600).otherwise(0)
+    stream = _stream(runs.withColumn("arrives", arrives), "runs", order=[F.asc("arrives"), F.asc("event_id")], files=4)
+    path = work_dir(spark, "states")
+    eventtime.stream_source_state(stream, path, work_dir(spark, "checkpoint"))
+    utc = lambda c: F.to_utc_timestamp(F.from_utc_timestamp(c, F.current_timezone()), "UTC").cast("timestamp_ntz").alias(c)
+    return eventtime.source_states(spark, path).select("source", utc("checked_at"), utc("failing_since"), "runs", "stale")
