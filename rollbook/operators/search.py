@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -17,9 +17,10 @@ from pyspark.sql.types import StructType
 from ..functions.spelling import edit_budget, query_tokens, token_variants
 from ..functions.text import normalize
 from ..session import staged
+from .grams import GramIndex, match_by_grams
 
 LISTS_DEFAULT = "m"
-BLOCK = 100_000   # variants that are sent to every task at once; more are worked off in blocks of queries
+BLOCK = 100_000   # variants that are sent to every task; more are joined by their grams
 PAGE = 50
 NEW_DAYS = 30
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
@@ -112,38 +113,46 @@ class Matcher:
 def match_queries(corpus: DataFrame, variants: DataFrame, any_token: bool = False, always: DataFrame | None = None) -> DataFrame:
     """Rows of ``corpus`` (``h`` and any others, ids or not, repeated or not) per query ``q`` that they match; ``h`` is dropped.
 
-    A token matches when any of its variants is a substring; an empty variant never is. Queries of ``always`` match every row.
-    Each block of queries is one scan of the corpus, without a join, whatever the number of variants.
+    A token matches when any of its variants is a substring; an empty variant never is. Queries of ``always`` match every row. One scan
+    of the corpus: up to ``BLOCK`` variants are sent to every task, more are joined by their grams and never leave the executors. Of queries that
+    match every row, whose result is as long as the corpus for each, ``BLOCK`` are sent at a time.
     """
-    spark = corpus.sparkSession
     asked = staged(variants.select("q", "token_no", F.coalesce("variant", F.lit("")).alias("variant")).distinct(), "variants")
-    everything = always.select("q").distinct() if always is not None else None
-    blocks = max(1, -(-asked.count() // BLOCK))
+    if asked.count() > BLOCK:
+        out = match_by_grams(corpus, asked, any_token)
+    else:
+        own = [tuple(r) for r in asked.collect()]  # at most BLOCK rows
+        needed = Counter(q for q, _ in {r[:2] for r in own})
+        out = _scan(corpus, variants, Matcher([r for r in own if r[2]], needed, [], any_token))
+    for part in _blocks(always):
+        out = out.unionByName(_scan(corpus, variants, Matcher([], {}, part, any_token)))
+    return out
+
+
+def _blocks(always: DataFrame | None) -> Iterator[list]:
+    if always is None or always.isEmpty():
+        return
+    own = staged(always.select("q").distinct(), "always")
+    blocks = max(1, -(-own.count() // BLOCK))
+    for k in range(blocks):
+        yield [r["q"] for r in own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k).collect()]
+
+
+def _scan(corpus: DataFrame, variants: DataFrame, matcher: Matcher) -> DataFrame:
     kept = [c for c in corpus.columns if c != "h"]
     q_type = variants.schema["q"].dataType
     schema = StructType([corpus.schema[c] for c in kept]).add("q", q_type)
     arrow_q = to_arrow_type(q_type)
-    rows = corpus.select(*kept, "h")
-
-    def scan(matcher):
-        def match(batches):
-            for batch in batches:
-                found = [matcher.value.match(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
-                at = pa.array([i for i, qs in enumerate(found) for _ in qs], pa.int64())
-                qs = pa.array([q for own in found for q in own], arrow_q)
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), qs], [*kept, "q"])
+    sent = corpus.sparkSession.sparkContext.broadcast(matcher)
 
-        return rows.mapInArrow(match, schema)
+    def match(batches):
+        for batch in batches:
+            found = [sent.value.match(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
+            at = pa.array([i for i, qs in enumerate(found) for _ in qs], pa.int64())
+            qs = pa.array([q for own in found for q in own], arrow_q)
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), qs], [*kept, "q"])
 
-    out = None
-    for k in range(blocks):
-        mine = F.pmod(F.xxhash64("q"), F.lit(blocks)) == k
-        own = [tuple(r) for r in asked.where(mine).collect()]  # a block: at most about BLOCK rows
-        needed = Counter(q for q, _ in {r[:2] for r in own})
-        free = [] if everything is None else [r["q"] for r in everything.where(mine).collect()]
-        part = scan(spark.sparkContext.broadcast(Matcher([r for r in own if r[2]], needed, free, any_token)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return corpus.select(*kept, "h").mapInArrow(match, schema)
 
 
 # --- vocabulary and typos --------------------------------------------------------------------------
@@ -217,16 +226,29 @@ def similar_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
 # --- pipelines -------------------------------------------------------------------------------------
 
-def staged_search(corpus: DataFrame, queries: DataFrame, words: DataFrame | None = None, where: Column | None = None, any_token: bool = False) -> DataFrame:
+def staged_search(
+    corpus: DataFrame | GramIndex, queries: DataFrame, words: DataFrame | None = None, where: Column | None = None, any_token: bool = False
+) -> DataFrame:
     """Exact search with variants; queries without any hit are tried again with similar words.
 
     Returns the matching rows with ``q`` and ``mode`` ('exact' or 'fuzzy'). ``words`` may be a stored vocabulary;
-    ``where`` restricts what is shown, never the vocabulary. A query without a token lists everything shown.
+    ``where`` restricts what is shown, never the vocabulary. A query without a token lists everything shown. The corpus may be an
+    index of it; then only texts with a query's rarest grams are read, and all of them for queries without a token or without ``words``.
     """
-    shown = corpus.filter(visible() if where is None else where)
+    where = visible() if where is None else where
     tokens = staged(parse_queries(queries), "tokens")
     variants = spell_tokens(tokens)
-    exact = staged(match_queries(shown, variants, any_token, without_tokens(queries, tokens)), "exact")
+    idle = without_tokens(queries, tokens)
+    if isinstance(corpus, GramIndex):
+        index, corpus = corpus, corpus.rows.drop("_doc")
+        find = lambda asked: index.match(asked, any_token, where)
+        exact = find(variants)
+        for part in _blocks(idle):
+            exact = exact.unionByName(_scan(corpus.filter(where), variants, Matcher([], {}, part, any_token)))
+    else:
+        find = lambda asked, always=None: match_queries(corpus.filter(where), asked, any_token, always)
+        exact = find(variants, idle)
+    exact = staged(exact, "exact")
     missed = tokens.join(exact.select("q").distinct(), "q", "left_anti")
     result = exact.withColumn("mode", F.lit("exact"))
     if missed.isEmpty():
@@ -234,7 +256,7 @@ def staged_search(corpus: DataFrame, queries: DataFrame, words: DataFrame | None
     similar = similar_words(missed, vocabulary(corpus) if words is None else words)
     more = staged(missed.join(similar, "token").select("q", "token_no", F.col("word").alias("variant")), "similar")
     again = variants.join(more.select("q").distinct(), "q", "left_semi").unionByName(more)
-    return result.unionByName(match_queries(shown, again, any_token).withColumn("mode", F.lit("fuzzy")))
+    return result.unionByName(find(again).withColumn("mode", F.lit("fuzzy")))
 
 
 def count_by_list(rows: DataFrame, lists: Sequence[str], by: Sequence[str] = (), live: bool = False) -> DataFrame:

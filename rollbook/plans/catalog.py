@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import code_series
-from ..functions.text import normalize_compact
+from ..functions.text import normalize, normalize_compact
 from ..operators import changes, search, stats
+from ..operators.grams import GramIndex, match_by_grams
 from ..operators.position import dense_position
 from ..session import staged
 from ..sources.lists import list_position, read_list, record_lookup, tagged_union
@@ -180,15 +181,35 @@ def search_any_token(spark, sf):
     return _doc_predicate(True)(spark, sf).select("q", "id")
 
 
+@query("search_indexed", f"{HITS_SQL} SELECT q, id FROM hits JOIN (SELECT q, count(*) AS need FROM tokens GROUP BY q) USING (q) WHERE n = need")
+def search_indexed(spark, sf):
+    """The rows of ``search_all_tokens`` by an index of the documents."""
+    index = GramIndex.build(docs(spark, sf).select("id", "h"))
+    return index.match(search.spell_tokens(search.parse_queries(queries_of(spark, DOC_QUERIES)))).select("q", "id")
+
+
 @query("search_many_queries", f"""WITH {DOCS_SQL}, qs AS (SELECT page_id AS q, regexp_extract(url, 'https?://([a-z]+\\.)*([a-z]+)\\.example', 2) AS word FROM pages)
 SELECT q, id FROM qs JOIN docs ON contains(h, {sql_norm('word')}) WHERE word <> ''""")
 def search_many_queries(spark, sf):
-    """One query per page (the site word of its url), so the set of queries grows with the data: the gram join."""
+    """One query per page (the site word of its url), so the set of queries grows with the data; its few variants are sent to the tasks."""
     word = F.regexp_extract("url", "https?://([a-z]+\\.)*([a-z]+)\\.example", 2)
     queries = table(spark, sf, "pages").select(F.col("page_id").alias("q"), word.alias("query"))
     return search.match_queries(docs(spark, sf).select("id", "h"), search.spell_tokens(search.parse_queries(queries))).select("q", "id")
 
 
+PASSAGES_SQL = f"""WITH {DOCS_SQL}, qs AS (SELECT item_id AS q, {sql_norm('text')} AS text FROM benchmark),
+ws AS (SELECT DISTINCT q, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS word FROM qs)
+SELECT DISTINCT q, id FROM ws JOIN docs ON contains(h, word) WHERE length(word) >= 9"""
+
+
+@query("search_by_gram_join", PASSAGES_SQL)
+def search_by_gram_join(spark, sf):
+    """Documents that hold any of an item's longer words: a set of variants that stays on the executors, joined by grams."""
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.array_distinct(F.split(normalize(F.col("text")), search.WORD_SPLIT))).alias("variant"))
+    variants = words.filter(F.length("variant") >= 9).select("q", F.lit(0).alias("token_no"), "variant")
+    return match_by_grams(docs(spark, sf).select("id", "h"), variants, any_token=True).select("q", "id")
+
+
 @query("vocabulary", f"WITH {DOCS_SQL}, v AS (SELECT DISTINCT unnest(regexp_split_to_array(h, '[^\\p{{L}}\\p{{N}}]+')) AS word FROM docs) SELECT word FROM v WHERE length(word) >= 3")
 def vocabulary(spark, sf):
     return search.vocabulary(docs(spark, sf))
@@ -200,8 +221,6 @@ k AS (SELECT token, CASE WHEN length(token) >= 8 THEN 2 WHEN length(token) >= 5
 SELECT token, word FROM k JOIN v ON k.k > 0 AND token <> word AND length(word) BETWEEN length(token) - k.k AND length(token) + k.k
 WHERE {sql_lev('token', 'word')} <= k.k""")
 def similar_words(spark, sf):
-    from ..functions.text import normalize
-
     tokens = search.vocabulary(table(spark, sf, "benchmark").select(normalize(F.col("text")).alias("h")))
     return search.similar_words(tokens.withColumnRenamed("word", "token"), search.vocabulary(docs(spark, sf)))
 
@@ -223,6 +242,14 @@ def staged_search(spark, sf):
     return search.staged_search(_corpus(spark, sf), queries_of(spark, ITEM_QUERIES)).select("q", "id", "mode")
 
 
+@query("staged_search_indexed", f"WITH {STAGED_SQL} SELECT q, id, mode FROM found")
+def staged_search_indexed(spark, sf):
+    """The rows of ``staged_search`` by an index of the lists, with a stored vocabulary."""
+    corpus = _corpus(spark, sf)
+    words = staged(search.vocabulary(corpus), "vocabulary")
+    return search.staged_search(GramIndex.build(corpus), queries_of(spark, ITEM_QUERIES), words).select("q", "id", "mode")
+
+
 FACETS_SQL = f"""{STAGED_SQL},
 whole AS (SELECT q, min(mode) AS mode, count(*) AS n_all, count(*) FILTER (list = 'm') AS n_m, count(*) FILTER (list = 'f') AS n_f, count(*) FILTER (list = 'p') AS n_p FROM found GROUP BY q),
 in_list AS (SELECT q, mode, count(*) AS n FROM found WHERE list = 'm' GROUP BY q, mode),
