@@ -76,7 +76,7 @@ class Toxicity:
 class Ftrl:
     """FTRL-proximal for logistic loss; the intercept has a rate of its own and no bounds."""
 
-    def __init__(self, bins: int, rate: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0):
+    def __init__(self, bins: int, rate: float = 0.7, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
         self.rate, self.beta, self.l1, self.l2 = rate, beta, l1, l2
         #: Of each bin, and last of the intercept.
         self.z, self.n = np.zeros(bins + 1), np.zeros(bins + 1)
@@ -98,7 +98,7 @@ class Ftrl:
         self.n[at] = n + gradient * gradient
 
 
-def fit_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], share: float, bins: int = BINS, rounds: int = 4, seed: int = 5) -> Toxicity:
+def fit_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], share: float, bins: int = BINS, rounds: int = 8, seed: int = 5) -> Toxicity:
     """Go over the examples (bins, values, label) in rounds, each in an order of its own. ``share`` is that of label 1 among all documents:
     the intercept is moved as far as the examples' share is off. Without examples of both labels there are no weights: share alone."""
     labels = np.array([y for _, _, y in examples], np.int64)
@@ -142,11 +142,9 @@ def fit_toxicity(
             rows = [(feature[a:b].astype("<i4").tobytes(), np.round(np.expm1(value[a:b])).astype("<i4").tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["y", "bins", "counts"])
 
-    got = few.select("y", "text").mapInArrow(describe, "y int, bins binary, counts binary").orderBy("bins", "y").toArrow()
-    examples = [
-        (np.frombuffer(b.as_py(), "<i4").astype(np.int64), np.log1p(np.frombuffer(c.as_py(), "<i4")), y.as_py())
-        for y, b, c in zip(got.column("y"), got.column("bins"), got.column("counts"), strict=True)]
-    return fit_ftrl(examples, share)
+    got = few.select("y", "text").mapInArrow(describe, "y int, bins binary, counts binary").toArrow()
+    rows = sorted(zip(got.column("bins").to_pylist(), got.column("y").to_pylist(), got.column("counts").to_pylist(), strict=True))  # whatever the order they come in
+    return fit_ftrl([(np.frombuffer(b, "<i4").astype(np.int64), np.log1p(np.frombuffer(c, "<i4")), y) for b, y, c in rows], share)
 
 
 def toxicity(df: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:

@@ -44,7 +44,7 @@ def test_the_same_words_fall_into_the_same_bins():
 def test_learner_is_ftrl():
     """Coordinate by coordinate, as the formula has it."""
     rng = np.random.default_rng(1)
-    learner, z, n = Ftrl(12, l1=0.5), [0.0] * 13, [0.0] * 13
+    learner, z, n = Ftrl(12, rate=0.3, l1=0.5, l2=1.0), [0.0] * 13, [0.0] * 13
 
     def weight(i):
         l1, l2 = (0, 0) if i == 12 else (0.5, 1.0)
