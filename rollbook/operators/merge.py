@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_compact, same_or_cut, similar_names
 from ..session import staged
+from .nearnames import near_name_pairs
 from .position import keep_last
+from .settle import settle_edges
 
 HISTORY = ["ord", "added", "is_removed", "removed", "edited", "edit_of", "replaced_by"]
 
@@ -65,7 +68,7 @@ def snapshot_merge(
     primary: bool = True,
     initial: bool | None = None,
     rule: Rule | None = None,
-    blocks: Sequence[Callable[[str], list[Column]]] = (),
+    blocks: Sequence[Callable[[str], list[Column]] | NearBlock] = (),
     max_pairs: int | None = None,
     first_seen: Column | None = None,
 ) -> DataFrame:
@@ -144,37 +147,59 @@ def merge_guards(counts: DataFrame, initial: bool = False, force: bool = False,
 
 
 def pair_edits(
-    gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[Callable[[str], list[Column]]], max_pairs: int | None = None
+    gone: DataFrame, fresh: DataFrame, rule: Rule, blocks: Sequence[Callable[[str], list[Column]] | NearBlock], max_pairs: int | None = None
 ) -> DataFrame:
     """Pairs (old_id, new_id) of removed and new records that ``rule`` takes for one record.
 
-    Old records are tried in base order; one pairs only when exactly one unused candidate fits. Candidates come from equi-joins on
-    ``blocks``. The order is kept without taking the records one by one: a round settles every old record that no earlier unsettled
-    one shares a candidate with, and takes its edges, and those of the records it used, off the table of edges; there are as many
-    rounds as the longest chain of records that wait for each other. With ``max_pairs``, more removed records are no edits at all.
+    Old records are tried in base order; one pairs only when exactly one unused candidate fits (see :func:`rollbook.operators.settle.settle_edges`).
+    Candidates come from equi-joins on ``blocks``: keys that a pair must share, or a :class:`NearBlock`. With ``max_pairs``, more removed
+    records are no edits at all.
     """
+    if max_pairs is not None and gone.limit(max_pairs + 1).count() > max_pairs:
+        gone = gone.limit(0)
     old, new = gone.alias("o"), fresh.alias("n")
     found = None
     for block in blocks:
-        left = old.withColumn("_key", F.array(*[c.cast("string") for c in block("o")])).alias("o")
-        right = new.withColumn("_key", F.array(*[c.cast("string") for c in block("n")])).alias("n")
-        hits = right.join(left, F.col("o._key") == F.col("n._key")).filter(rule("o", "n"))
-        hits = hits.select(F.col("o.id").alias("old_id"), F.col("o.base_ord").alias("old_ord"), F.col("n.id").alias("new_id"))
+        hits = block.joined(old, new) if isinstance(block, NearBlock) else _equal(old, new, block)
+        hits = hits.filter(rule("o", "n")).select(F.col("o.id").alias("old_id"), F.col("o.base_ord").alias("old_ord"), F.col("n.id").alias("new_id"))
         found = hits if found is None else found.unionByName(hits)
-    if max_pairs is not None and gone.limit(max_pairs + 1).count() > max_pairs:
-        found = found.limit(0)
-    edges = staged(found.distinct(), "edges")
-    pairs = edges.limit(0).select("old_id", "new_id")
-    turn = F.struct("old_ord", "old_id")
-    while not edges.isEmpty():
-        first = edges.groupBy("new_id").agg(F.min(turn).alias("_first"))
-        leads = edges.join(first, "new_id").withColumn("_leads", turn.eqNullSafe(F.col("_first")))
-        settled = leads.groupBy("old_id").agg(F.min("_leads").alias("_ready"), F.count(F.lit(1)).alias("_free"), F.min("new_id").alias("new_id"))
-        settled = staged(settled.filter("_ready").drop("_ready"), "settled")
-        taken = settled.filter("_free = 1").select("old_id", "new_id")
-        pairs = pairs.unionByName(taken)
-        edges = staged(edges.join(settled.select("old_id"), "old_id", "left_anti").join(taken.select("new_id"), "new_id", "left_anti"), "edges")
-    return pairs
+    return settle_edges(found)
+
+
+def _keyed(df: DataFrame, alias: str, block: Callable[[str], list[Column]]) -> DataFrame:
+    """Records with a block's key; those that lack a part of it have none."""
+    parts = [c.cast("string") for c in block(alias)]
+    whole = F.lit(True)
+    for c in parts:
+        whole = whole & c.isNotNull()
+    return df.withColumn("_key", F.when(whole, F.array(*parts)))
+
+
+def _equal(old: DataFrame, new: DataFrame, block: Callable[[str], list[Column]]) -> DataFrame:
+    return _keyed(new, "n", block).alias("n").join(_keyed(old, "o", block).alias("o"), F.col("o._key") == F.col("n._key"))
+
+
+@dataclass(frozen=True)
+class NearBlock:
+    """Records that share a key and whose names are near (see :mod:`rollbook.operators.nearnames`): for rules that ask for no less.
+
+    So of a hot key only names that have rare pieces in common are compared, each distinct name once.
+    """
+
+    key: Callable[[str], list[Column]]
+    share: float
+    prefix: bool = False
+    max_len: int | None = None
+    name: str = "name"
+
+    def joined(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        o, n = (_keyed(df, a, self.key).withColumn("_name", _norm(a, self.name)) for df, a in ((old, "o"), (new, "n")))
+        names = lambda df: df.select(F.col("_key").alias("key"), F.col("_name").alias("name"))
+        pairs = near_name_pairs(names(o), names(n), self.share, self.prefix, self.max_len)
+        pairs = pairs.filter(similar_names(F.col("a"), F.col("b"), self.share, self.prefix, self.max_len)).alias("p")
+        o, n = o.alias("o"), n.alias("n")
+        found = o.join(pairs, (F.col("o._key") == F.col("p.key")) & (F.col("o._name") == F.col("p.a")))
+        return found.join(n, (F.col("n._key") == F.col("p.key")) & (F.col("n._name") == F.col("p.b")))
 
 
 # Edit rules: which removed and new records are one record, with the keys that any such pair must share.
@@ -192,7 +217,7 @@ def titled_rule(o: str, n: str) -> Column:
     )
 
 
-titled_blocks = [lambda a: [_norm(a, "type"), F.substring(_norm(a, "court"), 1, 20)]]
+titled_blocks = [NearBlock(lambda a: [_norm(a, "type"), F.substring(_norm(a, "court"), 1, 20)], 0.08, prefix=True, max_len=3000)]
 
 
 def dated_person_rule(o: str, n: str) -> Column:
@@ -206,7 +231,7 @@ def dated_person_rule(o: str, n: str) -> Column:
 
 
 dated_person_blocks = [
-    lambda a: [F.col(f"{a}.date"), F.col(f"{a}.birth")],
+    NearBlock(lambda a: [F.col(f"{a}.date"), F.col(f"{a}.birth")], 0.15),
     lambda a: [F.col(f"{a}.date"), _norm(a, "name")],
     lambda a: [F.col(f"{a}.birth"), _norm(a, "name")],
 ]
@@ -219,7 +244,7 @@ def year_rule(o: str, n: str) -> Column:
     return (same_year & near) | (~same_year & (_norm(o, "name") == _norm(n, "name")))
 
 
-year_blocks = [lambda a: [F.col(f"{a}.year")], lambda a: [_norm(a, "name")]]
+year_blocks = [NearBlock(lambda a: [F.col(f"{a}.year")], 0.15), lambda a: [_norm(a, "name")]]
 
 
 def birth_rule(o: str, n: str) -> Column:
@@ -230,7 +255,7 @@ def birth_rule(o: str, n: str) -> Column:
     return (same_birth & near) | (~same_birth & known & (_norm(o, "name") == _norm(n, "name")))
 
 
-birth_blocks = [lambda a: [F.col(f"{a}.birth")], lambda a: [_norm(a, "name")]]
+birth_blocks = [NearBlock(lambda a: [F.col(f"{a}.birth")], 0.15), lambda a: [_norm(a, "name")]]
 
 
 def removed_rows(base: DataFrame, snap: DataFrame) -> DataFrame:

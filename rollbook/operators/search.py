@@ -18,6 +18,7 @@ from ..functions.spelling import edit_budget, query_tokens, token_variants
 from ..functions.text import normalize
 from ..session import staged
 from .grams import GramIndex, match_by_grams
+from .nearnames import deletions
 
 LISTS_DEFAULT = "m"
 BLOCK = 100_000   # variants that are sent to every task; more are joined by their grams
@@ -169,30 +170,13 @@ def _cut(length: Column, budget: Column, j: Column) -> tuple[Column, Column]:
     return j * size, F.when(j == budget, length - budget * size).otherwise(size)
 
 
-def _deletions(word: Column, budget: Column) -> Column:
-    """The word with up to ``budget`` (0–2) letters left out."""
-    n = F.length(word)
-    none = F.array().cast("array<string>")
-
-    def without(i):
-        return F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))
-
-    def without_pair(i):
-        head = F.substr(word, F.lit(1), i - 1)
-        return F.transform(F.sequence(i + 1, n), lambda j: F.concat(head, F.substr(word, i + 1, j - i - 1), F.substr(word, j + 1)))
-
-    singles = F.when(budget >= 1, F.transform(F.sequence(F.lit(1), n), without)).otherwise(none)
-    doubles = F.when(budget >= 2, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), without_pair))).otherwise(none)
-    return F.array_distinct(F.concat(F.array(word), singles, doubles))
-
-
 def _short_candidates(asked: DataFrame, words: DataFrame) -> DataFrame:
     """Two strings within k edits share one made by leaving out at most k letters of each: up to 121 of a word of 15 letters."""
-    left = asked.select("token", "k", F.explode(_deletions(F.col("token"), F.col("k"))).alias("rest"))
+    left = asked.select("token", "k", F.explode(deletions(F.col("token"), F.col("k"))).alias("rest"))
     n = F.length("word")
     reach = F.when(n >= 6, 2).when(n >= 4, 1).otherwise(0)  # any token that may reach a word this long
     right = words.filter(n <= LONG_TOKEN + 1).withColumn("reach", reach).filter("reach > 0")
-    right = right.select("word", F.explode(_deletions(F.col("word"), F.col("reach"))).alias("rest"))
+    right = right.select("word", F.explode(deletions(F.col("word"), F.col("reach"))).alias("rest"))
     return right.join(left, "rest").select("token", "k", "word")
 
 

@@ -75,6 +75,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def stage_path(stage: DataFrame) -> str:
+    """Where :func:`staged` wrote this very frame."""
+    return _PATHS[stage]
+
+
 def free_stage(stage: DataFrame) -> None:
     """Delete what :func:`staged` wrote for this very frame. Frames made from it can't be read any more."""
     path = _PATHS.pop(stage)
