@@ -103,6 +103,11 @@ def digest_header(fresh: DataFrame, lists: Sequence[str]) -> DataFrame:
     return per_list.unionByName(total)
 
 
+def digest_rollup(fresh: DataFrame) -> DataFrame:
+    """New rows per list and day, per list and in total, with the last day; ``level`` tells the totals (0: list and day, 1: list, 3: all)."""
+    return fresh.rollup("list", "added").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.max("added").alias("last_added"))
+
+
 def digest_rows(fresh: DataFrame, lists: Sequence[str]) -> DataFrame:
     """Running number over the digest, list by list; the first row of each list carries a heading if lists mix.
 

@@ -71,11 +71,13 @@ def snapshot_merge(
     blocks: Sequence[Callable[[str], list[Column]] | NearBlock] = (),
     max_pairs: int | None = None,
     first_seen: Column | None = None,
+    base_ord: bool = False,
 ) -> DataFrame:
     """The merged list: payload, history columns and the status of every record in this run.
 
     ``rule`` with its ``blocks`` pairs a removed and a new record that are one edited record. ``first_seen``
-    fills ``since`` of new, unpaired records (versioned lists); a paired record inherits it.
+    fills ``since`` of new, unpaired records (versioned lists); a paired record inherits it. With ``base_ord`` the place that a
+    record had in the base comes along.
     """
     if initial is None:
         initial = base.isEmpty()
@@ -124,6 +126,7 @@ def snapshot_merge(
         F.when(back, F.lit(None)).otherwise(F.coalesce(becomes, F.col("replaced_by"))).alias("replaced_by"),
         *since,
         status.alias("status"),
+        *(["base_ord"] if base_ord else []),
     )
 
 

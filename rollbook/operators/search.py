@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -255,6 +255,15 @@ def count_by_list(rows: DataFrame, lists: Sequence[str], by: Sequence[str] = (),
     return counts.select(*by, F.inline(pairs))
 
 
+def facet_rollup(rows: DataFrame, dims: Sequence[str], measures: Mapping[str, Column] | None = None) -> DataFrame:
+    """Counts by the dimensions from the first to the last, with totals at every step, from one pass: the rows of each group ``n`` and further measures.
+
+    ``level`` tells a total from a group whose dimension is NULL: it has a bit for each dimension summed over, the last one the lowest.
+    """
+    more = [m.alias(name) for name, m in (measures or {}).items()]
+    return rows.rollup(*dims).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), *more)
+
+
 def search_facets(corpus: DataFrame, queries: DataFrame, lists: Sequence[str], list_name: str, words: DataFrame | None = None) -> DataFrame:
     """Per query: mode and counts over all lists, then mode and count inside ``list_name``.
 
@@ -351,6 +360,79 @@ def match_ranges(texts: DataFrame, variants: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, StructType([rows.schema["id"], rows.schema["q"]]).add("start", "long").add("stop", "long"))
 
 
+class Places:
+    """All places of variants in a text, by query; one automaton for all queries."""
+
+    def __init__(self, rows: Sequence[tuple]):
+        """rows: (q, variant), variants not empty."""
+        self.rows, self.machine = rows, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"machine": None}
+
+    def ranges(self, text: str | None) -> list[tuple]:
+        """(q, start, stop) of all queries, merged as :func:`ranges_in` does."""
+        if not text or not self.rows:
+            return []
+        if self.machine is None:
+            by: dict = defaultdict(list)
+            for q, variant in self.rows:
+                by[variant].append(q)
+            self.machine = ahocorasick.Automaton()
+            for variant, qs in by.items():
+                self.machine.add_word(variant, (len(variant), variant, qs))
+            self.machine.make_automaton()
+        after: dict = {}
+        found: dict = defaultdict(list)
+        for end, (size, variant, qs) in self.machine.iter(text):
+            start = end - size + 1
+            if start >= after.get(variant, 0):  # occurrences of one variant never overlap each other
+                after[variant] = end + 1
+                for q in qs:
+                    found[q].append((start, end + 1))
+        out = []
+        for q, places in found.items():
+            merged: list[list[int]] = []
+            for start, stop in sorted(places):
+                if merged and start <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], stop)
+                else:
+                    merged.append([start, stop])
+            out += [(q, *r) for r in merged]
+        return out
+
+
+def match_ranges_once(texts: DataFrame, variants: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """What :func:`match_ranges` gives, with each text read and normalised once, however many queries it matches.
+
+    ``texts`` has ``id, text``, each id once; ``hits`` restricts the result to some ``(id, q)`` (all queries with any place, by default). ``BLOCK``
+    variants are sent to the tasks at a time.
+    """
+    asked = staged(variants.filter(F.col("variant") != "").select("q", "variant").distinct(), "variants")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    rows = texts.select("id", normalize(F.col("text")).alias("h"))
+    rows = staged(rows, "texts") if blocks > 1 else rows
+    schema = StructType([rows.schema["id"], asked.schema["q"]]).add("start", "long").add("stop", "long")
+    arrow_q = to_arrow_type(asked.schema["q"].dataType)
+
+    def scan(places):
+        def find(batches):
+            for b in batches:
+                found = [places.value.ranges(h) for h in b.column(1).to_pylist()]
+                at = pa.array([i for i, rs in enumerate(found) for _ in rs], pa.int64())
+                cols = [pa.array([r[k] for rs in found for r in rs], kind) for k, kind in enumerate((arrow_q, pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), *cols], ["id", "q", "start", "stop"])
+
+        return rows.mapInArrow(find, schema)
+
+    out = None
+    for k in range(blocks):
+        own = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k).collect()]  # about BLOCK rows
+        part = scan(texts.sparkSession.sparkContext.broadcast(Places(own)))
+        out = part if out is None else out.unionByName(part)
+    return out if hits is None else out.join(hits.select("id", "q").distinct(), ["id", "q"], "left_semi")
+
+
 def text_links(texts: DataFrame) -> DataFrame:
     """Links in each text, in order, without the punctuation that follows them; bare ones get a scheme."""
     shape = '(https?://[^\\s"<>)]+|(?<![\\w/.@])(?:t\\.me|www\\.)[^\\s"<>)]+)'

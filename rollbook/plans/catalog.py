@@ -9,9 +9,9 @@ from ..functions.text import normalize, normalize_compact
 from ..operators import changes, search, stats
 from ..operators.grams import GramIndex, match_by_grams
 from ..operators.position import dense_position
-from ..session import staged
+from ..session import staged, work_dir
 from ..sources.lists import list_position, read_list, record_lookup, tagged_union
-from ..sources.publish import public_projection
+from ..sources.publish import lookup_by_id, public_projection, write_by_id
 from .inputs import (
     AS_OF, DOC_QUERIES, DOC_TOKENS, DOCS_SQL, ITEM_QUERIES, ITEM_TOKENS, ITEMS_SQL, LISTS, day, docs, items, q, queries_of, sql_compact, sql_lev,
     sql_norm, sql_tokens, table,
@@ -99,6 +99,17 @@ def record_lookup_query(spark, sf):
     return record_lookup(asked, items(spark, sf).select("id", "name")).select("event_id", "id", "name", "stale")
 
 
+@query("record_lookup_pruned", f"""WITH {ITEMS_SQL}, asked AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'x' ELSE 'm' END || user_id AS id FROM events)
+SELECT a.event_id, a.id, i.name, i.id IS NULL AS stale FROM asked a LEFT JOIN items i ON i.id = a.id""")
+def record_lookup_pruned(spark, sf):
+    """The rows of ``record_lookup`` from records written by id; only folders of asked ids are read."""
+    path = work_dir(spark, "by-id")
+    write_by_id(items(spark, sf).select("id", "name"), path, shelves=32)
+    tag = F.when(F.col("event_type") == "error", "x").otherwise("m")
+    asked = table(spark, sf, "events").select("event_id", F.concat(tag, F.col("user_id").cast("string")).alias("id"))
+    return lookup_by_id(asked, path, shelves=32).select("event_id", "id", "name", "stale")
+
+
 @query("distinct_dates", f"WITH {ITEMS_SQL} SELECT DISTINCT date FROM items WHERE date IS NOT NULL")
 def distinct_dates(spark, sf):
     return items(spark, sf).select("date").filter("date is not null").distinct()
@@ -292,6 +303,13 @@ def match_ranges(spark, sf):
     return search.match_ranges(matched, variants).select("q", "id", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
 
 
+@query("match_ranges_once", RANGES_SQL)
+def match_ranges_once(spark, sf):
+    """The rows of ``match_ranges``, each document read once for all queries."""
+    variants = search.spell_tokens(search.parse_queries(queries_of(spark, DOC_QUERIES)))
+    return search.match_ranges_once(docs(spark, sf).select("id", "text"), variants).select("q", "id", "start", "stop")
+
+
 @query("text_links", """WITH p AS (SELECT page_id AS id, 'See ' || url || ', also www.site' || page_id || '.by). Not x.t.me/a but t.me/b' || page_id || '; ' || html AS text FROM pages),
 t AS (SELECT id, regexp_extract_all(' ' || text, '(?:https?://[^\\s"<>)]+|[^\\w/.@](?:t\\.me|www\\.)[^\\s"<>)]+)') AS ls FROM p),
 u AS (SELECT id, unnest(range(0, len(ls))) AS link_no, unnest(ls) AS raw FROM t),
@@ -346,6 +364,14 @@ def facet_counts(spark, sf):
     return search.count_by_list(items(spark, sf), ["m", "f", "p", "w"], live=True)
 
 
+@query("facet_rollup", f"""WITH {ITEMS_SQL}, r AS (SELECT list, year(date) AS year, CASE WHEN removed IS NULL THEN 'live' ELSE 'removed' END AS status FROM items)
+SELECT list, year, status, grouping_id(list, year, status) AS level, count(*) AS n FROM r GROUP BY ROLLUP (list, year, status)""")
+def facet_rollup(spark, sf):
+    """Records by list, year and status with all totals; undated records are a group of their own, not a total."""
+    rows = items(spark, sf).select("list", F.year("date").alias("year"), F.when(F.col("removed").isNull(), "live").otherwise("removed").alias("status"))
+    return search.facet_rollup(rows, ["list", "year", "status"])
+
+
 @query("lists_present", f"""WITH {STAGED_SQL}
 SELECT DISTINCT unnest(list_distinct([CASE WHEN series = 'terror' THEN 't' ELSE list END, CASE WHEN marked THEN 't' ELSE list END])) AS list
 FROM (SELECT i.* FROM found JOIN items i USING (id)) WHERE series <> 'terror'

@@ -9,7 +9,8 @@ from ..operators.health import run_meta
 from ..operators.position import dict_encode, keep_last
 from ..session import work_dir
 from ..sources.lists import union_parts
-from ..sources.publish import chunk_rows, publish_versioned, read_current
+from ..sources.buckets import BucketedList, merge_incremental
+from ..sources.publish import chunk_rows, publish_versioned, read_chunks, read_current, write_chunks
 from .inputs import BASE_SQL, COMPARED, LATEST_SQL, SNAP_SQL, TODAY, base_list, day, snapshot, table
 from .registry import query
 
@@ -342,6 +343,30 @@ def chunk_rows_query(spark, sf):
     return chunk_rows(rows, [F.col("o_orderdate"), F.col("id")]).select("id", "pos", "chunk")
 
 
+CHUNKED_SQL = """chunked AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders)"""
+
+
+@query("chunk_files", f"WITH {CHUNKED_SQL} SELECT id, pos, pos // 200 AS chunk FROM chunked WHERE pos // 200 IN (SELECT user_id * 7 FROM events)")
+def chunk_files(spark, sf):
+    """Orders written in chunks of 200 in publication order; the chunks that events ask for are read by number."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    path = work_dir(spark, "chunks")
+    write_chunks(rows, [F.col("o_orderdate"), F.col("id")], path, chunks=16)
+    asked = table(spark, sf, "events").select((F.col("user_id") * 7).alias("chunk"))
+    return read_chunks(asked, path, chunks=16).select("id", "pos", "chunk")
+
+
+@query("merge_incremental", f"WITH {MERGED_SQL} SELECT {', '.join(MERGED_COLS)} FROM merged")
+def merge_incremental_query(spark, sf):
+    """The rows of ``snapshot_merge`` from a list in buckets: what the merge published, and the status of what it changed."""
+    base = base_list(spark, sf)
+    kept = BucketedList(spark, work_dir(spark, "bucketed"), base.schema, buckets=16)
+    kept.publish(base)
+    changed, _ = merge_incremental(kept, snapshot(spark, sf), day(TODAY), COMPARED, initial=False)
+    status = changed.select("id", "status")
+    return kept.read().join(status, "id", "left").withColumn("status", F.coalesce("status", F.lit("kept"))).select(*MERGED_COLS)
+
+
 @query("publish_versioned", f"WITH {MERGED_SQL} SELECT {', '.join(MERGED_COLS)} FROM merged")
 def publish_versioned_query(spark, sf):
     """Publish the base, then the merge as the next version, and read back what is current."""

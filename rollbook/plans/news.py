@@ -108,6 +108,12 @@ def digest_header(spark, sf):
     return changes.digest_header(_fresh(spark, sf), RANK)
 
 
+@query("digest_rollup", f"""WITH {_digest_sql()}
+SELECT list, added, grouping_id(list, added) AS level, count(*) AS n, max(added) AS last_added FROM fresh GROUP BY ROLLUP (list, added)""")
+def digest_rollup(spark, sf):
+    return changes.digest_rollup(_fresh(spark, sf))
+
+
 NUMBERED_SQL = """numbered AS (SELECT *, row_number() OVER (ORDER BY list_position(['m', 'f', 'p'], list), added, ord, id) AS number,
   count(*) OVER (PARTITION BY list) AS n_list FROM fresh)"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import merge
 from ..operators.merge import HISTORY
 from ..session import staged, work_dir
+from ..sources.buckets import BucketedList
 from ..sources.publish import publish_versioned, read_current
 from ..streaming import eventtime, jobs
 from .inputs import BASE_SQL, COMPARED, DOC_QUERIES, LATEST_SQL, SNAP_SQL, TODAY, base_list, day, docs, queries_of, snapshot, table
@@ -67,13 +68,8 @@ SELECT id, coalesce(p3, p2, p1, p0) AS price, CASE WHEN in3 THEN false WHEN in2
 FROM steps"""
 
 
-@query("stream_merge_sequence", f"WITH {SEQUENCE_SQL}")
-def stream_merge_sequence(spark, sf):
-    """Three snapshots in one folder, mixed over the batches, on a root that has versions already; and a replay of the whole."""
-    root, landing = work_dir(spark, "stream-merge"), work_dir(spark, "landing")
-    base = base_list(spark, sf)
-    for _ in range(3):
-        publish_versioned(base, root)
+def _sequence(spark, sf):
+    """Three snapshots in one frame."""
     last = merge.keep_last(snapshot(spark, sf), "id", "src_pos")
     changed = F.col("price") + F.when(F.col("cust") % 3 == 0, 5).otherwise(0)
     parts = [
@@ -81,7 +77,17 @@ def stream_merge_sequence(spark, sf):
         last.filter(F.abs("id") % 100 != 7).withColumn("price", changed).withColumn("snapshot", F.lit(2)),
         last.filter(F.abs("id") % 100 != 8).withColumn("snapshot", F.lit(3)),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("stream_merge_sequence", f"WITH {SEQUENCE_SQL}")
+def stream_merge_sequence(spark, sf):
+    """Three snapshots in one folder, mixed over the batches, on a root that has versions already; and a replay of the whole."""
+    root, landing = work_dir(spark, "stream-merge"), work_dir(spark, "landing")
+    base = base_list(spark, sf)
+    for _ in range(3):
+        publish_versioned(base, root)
+    rows = _sequence(spark, sf)
     schema = base.select("id", *COMPARED, *HISTORY).schema
     for checkpoint in (work_dir(spark, "checkpoint"), work_dir(spark, "checkpoint")):
         jobs.stream_merge(_stream(rows, "snapshots", files=2), root, schema, day(TODAY), COMPARED, checkpoint, landing, guards={"force": True, "min_removed": 10**9}, initial=False)
@@ -108,6 +114,36 @@ def stream_watch(spark, sf):
     return spark.read.parquet(path).select("q", "id")
 
 
+@query("stream_watch_keyed", f"WITH {WATCH_SQL} SELECT q, id FROM matches")
+def stream_watch_keyed(spark, sf):
+    """The rows of ``stream_watch``, although a part of the documents comes twice, by state that is looked up by key."""
+    none = F.lit(None).cast("bigint")
+    corpus = docs(spark, sf).select("id", "h", none.alias("replaced_by"), none.alias("merged_into"))
+    path = work_dir(spark, "watched")
+    twice = corpus.unionByName(corpus.filter("id % 5 = 0"))
+    eventtime.stream_watch_keyed(_stream(twice, "corpus"), queries_of(spark, DOC_QUERIES), path, work_dir(spark, "checkpoint"))
+    return spark.read.parquet(f"{path}/reported").select("q", "id")
+
+
+@query("stream_merge_buckets", f"WITH {SEQUENCE_SQL}")
+def stream_merge_buckets(spark, sf):
+    """The three snapshots of ``stream_merge_sequence`` on a list in buckets, and a replay; a snapshot writes only the buckets that it changes."""
+    root, landing = work_dir(spark, "stream-merge"), work_dir(spark, "landing")
+    base = base_list(spark, sf)
+    schema = base.select("id", *COMPARED, *HISTORY).schema
+    kept = BucketedList(spark, root, schema, buckets=8)
+    kept.publish(base)
+    for checkpoint in (work_dir(spark, "checkpoint"), work_dir(spark, "checkpoint")):
+        jobs.stream_merge(
+            _stream(_sequence(spark, sf), "snapshots", files=2), root, schema, day(TODAY), COMPARED, checkpoint, landing, guards={"force": True, "min_removed": 10**9}, initial=False, buckets=kept)
+    rows = kept.read()
+    before = kept.read(version=kept.version() - 1).select("id", F.col("price").alias("_price"), F.col("is_removed").alias("_removed"))
+    both = rows.join(before, "id", "left")
+    back, edited = F.col("_removed") & ~F.col("is_removed"), ~F.col("price").eqNullSafe(F.col("_price"))
+    status = F.when(back & edited, "returned_edited").when(back, "returned").when(F.col("is_removed") & ~F.col("_removed"), "removed").when(edited, "edited").otherwise("kept")
+    return both.select("id", "price", "is_removed", status.alias("status"))
+
+
 def _wall_clock(col):
     """A stamp without a zone as an instant that shows the same wall clock in UTC."""
     part = lambda p: F.extract(F.lit(p), F.col(col))

@@ -77,6 +77,47 @@ def chunk_rows(df: DataFrame, order: Sequence[Column], size: int = CHUNK) -> Dat
     return dense_position(df, order).withColumn("chunk", F.floor(F.col("pos") / size))
 
 
+# --- files by number or by id, of which a reader opens only those it needs ------------------------------
+
+SHELF = "_shelf"
+CHUNKS_A_SHELF = 500
+
+
+def write_chunks(df: DataFrame, order: Sequence[Column], path: str, size: int = CHUNK, chunks: int = CHUNKS_A_SHELF) -> None:
+    """Write rows in publication order with ``pos`` and ``chunk``; a folder holds ``chunks`` chunks, one after another, so a chunk is found by its number."""
+    rows = chunk_rows(df, order, size).withColumn(SHELF, F.floor(F.col("chunk") / chunks))
+    rows.repartitionByRange(SHELF, "pos").sortWithinPartitions(SHELF, "pos").write.partitionBy(SHELF).parquet(path)
+
+
+def read_chunks(numbers: DataFrame, path: str, chunks: int = CHUNKS_A_SHELF) -> DataFrame:
+    """The rows of the chunks asked for (``chunk``)."""
+    asked = numbers.select("chunk").distinct().withColumn(SHELF, F.floor(F.col("chunk") / chunks))
+    return _from_shelves(asked, numbers.sparkSession.read.parquet(path), ["chunk"])
+
+
+def write_by_id(df: DataFrame, path: str, key: str = "id", shelves: int = 256) -> None:
+    """Write rows so that those of an id are found by its hash: folders by hash, sorted by id inside."""
+    rows = df.withColumn(SHELF, _id_shelf(key, shelves))
+    rows.repartition(SHELF).sortWithinPartitions(SHELF, key).write.partitionBy(SHELF).parquet(path)
+
+
+def _id_shelf(key: str, shelves: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shelves)).cast("int")
+
+
+def lookup_by_id(asked: DataFrame, path: str, key: str = "id", shelves: int = 256) -> DataFrame:
+    """As :func:`rollbook.sources.lists.record_lookup`, over what :func:`write_by_id` wrote: only folders that asked ids fall into are read."""
+    ids = asked.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(SHELF, _id_shelf(key, shelves))
+    found = _from_shelves(ids, asked.sparkSession.read.parquet(path), [key]).withColumn("_found", F.lit(True))
+    return asked.join(found, key, "left").withColumn("stale", F.col("_found").isNull()).drop("_found")
+
+
+def _from_shelves(asked: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows that are asked for. If the asked keys are few enough to be sent to all tasks, Spark lists only their folders (dynamic partition
+    pruning, for which the asked side needs a filter); if not, they fall into nearly all folders anyway."""
+    return rows.join(asked.filter(F.col(SHELF) >= 0), [SHELF, *on]).select([c for c in rows.columns if c != SHELF])
+
+
 def public_projection(rows: DataFrame, allowed: Mapping[str, Sequence[str]], key: str = "id") -> DataFrame:
     """One JSON record per row with the columns its list may show and no other; unknown lists show nothing."""
     out = F.lit(None).cast("string")

@@ -15,21 +15,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .jobs import _read, _state, _write_batch, last_state
+from ..operators import watch
+from .jobs import _read, _state, _write_batch, last_state, run_batches
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a batch uploads what it changes, not all files of the state
+}
 
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, so it is bounded by disk and not by an executor's heap."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _append(rows: DataFrame, path: str, checkpoint: str) -> list[dict]:
@@ -88,6 +93,26 @@ def stream_once_within(rows: DataFrame, key: Sequence[str], stamp: str, path: st
     return _append(timed.dropDuplicatesWithinWatermark(list(key)), path, checkpoint)
 
 
+# --- standing queries ------------------------------------------------------------------------------
+
+def stream_watch_keyed(corpus: DataFrame, queries: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Report matches of standing queries once, whatever was reported before, with work that follows the batch and not the history.
+
+    Each batch lands its matches (``{path}/found``); a second query over them keeps the reported pairs of query and record as keys of its
+    state, looks up only those of the batch and appends the new ones (``{path}/reported``). A replayed batch lands the same pairs, which are
+    known by then. Records without an id match like any other, and pass once.
+    """
+    spark = corpus.sparkSession
+    id_type, q_type = corpus.schema["id"].dataType.simpleString(), queries.schema["q"].dataType.simpleString()
+
+    def handle(batch: DataFrame, n: int) -> None:
+        _write_batch(watch.watch_matches(batch, queries).select("q", "id").distinct(), f"{path}/found", n)
+
+    run_batches(corpus, f"{checkpoint}/found", handle)
+    landed = spark.readStream.schema(f"q {q_type}, id {id_type}").parquet(f"{path}/found")
+    return _append(landed.dropDuplicates(["q", "id"]), f"{path}/reported", f"{checkpoint}/reported")
+
+
 # --- source health ---------------------------------------------------------------------------------
 
 STALE_HOURS = 36  # fixed value: hours without a check after which a source that answers counts as stale

@@ -12,6 +12,7 @@ from ..functions.dates import any_date
 from ..operators import changes, health, merge, watch
 from ..operators.changes import around_nulls
 from ..operators.position import first_by
+from ..sources.buckets import BucketedList, merge_incremental
 from ..sources.publish import pointers, publish_versioned, read_current
 
 
@@ -45,14 +46,15 @@ def _state(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame
 
 def stream_merge(
     snapshots: DataFrame, root: str, base_schema, today: Column, compare: Sequence[str], checkpoint: str, landing: str, snapshot_id: str = "snapshot",
-    job: str = "merge", guards: dict | None = None, **options
+    job: str = "merge", guards: dict | None = None, buckets: BucketedList | None = None, **options
 ) -> None:
     """Land all rows that are there, then merge snapshot by snapshot, in the order of their ids, each as the next version.
 
     ``snapshot_id`` is a column: several snapshots may come in one batch, and one in several. Each batch only lands its rows. When the
     stream is worked off, every landed snapshot that was not published yet is merged and published under the tag of job and id, so a
     replay changes nothing and a root may hold any number of versions before. A snapshot that a guard stops leaves the published
-    version as it was and fails the job; so do rows that come for a snapshot already merged, as they can't be merged any more.
+    version as it was and fails the job; so do rows that come for a snapshot already merged, as they can't be merged any more. With
+    ``buckets`` the list is kept there and not in versions of the whole: each snapshot writes only the buckets that it changes.
     """
     spark = snapshots.sparkSession
     schema = snapshots.schema
@@ -63,13 +65,18 @@ def stream_merge(
     run_batches(snapshots, checkpoint, handle)
     rows = _read(spark, landing, schema)
     sizes = {r[0]: r[1] for r in rows.groupBy(snapshot_id).agg(F.count(F.lit(1))).collect()}  # one row per snapshot
-    done = {r["tag"].rpartition("/") for r in pointers(spark, root).filter(F.startswith("tag", F.lit(f"{job}/"))).collect()}  # one row per version
+    published = pointers(spark, root) if buckets is None else buckets.versions()
+    done = {r["tag"].rpartition("/") for r in published.filter(F.startswith("tag", F.lit(f"{job}/"))).collect()}  # one row per version
     done = {tag: int(n) for tag, _, n in done}
     late = [k for k, n in sizes.items() if done.get(f"{job}/{k}", n) != n]
     if late:
         raise RuntimeError(f"rows came for snapshots that are merged already: {sorted(late)}")
     for k in sorted(k for k in sizes if f"{job}/{k}" not in done):
         snap = rows.filter(F.col(snapshot_id) == k).select([c for c in schema.names if c != snapshot_id])
+        if buckets is not None:
+            verdict = lambda counts: merge.merge_guards(counts, **(guards or {}))
+            merge_incremental(buckets, snap, today, compare, tag=f"{job}/{k}/{sizes[k]}", judge=verdict, **options)
+            continue
         base = read_current(spark, root, base_schema)
         merged = merge.snapshot_merge(base, snap, today, compare, **options)
         judge = lambda written: merge.merge_guards(merge.merge_counts(written), **(guards or {}))
