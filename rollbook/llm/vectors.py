@@ -1,17 +1,17 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-1. Equal vectors are one node. A bounded sample gives cluster centres; each node belongs to the shard of its nearest centre, its home,
-   and is a guest in those of the next ones, so shards overlap.
+1. Equal vectors are one node. A bounded sample gives cluster centres, and in a large table each of their cells gets centres of its own;
+   each node belongs to the shard of its nearest centre, its home, and is a guest in those of the next ones, so shards overlap.
 2. Each shard links its nodes to near ones, pruned so that a neighbour is left out where a nearer one leads to it. The adjacency
    lists that a node has from several shards are united.
 3. In each shard, every node that is at home there searches the graph: from the nearest of some medoids, and from its
-   own place, greedily to the closest nodes, then through all nodes within a slack of the range, as long as new ones come up. Pairs in range are verified by their
-   cosine in double precision. No pair is a row unless its nodes have different homes. A node with more nodes in range than a list
-   holds is compared with its whole home shard instead, as its list may lead to its own group alone.
-4. After every pass, an audit compares the links found with brute force over all vectors, for as many nodes as it takes until enough
-   of them have true links. Below the recall that is asked for, the whole is done again with twice the guests. Where so many shards
-   overlap that comparing all pairs is no more work, as in small tables, all pairs are compared, over tiles of two blocks.
-5. Links are counted, and components follow from a forest of them.
+   own place, greedily to the closest nodes, then through all nodes within a slack of the range, as long as new ones come up. Pairs in range
+   are verified by their cosine in double precision. A node with more nodes in range than a list holds is compared with its whole home shard
+   instead, as its list may lead to its own group alone. A pair belongs to one shard, which counts it for both nodes and ties them in a
+   forest; no pair is a row.
+4. After every pass, an audit compares the links found with brute force over all vectors, for nodes drawn by hash. Below the recall that is asked
+   for, the whole is done again with twice the guests; where that does not help either, all pairs are compared, over tiles of two blocks.
+5. Links are counted, and components follow from the forests.
 """
 
 from __future__ import annotations
@@ -25,19 +25,21 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .components import components
-from .near import Forest, _fields, _groups, tiled
+from .near import _fields, _groups, tiled
 from .words import ragged
 
-#: Vectors that centres are fitted on, nodes at home in a shard, and centres at most.
-SAMPLE, SHARD, MOST_SHARDS = 8192, 1500, 2048
+#: Vectors that centres are fitted on, nodes at home in a shard, and centres at most; beyond them, each centre's cell has centres of its own.
+SAMPLE, SHARD, MOST_SHARDS = 8192, 500, 2048
+#: Vectors of a cell that its centres are taken from for one of them, and rows of a cell that meet them in one task.
+CELL_SAMPLE, CELL_ROWS = 4, 100_000
 DEGREE, CANDIDATES, PRUNE = 20, 48, 1.2
 MEDOIDS, BEAM, SLACK = 16, 24, 0.1
-#: Nodes with true links that an audit must have seen, unless it has seen all nodes; and nodes that it draws at a time at most.
-AUDITED, DRAWN = 400, 16_384
+#: Nodes with true links that an audit would like to see, nodes that it draws at a time at most, and how often it draws (each is a scan of all vectors).
+AUDITED, DRAWN, DRAWS = 400, 16_384, 4
+#: Shards that a node may be a guest in; where the audit fails even so, all pairs are compared.
+MOST_GUESTS = 63
 #: The exact comparison has one block up to so many rows, and beyond it so many blocks, or more where they would have over so many rows.
 BLOCK, BLOCKS, MOST_BLOCK = 1024, 12, 65_536
-#: What a pair of nodes of a shard costs in a pass, in pairs of the exact comparison.
-PASS = 4
 #: Rows of a shard that meet in one task; a larger shard, as of very many near copies, is dealt over tiles of two blocks.
 TILE = 16_384
 
@@ -89,22 +91,90 @@ def centres_of(units: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+_DEALT = "shard long, home long, shards array<long>, node long, copies long, unit binary"
+
+
+def _rows_of(batch: pa.RecordBatch, shards: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+    """A row for each node of a batch (node, copies, unit) and each of its shards, which are a row of a table."""
+    near = shards.shape[1]
+    row = pa.array(np.repeat(np.arange(len(shards)), near))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shards) + 1) * near, pa.int32()), pa.array(shards.ravel()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shards.ravel()), pa.array(np.repeat(home, near)), lists.take(row), *(c.take(row) for c in batch.columns)], ["shard", "home", "shards", "node", "copies", "unit"])
+
+
 def dealt(nodes: DataFrame, centres: np.ndarray, guests: int) -> DataFrame:
-    """A row for each node and shard: ``shard, home, node, copies, unit``."""
+    """A row for each node and shard: ``shard, home, shards`` (all of the node's)``, node, copies, unit``."""
     dims, near = centres.shape[1], min(1 + guests, len(centres))
 
     def assign(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            closeness = _matrix(b.column(2), dims) @ centres.T
-            top = np.argsort(-closeness, axis=1, kind="stable")[:, :near]
-            row = pa.array(np.repeat(np.arange(b.num_rows), near))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(top.ravel().astype(np.int32)), pa.array(np.repeat(top[:, 0], near).astype(np.int32)), *(c.take(row) for c in b.columns)],
-                ["shard", "home", "node", "copies", "unit"])
+            if b.num_rows:
+                closeness = _matrix(b.column(2), dims) @ centres.T
+                top = np.argsort(-closeness, axis=1, kind="stable")[:, :near].astype(np.int64)
+                yield _rows_of(b, top, top[:, 0])
+
+    return nodes.select("node", "copies", "unit").mapInArrow(assign, _DEALT)
 
-    return nodes.select("node", "copies", "unit").mapInArrow(assign, "shard int, home int, node long, copies long, unit binary")
+
+def dealt_by_cells(nodes: DataFrame, centres: np.ndarray, shards: int, guests: int) -> DataFrame:
+    """As :func:`dealt`, for more shards than there are centres: the cell of each centre has centres of its own, nodes of it chosen by hash.
+
+    A node meets the centres of its nearest cell, where its home and most of its guest shards are, and those of the next one, where it is a
+    guest. A cell's rows are dealt over as many tasks as they need, with all of the cell's centres sent to each.
+    """
+    dims, every = centres.shape[1], 1 << 40
+    sent = nodes.sparkSession.sparkContext.broadcast(centres)
+    cells = min(2, len(centres))
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                top = np.argsort(-(_matrix(b.column(2), dims) @ sent.value.T), axis=1, kind="stable")[:, :cells]
+                row = pa.array(np.repeat(np.arange(len(top)), cells))
+                nth = np.tile(np.arange(cells), len(top)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int64)), pa.array(nth), *(c.take(row) for c in b.columns)], ["cell", "nth", "node", "copies", "unit"])
+
+    placed = staged(nodes.select("node", "copies", "unit").mapInArrow(place, "cell long, nth int, node long, copies long, unit binary"), "cells")
+    own = placed.where("nth = 0")
+    sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    share = shards / max(1, own.count())
+    chance = F.least(F.lit(1.0), F.greatest(F.lit(share), F.lit(2.0 * CELL_SAMPLE) / F.col("size")))
+    inner = own.join(F.broadcast(sizes), "cell").where(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(every)) < (chance * every).cast("long"))
+    parts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(2 * F.col("size") / CELL_ROWS)).cast("int").alias("parts"))
+    rows = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("kind", F.lit(1)).drop("parts")
+    heads = inner.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0))
+    both = rows.select("cell", "part", "kind", "nth", "node", "copies", "unit").unionByName(heads.select("cell", "part", "kind", "nth", "node", "copies", "unit"))
+
+    def assign(batches):
+        at, held, book, numbers = None, [], None, None
+        for b in batches:
+            cell, part, kind, nth, node = (b.column(i).to_numpy() for i in range(5))
+            cuts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])]))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows], strict=True):
+                piece = b.slice(lo, hi - lo)
+                if (cell[lo], part[lo]) != at:
+                    at, held = (cell[lo], part[lo]), []
+                if kind[lo] == 0:
+                    held.append((_matrix(piece.column(6), dims), node[lo:hi]))
+                    book, numbers = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    continue
+                if not held:  # a cell that is nobody's nearest
+                    continue
+                near = min(1 + guests, len(book))
+                closeness = _matrix(piece.column(6), dims) @ book.T
+                top = numbers[np.argsort(-closeness, axis=1, kind="stable")[:, :near]]
+                first = nth[lo:hi] == 0
+                some = pa.RecordBatch.from_arrays(piece.columns[4:7], ["node", "copies", "unit"])
+                for flag, width in ((first, near), (~first, max(1, near // 2))):  # in the second cell it is a guest
+                    if flag.any():
+                        mine = top[flag][:, :width]
+                        yield _rows_of(some.filter(pa.array(flag)), mine, mine[:, 0] if flag is first else np.full(len(mine), -1))
+
+    spread = both.repartition(max(1, len(centres)), "cell", "part").sortWithinPartitions("cell", "part", "kind")
+    out = staged(spread.mapInArrow(assign, _DEALT), "dealt")
+    whole = out.groupBy("node").agg(F.max("home").alias("home"), F.collect_set("shard").alias("shards"))  # over both cells
+    return out.drop("home", "shards").join(whole, "node").select("shard", "home", "shards", "node", "copies", "unit")
 
 
 def pruned(x: np.ndarray, least: float, degree: int = DEGREE, candidates: int = CANDIDATES, prune: float = PRUNE, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +290,30 @@ def _whole(x: np.ndarray, queries: np.ndarray, least: float, block: int = 128):
         yield q[a[other]], b[other]
 
 
+class _Hits:
+    """Which rows found which, by bits."""
+
+    def __init__(self, n: int):
+        self.n, self.bits = n, np.zeros((n, -(-n // 8)), np.uint8)
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        np.bitwise_or.at(self.bits, (u, v >> 3), (128 >> (v & 7)).astype(np.uint8))
+
+    def blocks(self, size: int = 512):
+        """(first row, table of rows by all rows): whether either found the other."""
+        for lo in range(0, self.n, size):
+            hi = min(self.n, lo + size)
+            mine = np.unpackbits(self.bits[lo:hi], axis=1, count=self.n).astype(bool)
+            theirs = np.unpackbits(self.bits[:, lo // 8 : -(-hi // 8)], axis=1)[:, : hi - lo].astype(bool)
+            yield lo, mine | theirs.T
+
+
 def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, least: float) -> DataFrame:
-    """What the searches find: of nodes at home in one shard the number of links (``kind`` 0: ``u, n``) and a forest of them (kind 1:
-    ``u, v``), and each pair of different homes (kind 2: ``u, v`` with their copies ``n, m``), maybe twice."""
+    """What the searches find: the number of links that a shard counts for a node (``kind`` 0: ``u, n``), and a forest of them (kind 1: ``u, v``).
+
+    A pair of nodes at home in one shard is that shard's. A pair of different homes is found in the home of one node where the other is a
+    guest; if that holds for both homes, it is that of the lower number.
+    """
 
     def search(batches):
         batches = list(batches)
@@ -234,70 +325,75 @@ def found_links(rows: DataFrame, adjacency: DataFrame, dims: int, shards: int, l
         order, starts, stops = _groups([shard, ta, tb])
         for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
             own = order[lo:hi][np.argsort(node[order[lo:hi]], kind="stable")]
-            ids = node[own]
+            ids, here = node[own], shard[own[0]]
             lists = []
             for x in table.column("neighbours").take(pa.array(own)).to_pylist():
                 ns = np.array(x or [], np.int64)
                 at = np.minimum(np.searchsorted(ids, ns), len(ids) - 1)
                 lists.append(at[ids[at] == ns] if len(ns) else ns)
-            at_home = np.flatnonzero(home[own] == shard[own])
-            is_home = home[own] == shard[own]
+            is_home = home[own] == here
+            at_home = np.flatnonzero(is_home)
             x = units[own]
-            us, vs = [], []
             crowded = table.column("crowded").take(pa.array(own[at_home])).fill_null(False).to_numpy().astype(bool)
+            hits = _Hits(len(own))
             for a, b in chain(_search(x, lists, at_home[~crowded], least), _whole(x, at_home[crowded], least)):
-                us.append(a)
-                vs.append(b)
-            u, v = np.concatenate(us or [at_home[:0]]), np.concatenate(vs or [at_home[:0]])
-            pairs = np.unique(np.minimum(u, v) * len(own) + np.maximum(u, v))
-            u, v = pairs // len(own), pairs % len(own)
-            if ta[own[0]] != tb[own[0]]:  # pairs inside a block belong to the tile of that block alone
-                apart = block[own[u]] != block[own[v]]
-                u, v = u[apart], v[apart]
-            inside = is_home[u] & is_home[v]
-            iu, iv = u[inside], v[inside]
-            weight = copies[own]
-            links = np.bincount(iu, weights=weight[iv], minlength=len(own)) + np.bincount(iv, weights=weight[iu], minlength=len(own))
-            forest, tied = Forest(len(own)), []
-            for a, b in zip(iu.tolist(), iv.tolist(), strict=True):
-                if forest.tie(a, b):
-                    tied.append((a, b))
-            some = np.flatnonzero(links > 0)
-            a, b = (np.array([t[k] for t in tied], np.int64) for k in (0, 1))
-            cu, cv = u[~inside], v[~inside]
-            parts = [
-                (np.zeros(len(some), np.int32), ids[some], ids[some], links[some].astype(np.int64), np.zeros(len(some), np.int64)),
-                (np.ones(len(a), np.int32), ids[a], ids[b], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)),
-                (np.full(len(cu), 2, np.int32), ids[cu], ids[cv], weight[cu], weight[cv]),
-            ]
-            for p in parts:
-                if len(p[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], ["kind", "u", "v", "n", "m"])
-
-    joined = rows.join(adjacency, "node", "left").select("shard", "tile_a", "tile_b", "block", "home", "node", "copies", "unit", "neighbours", "crowded")
-    return joined.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(search, "kind int, u long, v long, n long, m long")
-
-
-def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, total: int, audited: int = AUDITED) -> float:
-    """Mean share of a node's links that were found, against brute force over all vectors, over nodes chosen by hash that have any.
-
-    Nodes are drawn until ``audited`` of them have true links, or all are drawn; only a table without any true link gives 1 unseen.
+                hits.add(a, b)
+            members = table.column("shards").take(pa.array(own)).to_pylist()
+            guests = np.flatnonzero(~is_home)
+            theirs = home[own[guests]]
+            weight, label, links, tied = copies[own], np.arange(len(own)), np.zeros(len(own), np.int64), []
+            for first, met in hits.blocks():
+                row = np.arange(first, first + len(met))
+                if ta[own[0]] != tb[own[0]]:  # pairs inside a block belong to the tile of that block alone
+                    met &= block[own[row]][:, None] != block[own][None, :]
+                for i, r in enumerate(row.tolist()):
+                    if not is_home[r]:
+                        met[i] = False  # its pairs are counted from the other side
+                    elif len(guests):
+                        met[i, guests] &= ~(np.isin(theirs, members[r]) & (theirs < here))
+                links[row] += met @ weight
+                across = met & ~is_home[None, :]
+                links += across.T @ weight[row]
+                for i in np.flatnonzero(met.any(axis=1)).tolist():
+                    to = np.flatnonzero(met[i])
+                    groups, which = np.unique(label[to], return_index=True)
+                    new = groups != label[first + i]
+                    if new.any():
+                        tied += [(first + i, j) for j in to[which[new]].tolist()]
+                        label[np.isin(label, groups)] = label[first + i]
+            some, (a, b) = np.flatnonzero(links), (np.array([t[k] for t in tied], np.int64) for k in (0, 1))
+            for kind, u, v, n in ((0, some, some, links[some]), (1, a, b, np.zeros(len(a), np.int64))):
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(u), kind, np.int32), ids[u], ids[v], n)], ["kind", "u", "v", "n"])
+
+    joined = rows.join(adjacency, "node", "left").select("shard", "tile_a", "tile_b", "block", "home", "shards", "node", "copies", "unit", "neighbours", "crowded")
+    return joined.repartition(shards, "shard", "tile_a", "tile_b").mapInArrow(search, "kind int, u long, v long, n long")
+
+
+def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, total: int, audited: int = AUDITED, draws: int = DRAWS) -> tuple[float, int]:
+    """Mean share of a node's links that were found, against brute force over all vectors, over nodes chosen by hash that have any; and their number.
+
+    Nodes are drawn until ``audited`` of them have true links, or all are drawn, but ``draws`` times at most: where links are so rare
+    that few are seen, the share is that of the few. None seen gives 1.
     """
     every = 1 << 40
     place = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.lit(every))
     shares: list[float] = []
     lo, draw = 0, audited
-    while lo < every and len(shares) < audited:
+    for _ in range(draws):
+        if lo >= every or len(shares) >= audited:
+            break
         hi = min(every, lo + max(1, every * draw // max(1, total)))
         mine = (place >= lo) & (place < hi)
         few = nodes.where(mine).select("node", "unit").collect()  # about as many as are drawn
-        lo, draw = hi, min(4 * draw, DRAWN)
+        lo, draw = hi, min(8 * draw, DRAWN)
         if not few:
             continue
         asked = np.array([r["node"] for r in few], np.int64)
-        units = np.frombuffer(b"".join(bytes(r["unit"]) for r in few), "<f8").reshape(-1, dims)
+        sent = nodes.sparkSession.sparkContext.broadcast((asked, np.frombuffer(b"".join(bytes(r["unit"]) for r in few), "<f8").reshape(-1, dims)))
 
-        def count(batches, asked=asked, units=units):
+        def count(batches, sent=sent):
+            asked, units = sent.value
             sums = np.zeros(len(asked), np.int64)
             for b in batches:
                 for at in range(0, b.num_rows, 256):
@@ -311,11 +407,12 @@ def audit(nodes: DataFrame, links: DataFrame, dims: int, least: float, total: in
         rows = nodes.select("node", "copies", "unit").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
         got = {r["node"]: r["n"] for r in links.where(mine).collect()}
         shares += [min(1.0, got.get(r["node"], 0) / r["n"]) for r in rows]
-    return float(np.mean(shares)) if shares else 1.0
+        sent.unpersist()
+    return (float(np.mean(shares)), len(shares)) if shares else (1.0, 0)
 
 
 def compared(nodes: DataFrame, dims: int, total: int, least: float) -> DataFrame:
-    """All links by comparing all pairs, as :func:`found_links` gives them (kinds 0 and 1). Any two blocks meet in one task."""
+    """All links by comparing all pairs, as :func:`found_links` gives them. Any two blocks meet in one task."""
     blocks = 1 if total <= BLOCK else max(BLOCKS, -(-total // MOST_BLOCK))
 
     def compare(batches):
@@ -350,18 +447,23 @@ def compared(nodes: DataFrame, dims: int, total: int, least: float) -> DataFrame
             some, (a, b) = np.flatnonzero(links), (np.array([t[k] for t in tied], np.int64) for k in (0, 1))
             for kind, u, v, n in ((0, some, some, links[some]), (1, a, b, np.zeros(len(a), np.int64))):
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(u), kind, np.int32), ids[u], ids[v], n, np.zeros(len(u), np.int64))], ["kind", "u", "v", "n", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(u), kind, np.int32), ids[u], ids[v], n)], ["kind", "u", "v", "n"])
 
     dealt_out = nodes.select("node", "copies", "unit", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
     dealt_out = dealt_out.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("tile_a", F.least("block", "_y")).withColumn("tile_b", F.greatest("block", "_y")).drop("_y")
-    return dealt_out.repartition(blocks * (blocks + 1) // 2, "tile_a", "tile_b").mapInArrow(compare, "kind int, u long, v long, n long, m long")
+    return dealt_out.repartition(blocks * (blocks + 1) // 2, "tile_a", "tile_b").mapInArrow(compare, "kind int, u long, v long, n long")
 
 
 def _counted(found: DataFrame) -> DataFrame:
-    """``node, n``: the links of each node, each pair of different homes counted once."""
-    pairs = found.where("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("u") < F.col("v"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
-    counted = found.where("kind = 0").select(F.col("u").alias("node"), "n").unionByName(pairs.select(F.col("u").alias("node"), F.col("m").alias("n"))).unionByName(pairs.select(F.col("v").alias("node"), "n"))
-    return counted.groupBy("node").agg(F.sum("n").alias("n"))
+    """``node, n``: the links of each node."""
+    return found.where("kind = 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+
+
+def _searched(nodes: DataFrame, centres: np.ndarray, dims: int, shards: int, guests: int, least: float) -> DataFrame:
+    """One pass: shards, graph, searches."""
+    deal = dealt(nodes, centres, guests) if shards <= len(centres) else dealt_by_cells(nodes, centres, shards, guests)
+    rows = tiled(staged(deal, "shards"), "shard", F.xxhash64("node"), TILE)
+    return staged(found_links(rows, graph(rows, dims, shards, least), dims, shards, least), "links")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, recall: float = 0.98, guests: int = 3) -> DataFrame:
@@ -372,7 +474,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     for each row of df; ids are integers. A null, empty or zero vector, or one with a null or non-finite component, has no links,
     as has a row with a null id, whose component_id is null. Vectors of a length that not most have are compared among their own kind.
     Other columns are not read. All links found are true; at least ``recall`` of the true ones are found, by an audit of every pass, or
-    all of them where the pairs were compared.
+    all of them where passes fell short and the pairs were compared.
     """
     nodes = staged(nodes_of(df, id_col, vector_col), "vectors")
     kinds = [r["dims"] for r in nodes.groupBy("dims").count().orderBy("dims").collect()]  # lengths of vectors, few
@@ -383,20 +485,20 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         every = 1 << 40
         sample = own.where(F.pmod(F.xxhash64("node"), F.lit(every)) < int(min(1.0, SAMPLE / total) * every)).select("unit").orderBy("unit").collect()
         units = np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), "<f8").reshape(-1, dims)
-        shards = max(1, min(MOST_SHARDS, -(-total // SHARD), len(units) // 4))
-        centres = centres_of(units, shards) if len(units) else np.zeros((1, dims))
+        shards = max(1, min(-(-total // SHARD), len(units) // 4 if total <= SHARD * MOST_SHARDS else total))
+        centres = centres_of(units, min(shards, MOST_SHARDS)) if len(units) else np.zeros((1, dims))
         more = guests
-        while 2 * PASS * (more + 1) ** 2 < shards:  # beyond it, a pass takes longer than all pairs
-            rows = tiled(dealt(own, centres, more), "shard", F.xxhash64("node"), TILE)
-            found = staged(found_links(rows, graph(rows, dims, shards, least), dims, shards, least), "links")
+        while True:
+            found = _searched(own, centres, dims, shards, more, least)
             counted = _counted(found)
-            if audit(own, counted, dims, least, total) >= recall:
+            if audit(own, counted, dims, least, total)[0] >= recall:
                 break
             more = 2 * more + 1
-        else:
-            found = staged(compared(own, dims, total, least), "links")
-            counted = _counted(found)
-        tied = found.where("kind > 0").select("u", "v")
+            if more > MOST_GUESTS or more // 2 + 1 >= shards:  # as many guests do not help, or there are no more shards
+                found = staged(compared(own, dims, total, least), "links")
+                counted = _counted(found)
+                break
+        tied = found.where("kind = 1").select("u", "v")
         links, edges = (counted, tied) if links is None else (links.unionByName(counted), edges.unionByName(tied))
     rows = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[vector_col]).alias("k1"), F.xxhash64(F.lit(5), df[vector_col]).alias("k2"), usable(df[vector_col]).alias("some"))
     if links is None:
