@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .codes import books_digest, compress_vectors
 from .lexical import ranked_search
-from .licenses import CONTAINMENT, TEMPLATES, license_scan, template_words
+from .licenses import TEMPLATES, Template, license_scan
 from .near import near_duplicates
 from .packing import pack
 from .quality import classify, fit_classifier
@@ -122,8 +122,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _templates_sql() -> str:
-    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    return ", ".join(f"('{label}', {quoted(template_words(text))})" for label, text in TEMPLATES)
+    sets = [Template.of(label, text) for label, text in TEMPLATES]
+    return ", ".join(f"({k}, '{t.label}', '{w}', {len(t.words)}, {t.need}, {t.span})" for k, t in enumerate(sets) for w in t.words)
 
 
 _SIGNS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -137,11 +137,11 @@ places AS (
                                WHEN words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license' THEN 'gpl'
                                WHEN words[i] = 'all' AND words[i + 1] = 'rights' AND words[i + 2] = 'reserved' THEN 'reserved' END AS label FROM place),
 base AS (SELECT rid, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places WHERE label IS NOT NULL GROUP BY rid),
-templates(label, ws) AS (VALUES {_templates_sql()}),
-blocks AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '{_SIGNS}')) AS ws FROM cut),
-met AS (
-  SELECT rid, label, len(list_intersect(blocks.ws, templates.ws)) / len(templates.ws) AS share FROM blocks, templates
-  WHERE len(list_intersect(blocks.ws, templates.ws)) >= {CONTAINMENT} * len(templates.ws)),
+templates(template, label, word, n, need, span) AS (VALUES {_templates_sql()}),
+marks AS (SELECT rid, template, label, n, need, span, i, words[i] AS word FROM place JOIN templates ON words[i] = word),
+blocks AS (
+  SELECT rid, label, n, need, list(word) OVER (PARTITION BY rid, template ORDER BY i RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS ws FROM marks),
+met AS (SELECT rid, label, len(list_distinct(ws)) / n AS share FROM blocks WHERE len(list_distinct(ws)) >= need),
 more AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS best FROM met GROUP BY rid)
 SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
