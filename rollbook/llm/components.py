@@ -15,13 +15,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every higher neighbour of a node joins the lowest one of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both).withColumn("low", F.least("low", "u"))
+    low = staged(_lowest(both).withColumn("low", F.least("low", "u")), "lowest")  # a stage of its own, or Spark could not split a hot node's rows
     return both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every lower neighbour of a node, and the node, join the lowest of them. Edges lead from the higher to the lower node."""
-    low = _lowest(edges)
+    low = staged(_lowest(edges), "lowest")
     others = edges.join(low, "u").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     return others.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges: ``u, v``, two long columns; directions, repeats, loops and rows with nulls don't matter. An empty graph has no rows.
     Each round's edges are a table in the shared folder, so the lineage stays short and a lost executor repeats one round at most.
-    A node with many edges is reduced before the shuffle, and the joins leave the splitting of hot nodes to Spark. Ends when every
+    A node with many edges is reduced before the shuffle, and its edges meet the result in a join of two plain tables, which Spark splits. Ends when every
     node has one edge and no node is at both ends of some, which takes about as many rounds as the graph's diameter has digits.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

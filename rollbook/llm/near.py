@@ -265,7 +265,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = named.groupBy("id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select(F.col("id").alias("node"))
     same_id = named.join(repeated, named["id"] == repeated["node"], "left_semi").select("id", "k1", "k2").join(of_class.select("k1", "k2", "node"), ["k1", "k2"])
     reached = components(links.unionByName(same_id.select(F.col("id").alias("u"), F.col("node").alias("v"))))
-    lowest = of_class.join(reached, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("lowest"))
+    lowest = staged(of_class.join(reached, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("lowest")), "classes")  # joined as a plain table: a class may have very many rows
     out = signed.select("id", "n_shingles", "k1", "k2").join(lowest, ["k1", "k2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("lowest", "id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

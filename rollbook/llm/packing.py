@@ -22,6 +22,8 @@ from .bpe import encoded_groups
 
 #: Fillings that the search may try before it returns its best solution; a dominated one that is passed over counts as one of PASSED.
 STEPS, PASSED = 20_000, 32
+#: Fillings after the last better solution, or the first filling, at which a round ends.
+IDLE = 8_000
 #: Fillings of a node in each round: the greedy ones (0), the first few undominated ones, so that a round is not spent on the last
 #: nodes alone, and all.
 WIDTHS = (0, 6, None)
@@ -151,12 +153,12 @@ def completions(counts: np.ndarray, gap: int) -> Iterator[list[int] | None]:
                 yield None if left & better else filling
 
 
-def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Fillings:
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS, idle: int = IDLE) -> Fillings:
     """Few fillings' uses that hold all pieces: branch and bound around the longest piece left, best-fit solutions as incumbents.
 
     A node fills sequences around the longest piece with each undominated filling, with as many at once as the counts allow or with
     one. Rounds over a few fillings of each node come first, the last one is over all. The waste so far may not exceed what a better solution than the incumbent may waste. The search ends at the lower bound,
-    when all is searched, or after ``steps`` fillings in each round; then the result may be more than the fewest.
+    when all is searched, or each round after ``steps`` fillings or ``idle`` ones without a better solution; then the result may be more than the fewest.
     """
     counts = np.asarray(counts, np.int64)
     bound, best = lower_bound(counts, capacity), best_fit(counts, capacity)
@@ -183,15 +185,16 @@ def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Fil
                 yield 1, items
 
     for width in WIDTHS:
-        budget = PASSED * steps
+        budget, patience = PASSED * steps, PASSED * idle
         stack, tried = [(counts, [], 0, 0, branches(counts, width))] if fewest > bound else [], 0
-        while stack and budget > 0 and fewest > bound:
+        while stack and min(budget, patience) > 0 and fewest > bound:
             left, done, used, waste, more = stack[-1]
             branch = next(more, stack)
             if branch is stack:
                 stack.pop()
                 continue
-            budget -= 1 if branch is None else PASSED
+            cost = 1 if branch is None else PASSED
+            budget, patience = budget - cost, patience - cost
             if branch is None:
                 continue
             n, items = branch
@@ -206,7 +209,7 @@ def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Fil
             done, used, waste, tried = [*done, (n, items)], used + n, waste + n * (capacity - sum(items)), tried + 1
             tail = best_fit(after, capacity) if tried % 64 == 0 else [] if not after.any() else None
             if tail is not None and used + sum(n for n, _ in tail) < fewest:
-                best, fewest = done + tail, used + sum(n for n, _ in tail)
+                best, fewest, patience = done + tail, used + sum(n for n, _ in tail), PASSED * idle
             if after.any():
                 stack.append((after, done, used, waste, branches(after, width)))
     return best
@@ -260,20 +263,23 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(cut, schema)
 
 
-def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS, idle: int = IDLE
+) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as the search finds.
 
     Returns a row for each piece: ``id, piece, start, length, ids_crc32, sequence_id, offset``. A document is the ids of its text
     and end_id; only one longer than capacity is cut, its first piece taking what is over. A null or empty text is end_id alone;
     rows with equal or null ids are packed each for itself; other columns are not read; an empty table gives no rows. Pieces are
-    a table in the shared folder, so a repeated task changes no number. The driver holds the counts of at most ``capacity`` lengths.
+    a table in the shared folder, so a repeated task changes no number. The driver holds the counts of at most ``capacity`` lengths and
+    searches as long as ``steps`` and ``idle`` let it (see :func:`bin_completion`). Texts may be of any length.
     """
     cut = staged(pieces(df, path, capacity, end_id, id_col, text_col), "pieces")
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row for each length
         counts[row["length"]] = row["n"]
-    keys, firsts, sequences, offsets = _places(bin_completion(counts, capacity), capacity)
+    keys, firsts, sequences, offsets = _places(bin_completion(counts, capacity, steps, idle), capacity)
 
     def place(batches):
         for b in batches:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .near import _fields
 from .shingles import mix, seeded
 from .words import ragged, text_groups
@@ -386,8 +387,22 @@ def repeated_places(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     return sent.repartition("bucket").mapInArrow(lambda b: _compare(b, length), "k1 long, k2 long, start long, stop long")
 
 
-def removals(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """For each distinct text with repeated strings: ``k1, k2, starts, stops`` (maximal runs of bytes) and ``kept``, the other bytes."""
+def _trimmed(raw: bytes, start: int, stop: int) -> bytes:
+    """Bytes start to stop of a text without those of characters that begin before or end after them."""
+    while start < stop and raw[start] & 0xC0 == 0x80:
+        start += 1
+    end = stop
+    if stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+        end -= 1
+        while end > start and raw[end] & 0xC0 == 0x80:
+            end -= 1
+    return raw[start : max(start, end)]
+
+
+def removals(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False) -> DataFrame:
+    """For each distinct text with repeated strings: ``k1, k2, starts, stops`` (maximal runs of bytes) and ``kept``, the other bytes; with
+    ``characters``, without what is left of characters that lose some of their bytes."""
+    keep = _trimmed if characters else lambda raw, a, z: raw[a:z]
     spans = repeated_places(df, text_col, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one text
     texts = _distinct_texts(_rows(df, text_col)).join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans")
 
@@ -406,7 +421,7 @@ def removals(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> Dat
                     edges = [0, *[e for r in runs for e in r], len(raw)]
                     starts.append([r[0] for r in runs])
                     stops.append([r[1] for r in runs])
-                    kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+                    kept.append(b"".join(keep(raw, a, z) for a, z in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
                     ["k1", "k2", "starts", "stops", "kept"])
@@ -414,15 +429,16 @@ def removals(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> Dat
     return texts.mapInArrow(cut, "k1 long, k2 long, starts array<long>, stops array<long>, kept binary")
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False) -> DataFrame:
     """Rows of df with what their text keeps: ``n_bytes, n_removed, n_spans`` (long) and ``kept`` (binary) in place of the text.
 
     Removed is each byte that a string of ``length`` bytes covers which starts at another place too, in the same text or another
     row's, copies included; strings are judged on the input. n_spans counts the maximal removed runs. One row for each row of df,
     with its other columns, which may have any names but those of the results. A null text counts as an empty one, which keeps
-    nothing of nothing; texts shorter than length bytes stay whole.
+    nothing of nothing; texts shorter than length bytes stay whole. With ``characters``, a character that loses some of its bytes goes whole,
+    so that what is kept is a text again.
     """
-    return _with(df, removals(df, text_col, length).select("k1", "k2", F.size("starts").cast("long").alias("_n"), "kept"), text_col, length, lambda text: F.encode(text, "utf-8"), F.lit(b""))
+    return _with(df, removals(df, text_col, length, characters).select("k1", "k2", F.size("starts").cast("long").alias("_n"), "kept"), text_col, length, lambda text: F.encode(text, "utf-8"), F.lit(b""))
 
 
 def removal_digests(df: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -442,7 +458,7 @@ def _with(df: DataFrame, found: DataFrame, text_col: str, length: int, whole, em
         *[df[c].alias(n) for c, n in zip(others, safe, strict=True)], F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2"),
         F.octet_length(text).cast("long").alias("_bytes"), whole(text).alias("_whole"))
     keys = df.select(F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2"), F.octet_length(text).alias("n")).where(F.col("n") >= length)
-    copied = keys.groupBy("_k1", "_k2").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    copied = staged(keys.groupBy("_k1", "_k2").agg(F.count("*").alias("_copies")).where("_copies > 1"), "copied")  # joined as a plain table: a text may have very many copies
     if "_left" not in found.columns:
         found = found.withColumn("_left", F.octet_length(name).cast("long"))
     found = found.withColumnsRenamed({"k1": "_k1", "k2": "_k2", name: "_value"})

@@ -226,3 +226,23 @@ def test_no_templates_and_joined_prefixes(spark):
     marks = df.where("doc_id = 1").select(licenses.F.lit(5).cast("long").alias("_row"), licenses.marked_words(licenses.ascii_words(licenses.F.col("text")), sorted({w for t in sets for w in t.words})).alias("marks"))
     for limit in (licenses.MAX_SENT, 0):
         assert [tuple(r) for r in licenses.template_matches(marks, sets, limit).collect()] == [(5, "mit", 1.0)]
+
+
+def test_characters_at_the_edges_of_removed_runs(spark, sf):
+    """Cut characters go, whole ones stay, among them the replacement character itself; repeated rows give one, whatever their order."""
+    from rollbook.llm.repeats import _trimmed, remove_repeats
+
+    raw = "aé日😀b".encode()
+    for start in range(len(raw) + 1):
+        for stop in range(start, len(raw) + 1):
+            whole = [c for c, at in zip("aé日😀b", (0, 1, 3, 6, 10), strict=True) if at >= start and at + len(c.encode()) <= stop]
+            assert _trimmed(raw, start, stop).decode() == "".join(whole)
+    shared = "日本" * 70
+    texts = ["� one " + shared + " two �", "é" + shared + "é�", "x" + shared, "�" * 50, None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, sf).collect()}
+    plain = {r["doc_id"]: bytes(r["kept"]).decode("utf-8", "replace") for r in remove_repeats(docs).collect()}
+    assert got[0].startswith("� one ") and got[0].endswith(" two �") and got[1].startswith("é") and got[1].endswith("é�")
+    assert got[3] == texts[3] and got[4] == got[5] == "" and all(got[k].replace("�", "") == plain[k].replace("�", "") for k in got)
+    twice = spark.createDataFrame([(1, "a b c d e f g", "fr", "z", 3), (1, "a b c d e f g", "de", "y", 9)] * 3, docs.schema)
+    assert [tuple(r) for r in corpus_pipeline.near_dedup(spark, twice, sf).collect()] == [(1, "a b c d e f g", "de", "y", 9)]
