@@ -16,7 +16,7 @@ from rollbook.llm.packing import pack
 from rollbook.llm.quality import classify, fit_classifier
 from rollbook.llm.repeats import remove_repeats
 from rollbook.llm.rules import FULL, fails, quality_ledger
-from rollbook.session import staged
+from rollbook.session import free_stage, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REST = ("text", "lang", "source", "n_chars")
@@ -29,29 +29,30 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the full policy."""
+    """Documents that fail no rule of the full policy. A null or empty text has no words and goes; repeated rows stay or go together."""
     ledger = quality_ledger(docs, keep=REST)
     return ledger.where(~fails(FULL)).withColumnRenamed("id", "doc_id").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id, once if its row is repeated. Rows without an id stay."""
+    """Of each group of near duplicates the document of the smallest id, once if it is repeated with the same text (of rows that differ
+    in other columns, the first in their order). Rows without an id stay."""
     near = near_duplicates(docs)
     gone = near.where("id IS NOT NULL AND NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return named.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("first"))
+    return named.select("doc_id", "text", "first.*").select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of repeated strings of 200 bytes; a character that loses some of its bytes goes whole."""
-    cut = remove_repeats(docs.select(COLUMNS))
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Documents without the bytes of repeated strings of 200 bytes; a character that loses some of its bytes goes whole. All rows stay; a null
+    text becomes an empty one."""
+    cut = remove_repeats(docs.select(COLUMNS), characters=True)
+    return cut.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    """Pieces of the documents and their places in sequences of 1024 tokens. A null or empty text is one piece, the end token; rows with equal
+    ids are packed each for itself."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2).withColumnRenamed("id", "doc_id")
 
 
@@ -68,7 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if k:
+            free_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
