@@ -210,6 +210,43 @@ def similar_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
 # --- pipelines -------------------------------------------------------------------------------------
 
+class _Search:
+    """One search over a corpus or an index of it: exact hits, and hits by similar words for queries that need them."""
+
+    def __init__(self, corpus: DataFrame | GramIndex, queries: DataFrame, words: DataFrame | None, any_token: bool):
+        self.queries, self.words, self.any_token = queries, words, any_token
+        self.index = corpus if isinstance(corpus, GramIndex) else None
+        self.corpus = corpus.rows.drop("_doc") if self.index else corpus
+        self.tokens = staged(parse_queries(queries), "tokens")
+        self.variants = spell_tokens(self.tokens)
+        self.idle = without_tokens(queries, self.tokens)
+        self.similar: DataFrame | None = None
+
+    def _find(self, asked: DataFrame, where: Column, always: DataFrame | None = None) -> DataFrame:
+        if self.index is None:
+            return match_queries(self.corpus.filter(where), asked, self.any_token, always)
+        out = self.index.match(asked, self.any_token, where)
+        for part in _blocks(always):
+            out = out.unionByName(_scan(self.corpus.filter(where), self.variants, Matcher([], {}, part, self.any_token)))
+        return out
+
+    def exact(self, where: Column) -> DataFrame:
+        return staged(self._find(self.variants, where, self.idle), "exact").withColumn("mode", F.lit("exact"))
+
+    def spread(self) -> None:
+        """Find the similar words of all queries at once, for more than one use."""
+        words = vocabulary(self.corpus) if self.words is None else self.words
+        self.similar = staged(similar_words(self.tokens, words), "similar")
+
+    def fuzzy(self, tokens: DataFrame, where: Column) -> DataFrame:
+        """Hits of the queries of some tokens by similar words too; a query whose words are like no others has none."""
+        words = vocabulary(self.corpus) if self.words is None else self.words
+        similar = similar_words(tokens, words) if self.similar is None else self.similar
+        more = staged(tokens.join(similar, "token").select("q", "token_no", F.col("word").alias("variant")), "similar")
+        again = self.variants.join(more.select("q").distinct(), "q", "left_semi").unionByName(more)
+        return self._find(again, where).withColumn("mode", F.lit("fuzzy"))
+
+
 def staged_search(
     corpus: DataFrame | GramIndex, queries: DataFrame, words: DataFrame | None = None, where: Column | None = None, any_token: bool = False
 ) -> DataFrame:
@@ -220,27 +257,10 @@ def staged_search(
     index of it; then only texts with a query's rarest grams are read, and all of them for queries without a token or without ``words``.
     """
     where = visible() if where is None else where
-    tokens = staged(parse_queries(queries), "tokens")
-    variants = spell_tokens(tokens)
-    idle = without_tokens(queries, tokens)
-    if isinstance(corpus, GramIndex):
-        index, corpus = corpus, corpus.rows.drop("_doc")
-        find = lambda asked: index.match(asked, any_token, where)
-        exact = find(variants)
-        for part in _blocks(idle):
-            exact = exact.unionByName(_scan(corpus.filter(where), variants, Matcher([], {}, part, any_token)))
-    else:
-        find = lambda asked, always=None: match_queries(corpus.filter(where), asked, any_token, always)
-        exact = find(variants, idle)
-    exact = staged(exact, "exact")
-    missed = tokens.join(exact.select("q").distinct(), "q", "left_anti")
-    result = exact.withColumn("mode", F.lit("exact"))
-    if missed.isEmpty():
-        return result
-    similar = similar_words(missed, vocabulary(corpus) if words is None else words)
-    more = staged(missed.join(similar, "token").select("q", "token_no", F.col("word").alias("variant")), "similar")
-    again = variants.join(more.select("q").distinct(), "q", "left_semi").unionByName(more)
-    return result.unionByName(find(again).withColumn("mode", F.lit("fuzzy")))
+    search = _Search(corpus, queries, words, any_token)
+    exact = search.exact(where)
+    missed = search.tokens.join(exact.select("q").distinct(), "q", "left_anti")
+    return exact if missed.isEmpty() else exact.unionByName(search.fuzzy(missed, where))
 
 
 def count_by_list(rows: DataFrame, lists: Sequence[str], by: Sequence[str] = (), live: bool = False) -> DataFrame:
@@ -272,17 +292,21 @@ def search_facets(corpus: DataFrame, queries: DataFrame, lists: Sequence[str], l
     :func:`count_by_list`. A query without a token counts live rows.
     """
     words = staged(vocabulary(corpus), "vocabulary") if words is None else words
-    idle = without_tokens(queries, parse_queries(queries)).select("q", F.lit(True).alias("idle"))
-    hits = staged(staged_search(corpus, queries, words), "hits").join(idle, "q", "left").filter("idle is null or removed is null")
+    search = _Search(corpus, queries, words, False)
+    exact = search.exact(visible())
+    search.spread()
+    missed = search.tokens.join(exact.select("q").distinct(), "q", "left_anti")
+    hits = staged(exact.unionByName(search.fuzzy(missed, visible())), "hits")
+    hits = hits.join(search.idle.select("q", F.lit(True).alias("idle")), "q", "left").filter("idle is null or removed is null")
     name = F.when(F.col("list").isin(*lists), F.col("list")).otherwise(F.lit(lists[0]))
     counted = hits.groupBy("q").agg(
         F.min("mode").alias("mode"), F.count(F.lit(1)).alias("n_all"), *[F.count_if(name == x).alias(f"n_{x}") for x in lists],
         F.min(F.when(name == list_name, F.col("mode"))).alias("view_mode"), F.count_if(name == list_name).alias("view_n"),
     )
     counted = staged(queries.select("q").join(counted, "q", "left"), "facets")
-    empty = queries.join(counted.filter("view_n > 0"), "q", "left_anti").join(idle, "q", "left_anti")
-    inside = visible() & (F.when(F.col("list").isin(*lists), F.col("list")).otherwise(F.lit(lists[0])) == list_name)
-    again = staged_search(corpus, empty, words, where=inside)
+    # exact hits elsewhere only: in this list there may be similar words; a query that was fuzzy already has had its chance here
+    empty = search.tokens.join(counted.filter("mode = 'exact' AND view_n = 0"), "q", "left_semi")
+    again = search.fuzzy(empty, visible() & (name == list_name))
     retry = again.groupBy("q").agg(F.min("mode").alias("_mode"), F.count(F.lit(1)).alias("_n"))
     seen = counted.join(retry, "q", "left").withColumns({"view_mode": F.coalesce("_mode", "view_mode"), "view_n": F.coalesce("_n", "view_n")}).drop("_mode", "_n")
     zero = {c: 0 for c in ["n_all", "view_n", *[f"n_{x}" for x in lists]]}
