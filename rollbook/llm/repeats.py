@@ -35,6 +35,8 @@ PART = 1 << 17
 _PLACE = np.uint64((1 << 23) - 1)
 #: Documents in the sample for splitters and frequent leads, about; leads in so large a share of them count as frequent.
 SAMPLE, FREQUENT = 2000, 0.01
+#: Leads that splitters are taken from, at most about.
+LEADS = 20_000
 #: A lead of so few sampled documents is never frequent.
 FEW = 8
 #: Strings compared at once in a bucket.
@@ -160,10 +162,11 @@ def sampled(rows: DataFrame, length: int, buckets: int) -> tuple[np.ndarray, np.
 
     total = max(rows.count(), 1)
     every = 1 << 40
-    few = rows.where(F.pmod(F.col("k1"), F.lit(every)) < int(min(1.0, SAMPLE / total) * every)).where(f"length(text) <= {PART}").distinct()
-    got = few.mapInArrow(show, "lead long, bytes binary")
+    few = rows.where(F.pmod(F.col("k1"), F.lit(every)) < int(min(1.0, SAMPLE / total) * every)).distinct()
+    got = staged(few.mapInArrow(show, "lead long, bytes binary"), "leads")  # of texts of any length, so counted before any are collected
     often = got.groupBy("lead").count().where(F.col("count") > max(FEW, FREQUENT * min(SAMPLE, total))).select("lead")
-    leads = np.sort(np.array([bytes(r["bytes"]) for r in got.select("bytes").where(F.rand(3) < 0.25).collect()] or [b""], "S24"))
+    share = min(0.25, LEADS / max(got.count(), 1))
+    leads = np.sort(np.array([bytes(r["bytes"]) for r in got.select("bytes").where(F.rand(3) < share).collect()] or [b""], "S24"))
     at = (np.arange(1, buckets) * len(leads) // buckets).astype(int)
     return np.unique(leads[at]), np.sort(np.array([r["lead"] for r in often.collect()], np.int64))
 

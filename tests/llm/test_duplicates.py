@@ -308,3 +308,15 @@ def test_groups_of_many_copies_are_linked(spark, monkeypatch, size):
     clouds = np.concatenate([c + rng.normal(size=(size, 24)) * 0.002 for c in (a, b)])
     x = np.concatenate([clouds, rng.normal(size=(800, 24)) - 2 * a])
     check_vectors(vector_rows(spark, x), guests=0)
+
+
+def test_splitters_come_from_long_texts_too(spark):
+    """A table of nothing but texts longer than a part is spread over many buckets, and its frequent leads are seen."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(repeats.PART + 9000)) + chr(65 + k) + passage for k in range(12)]
+    rows = repeats._rows(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    splitters, frequent = repeats.sampled(rows, 200, 64)
+    assert len(splitters) > 50 and len(frequent) > 0
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == sorted((len(t), 700, 1) for t in texts)
