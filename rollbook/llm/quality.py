@@ -3,7 +3,7 @@
 Heuristic labellers vote good or bad on every document, or abstain. How often each combination of votes occurs is counted over all
 documents; expectation-maximisation over these combinations (a bounded table) estimates what each labeller's votes are worth and,
 for each combination, how likely a document is bad. A linear scorer over hashed shapes of the text learns these posteriors on a
-bounded sample and then scores every document, also where all labellers abstain.
+bounded sample and then scores every document, also where all labellers abstain; it sees the shapes, words and pairs of words.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from .words import CHARS_AT_ONCE, hash_runs, text_groups
 #: Hashed features: runs of four signs by kind, and a few bins for words and lines that repeat.
 BINS, REPEATS = 1000, 24
 FEATURES = BINS + REPEATS
+#: Hashed words and pairs of neighbouring words, beside them.
+WORDS = 2048
 #: Documents that the scorer learns from, about; chosen by a hash of the text.
 SAMPLE = 3000
-LABELLERS = ("symbols", "capitals", "repeats", "shouts", "bars", "variety", "endings", "lone_signs", "signs", "plain", "lower", "fresh")
+LABELLERS = ("symbols", "capitals", "repeats", "shouts", "bars", "variety", "endings", "lone_signs", "signs", "menus", "bare_lines", "links", "long_words", "digits", "plain", "lower", "fresh")
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Kinds of junk, and the kinds that each labeller claims to know; the last three know prose.
-KINDS = ("symbols", "shouting", "repetition", "tables")
-KNOWN = ((0,), (1,), (2,), (1,), (3,), (2,), (0, 1), (3,), (0, 1, 3), (), (), ())
+KINDS = ("symbols", "shouting", "repetition", "tables", "menus", "links", "noise")
+KNOWN = ((0,), (1,), (2,), (1,), (3,), (2,), (0, 1), (3,), (0, 1, 3, 5), (4,), (4,), (5,), (6,), (6,), (), (), ())
 
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[ord("a") : ord("z") + 1] = _KIND[0x80:] = 1
@@ -35,8 +37,12 @@ _KIND[ord("A") : ord("Z") + 1] = 2
 _KIND[ord("0") : ord("9") + 1] = 3
 
 
-def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Measures of each text by name, and its hashed features as a row: square roots of shares."""
+#: Features of texts: shapes as rows, and the filled bins of words and pairs (text, bin, value).
+Features = tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], Features]:
+    """Measures of each text by name, and its hashed features: square roots of shares."""
     n = len(texts)
     raws = [t.encode("utf-8") for t in texts]
     chars = np.frombuffer(b"".join(raws), np.uint8)
@@ -68,21 +74,31 @@ def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     blank = _BLANKS[chars]
     word_starts, word_of, word = runs(~blank)
     word_ends = np.append(word_starts[1:], len(chars)) if len(word_starts) else word_starts
+    ends_word = ~blank
+    ends_word[:-1] &= blank[1:] | first[1:]
+    word_sizes = np.flatnonzero(ends_word) + 1 - word_starts
     kind = _KIND[chars]
     told = (kind >= 1) & (kind <= 3)
     told_before = np.concatenate([[0], np.cumsum(told)])
     lone = told_before[word_ends] == told_before[word_starts]
-    last = ~blank
-    last[:-1] &= blank[1:] | first[1:]
-    odd_ends = per_text(last & ~told & ~np.isin(chars, np.frombuffer(b".,;:?)\"'", np.uint8)))
+    odd_ends = per_text(ends_word & ~told & ~np.isin(chars, np.frombuffer(b".,;:?)\"'", np.uint8)))
     words, same_words, distinct = repeats(word_of, word)
-    _, line_of, line = runs(chars != 10)
+    line_starts, line_of, line = runs(chars != 10)
     lines, same_lines, distinct_lines = repeats(line_of, line)
+    ends_line = chars != 10
+    ends_line[:-1] &= (chars[1:] == 10) | first[1:]
+    line_ends = chars[ends_line]
+    bare = (line_ends < 0x80) & ~np.isin(line_ends, np.frombuffer(b".!?:;,)\"'", np.uint8))
+    in_line = np.bincount(np.searchsorted(line_starts, word_starts, "right") - 1, minlength=len(line_starts)) if len(line_starts) else np.zeros(0, np.int64)
+    schemes = np.zeros(len(chars), bool)
+    schemes[: max(len(chars) - 2, 0)] = (chars[:-2] == ord(":")) & (chars[1:-1] == ord("/")) & (chars[2:] == ord("/"))
     upper, letters = per_text(kind == 2), per_text((kind == 1) | (kind == 2))
     measures = {
         "words": words, "symbols": per_text(np.isin(chars, np.frombuffer(b"#*$%&<>", np.uint8))), "signs": per_text(~blank), "upper": upper, "letters": letters,
         "same_words": same_words, "distinct": distinct, "shouts": per_text(chars == ord("!")), "bars": per_text(chars == ord("|")), "lines": lines, "distinct_lines": distinct_lines,
         "lone": np.bincount(word_of[lone], minlength=n).astype(float), "odd_ends": odd_ends, "untold": per_text(~blank & ~told),
+        "short_lines": np.bincount(line_of[(in_line > 0) & (in_line <= 3)], minlength=n).astype(float), "bare_lines": np.bincount(line_of[bare], minlength=n).astype(float), "links": per_text(schemes), "digits": per_text(kind == 3),
+        "long_words": np.bincount(word_of[word_sizes > 25], minlength=n).astype(float),
     }
     grams = np.zeros((n, FEATURES))
     if len(chars) > 3:
@@ -95,11 +111,16 @@ def describe(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     for k, share in enumerate(shares):
         step = np.minimum((share * 8).astype(int), 7)
         grams[np.arange(n), BINS + 8 * k + step] = words / (words + 20) / 3
-    return measures, np.sqrt(grams)
+    together = word_of[1:] == word_of[:-1]
+    with np.errstate(over="ignore"):
+        pairs = mix(mix(word[:-1] ^ seeded(5)) + word[1:])[together]
+    hashed = np.concatenate([mix(word ^ seeded(4)), pairs]) % np.uint64(WORDS)
+    key, count = np.unique(np.concatenate([word_of, word_of[1:][together]]) * WORDS + hashed.astype(np.int64), return_counts=True)
+    return measures, (np.sqrt(grams), (key // WORDS, key % WORDS, np.sqrt(count / (2 * words[key // WORDS] + 100))))
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
-    """A row of votes for each text, in the order of LABELLERS: nine that know kinds of junk, each kind known to two or more, and vote bad or abstain, three
+    """A row of votes for each text, in the order of LABELLERS: fourteen that know kinds of junk, each kind known to two or more, and vote bad or abstain, three
     that know a trait of prose and vote good or abstain. A text without words gets none."""
     words, signs, letters = np.maximum(m["words"], 1), np.maximum(m["signs"], 1), np.maximum(m["letters"], 1)
     some = m["words"] > 0
@@ -113,6 +134,11 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         (m["odd_ends"] / words >= 0.2) & (m["words"] >= 5),
         (m["lone"] / words >= 0.1) & (m["words"] >= 10),
         (m["untold"] / signs >= 0.12) & (m["words"] >= 10),
+        (m["lines"] >= 8) & (m["short_lines"] / np.maximum(m["lines"], 1) >= 0.7),
+        (m["lines"] >= 8) & (m["bare_lines"] / np.maximum(m["lines"], 1) >= 0.8),
+        (m["links"] / words >= 0.1) & (m["words"] >= 5),
+        (m["long_words"] / words >= 0.3) & (m["words"] >= 5),
+        (m["digits"] / signs >= 0.4) & (m["words"] >= 5),
     ]
     good = [
         m["untold"] / signs <= 0.08,
@@ -170,7 +196,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, steps: int = 100) -> La
 def fit_scorer(rows: np.ndarray, target: np.ndarray, steps: int = 200, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by accelerated gradient steps; weights and intercept. No rows: all zero."""
     if not len(rows):
-        return np.zeros(FEATURES), 0.0
+        return np.zeros(FEATURES + WORDS), 0.0
     x = np.hstack([rows, np.ones((len(rows), 1))]).astype(np.float32)
     target = target.astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
@@ -197,15 +223,17 @@ class Classifier:
     weights: np.ndarray
     intercept: float
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        """How likely each row of features is good."""
-        return 1 / (1 + np.exp(np.clip(rows @ self.weights + self.intercept, -700, 700)))
+    def score(self, features: Features) -> np.ndarray:
+        """How likely each text with these features is good."""
+        shapes, (text, feature, value) = features
+        total = shapes @ self.weights[:FEATURES] + np.bincount(text, weights=self.weights[FEATURES:][feature] * value, minlength=len(shapes))
+        return 1 / (1 + np.exp(np.clip(total + self.intercept, -700, 700)))
 
 
 def fit_classifier(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classifier:
     """Label model from the votes on all rows, scorer from about ``sample`` of them, chosen by a hash of the text.
 
-    The driver gets the counts of at most 2 ** 12 combinations of votes and the sample's features. Null and empty texts have no part.
+    The driver gets the counts of at most 2 ** 17 combinations of votes and the sample's features. Null and empty texts have no part.
     """
 
     def cast(batches):
@@ -214,8 +242,11 @@ def fit_classifier(df: DataFrame, text_col: str = "text", sample: int = SAMPLE)
 
     def show(batches):
         for _, texts in text_groups(batches, "text", CHARS_AT_ONCE // 2):
-            measures, rows = describe(texts)
-            packed = [r.tobytes() for r in rows.astype("<f4")]
+            measures, (shapes, (text, feature, value)) = describe(texts)
+            rows = np.zeros((len(texts), FEATURES + WORDS), "<f4")
+            rows[:, :FEATURES] = shapes
+            rows[text, FEATURES + feature] = value
+            packed = [r.tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(_code(votes(measures))), pa.array(packed, pa.binary())], ["code", "features"])
 
     texts = df.select(df[text_col].alias("text")).where("length(text) > 0")
@@ -226,7 +257,7 @@ def fit_classifier(df: DataFrame, text_col: str = "text", sample: int = SAMPLE)
     chance = min(1.0, sample / max(float(counts.sum()), 1.0))
     chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) < int(chance * every)).distinct()
     got = chosen.mapInArrow(show, "code long, features binary").orderBy("features").collect()
-    rows = np.frombuffer(b"".join(bytes(r["features"]) for r in got), "<f4").reshape(-1, FEATURES).astype(float)
+    rows = np.frombuffer(b"".join(bytes(r["features"]) for r in got), "<f4").reshape(-1, FEATURES + WORDS)
     target = labels.posterior(_votes_of(np.array([r["code"] for r in got], np.int64)))
     return Classifier(labels, *fit_scorer(rows, target))
 
