@@ -209,7 +209,8 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Token ids of each text: ``id``, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
 
     One row for each row of df, repeated ones too. A null or empty text has no ids; the id column may hold nulls and repeats; other
-    columns are not read. The special token's string counts as that token. No shuffle; a task holds some megabytes of texts.
+    columns are not read. The special token's string counts as that token. Texts and words may be of any length. No shuffle; a task holds
+    some megabytes of texts, or one longer text.
     """
 
     def encode(batches):

@@ -248,7 +248,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Linked are texts of which share[0] / share[1] of all distinct shingles of both are common; component_id is the smallest id that
     links reach, kept marks the row whose id that is. One row for each row of df, in which ids are integers. Texts without words,
     null or empty ones have no shingles and no links. A row without an id has null for component_id, is not kept and links
-    nothing. Rows with one id count as one document: what one of them links is linked. Other columns are not read.
+    nothing. Rows with one id count as one document: what one of them links is linked. Texts may be of any length: a task holds one at
+    least as a whole. Other columns are not read.
     """
     signed = staged(signatures(df, id_col, text_col, words), "signatures")
     named = signed.where("id IS NOT NULL AND n_shingles > 0")

@@ -267,7 +267,7 @@ def classify(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     votes), ``score`` (of being good, by the scorer) and ``kept``: a score of at least ``least``.
 
     One row for each row of df, repeated ones too. A text without words, a null or an empty one has no votes, scores 0 and is not
-    kept. Ids may be null or repeated; other columns are not read. No shuffle.
+    kept. Ids may be null or repeated; other columns are not read. Texts may be of any length. No shuffle.
     """
     names = [f"_keep{k}" for k in range(len(keep))]
     rows = df.select(df[id_col].alias("id"), *[df[c].alias(n) for c, n in zip(keep, names, strict=True)], df[text_col].alias("text"))

@@ -143,7 +143,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Number of tokens of every row's text: ``id, n_tokens``.
 
     One row for each row of df, repeated ones too. A null or empty text has 0 tokens. Ids may be null or repeated; other columns are
-    not read. No shuffle; a task holds some megabytes of texts at once.
+    not read. Texts and words may be of any length. No shuffle; a task holds some megabytes of texts at once, or one longer text.
     """
 
     def count(batches):
