@@ -39,6 +39,8 @@ SAMPLE, FREQUENT = 2000, 0.01
 LEADS = 20_000
 #: A lead of so few sampled documents is never frequent.
 FEW = 8
+#: Leads and strings that a task remembers as repeated, at most.
+MET = 1 << 17
 #: Strings compared at once in a bucket.
 STRINGS = 100_000
 
@@ -171,14 +173,35 @@ def sampled(rows: DataFrame, length: int, buckets: int) -> tuple[np.ndarray, np.
     return np.unique(leads[at]), np.sort(np.array([r["lead"] for r in often.collect()], np.int64))
 
 
+class _Met:
+    """Hashes that a task knows to repeat: a bounded number, of which those met again and again stay or come back."""
+
+    def __init__(self, most: int = MET):
+        self.most, self.values, self.rng = most, np.zeros(0, np.int64), np.random.default_rng(1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(len(hashes), bool)
+        return self.values[np.minimum(np.searchsorted(self.values, hashes), len(self.values) - 1)] == hashes
+
+    def add(self, hashes: np.ndarray) -> None:
+        new = hashes[~self.has(hashes)]
+        if len(new):
+            self.values = np.union1d(self.values, new)
+            if len(self.values) > self.most:
+                self.values = np.sort(self.rng.choice(self.values, self.most // 2, replace=False))
+
+
 def _needed(rows: DataFrame, length: int) -> DataFrame:
     """``k1, k2, places``: the anchors of each text whose leads are at two anchors at least.
 
     In a group of texts, a lead that is there twice is known to repeat; one of its rows goes on to tell the other groups, and the
-    rest is dealt out evenly. So a lead sends one row for each group of texts to where it is counted.
+    rest is dealt out evenly. A task remembers such leads and tells of them no more. So to where it is counted a lead sends a row for each
+    group of texts until a group has it twice, and a frequent one some rows for each task.
     """
 
     def tell(batches):
+        met = _Met()
         for texts, k1, k2, _, _ in _group_texts(batches):
             for _, hashes, doc, place, _, _, shift in anchors(texts, length):
                 lead = _lead_hash(hashes, place + shift)
@@ -186,9 +209,12 @@ def _needed(rows: DataFrame, length: int) -> DataFrame:
                 fresh[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
                 lead, doc, place = lead[fresh], doc[fresh], place[fresh]
                 _, index, number, counts = np.unique(lead, return_index=True, return_inverse=True, return_counts=True)
-                known = counts[number] > 1
+                old = met.has(lead)
+                known = (counts[number] > 1) | old
                 witness = np.zeros(len(lead), bool)
                 witness[index] = True
+                witness &= ~old
+                met.add(lead[index][counts > 1])
                 to = np.where(known & ~witness, mix((place * 31 + doc).astype(np.uint64) ^ lead.view(np.uint64)).view(np.int64), lead)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (to, lead, k1[doc], k2[doc], place, known, witness)], ["to", "lead", "k1", "k2", "place", "known", "witness"])
 
@@ -235,8 +261,9 @@ def _send(batches, length: int, splitters: np.ndarray, frequent: np.ndarray):
     """Rows for buckets: a suffix with the bytes of the strings around its anchor; or, around frequent leads, strings by their hashes.
 
     What is in a group of texts several times is known to repeat: its places go straight on as spans, dealt out evenly, and one row
-    of it goes to its bucket for the other groups.
+    of it goes to its bucket for the other groups; a task remembers such strings and sends no more of them.
     """
+    met = _Met()
     names = ["bucket", "k1", "k2", "start", "back", "bytes", "one", "two", "known"]
 
     def batch(bucket, k1, k2, start, back, raws=None, one=None, two=None, known=False):
@@ -273,6 +300,9 @@ def _send(batches, length: int, splitters: np.ndarray, frequent: np.ndarray):
                 of, by = np.repeat(doc[some], counts), np.repeat(shift[some], counts)
                 one, two = of_length(hashes, at + by, length), of_length(rolling(raw, 128, 1), at + by, length, 1)
                 again, witness = _twice(one)
+                own, old = one.view(np.int64), met.has(one.view(np.int64))
+                met.add(own[again & witness])
+                again, witness = again | old, witness & ~old
                 x = _runs(at[again], at[again], of[again])
                 told_doc, told_first, told_last = (np.concatenate(y) for y in zip((told_doc, told_first, told_last), x, strict=True))
                 w = np.flatnonzero(witness)

@@ -320,3 +320,20 @@ def test_splitters_come_from_long_texts_too(spark):
     assert len(splitters) > 50 and len(frequent) > 0
     got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == sorted((len(t), 700, 1) for t in texts)
+
+
+def test_a_task_tells_of_a_hot_lead_a_few_times(spark, monkeypatch):
+    """A footer in every text of a task that takes them in many groups: results stay whole. What a task remembers is bounded."""
+    rng = random.Random(31)
+    footer = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = ["".join(rng.choice("ijklmnop ") for _ in range(rng.randint(300, 900))) + chr(65 + k % 50) + footer for k in range(300)]
+    want = removal_truth(texts, 200)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(repeats, "PART", 1024)  # groups of some eight texts
+    got = repeats.remove_repeats(df).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == sorted(w[:3] for w in want)
+    met = repeats._Met(8)
+    met.add(np.array([7, 3, 7], np.int64))
+    assert met.has(np.array([3, 4, 7])).tolist() == [True, False, True]
+    met.add(np.arange(20, dtype=np.int64))
+    assert len(met.values) == 4 and met.has(met.values).all()
