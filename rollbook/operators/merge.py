@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_compact, same_or_cut, similar_names
-from ..session import staged
+from ..session import staged, unsent
 from .nearnames import near_name_pairs
 from .position import keep_last
 from .settle import settle_edges
@@ -91,10 +91,10 @@ def snapshot_merge(
         )
         inherited = ["added", "since"] if versioned else ["added"]
         olds = rows.filter("is_gone").select(F.col("id").alias("old_id"), *[F.col(c).alias(f"_old_{c}") for c in inherited])
-        pairs = staged(olds.join(pairs, "old_id"), "pairs")
+        pairs = staged(olds.join(unsent(pairs), "old_id"), "pairs")
         becomes = pairs.select(F.col("old_id").alias("id"), F.col("new_id").alias("_becomes"))
         came = pairs.withColumnsRenamed({"new_id": "id", "old_id": "_came_from"})
-        rows = rows.join(becomes, "id", "left").join(came, "id", "left")
+        rows = rows.join(unsent(becomes), "id", "left").join(unsent(came), "id", "left")
     else:
         key_type = dict(rows.dtypes)["id"]
         rows = rows.withColumns({
@@ -160,7 +160,7 @@ def pair_edits(
     """
     if max_pairs is not None and gone.limit(max_pairs + 1).count() > max_pairs:
         gone = gone.limit(0)
-    old, new = gone.alias("o"), fresh.alias("n")
+    old, new = staged(gone, "gone").alias("o"), staged(fresh, "fresh").alias("n")  # each block reads them several times
     found = None
     for block in blocks:
         hits = block.joined(old, new) if isinstance(block, NearBlock) else _equal(old, new, block)
@@ -179,7 +179,7 @@ def _keyed(df: DataFrame, alias: str, block: Callable[[str], list[Column]]) -> D
 
 
 def _equal(old: DataFrame, new: DataFrame, block: Callable[[str], list[Column]]) -> DataFrame:
-    return _keyed(new, "n", block).alias("n").join(_keyed(old, "o", block).alias("o"), F.col("o._key") == F.col("n._key"))
+    return _keyed(new, "n", block).alias("n").join(unsent(_keyed(old, "o", block).alias("o")), F.col("o._key") == F.col("n._key"))
 
 
 @dataclass(frozen=True)
@@ -201,8 +201,8 @@ class NearBlock:
         pairs = near_name_pairs(names(o), names(n), self.share, self.prefix, self.max_len)
         pairs = pairs.filter(similar_names(F.col("a"), F.col("b"), self.share, self.prefix, self.max_len)).alias("p")
         o, n = o.alias("o"), n.alias("n")
-        found = o.join(pairs, (F.col("o._key") == F.col("p.key")) & (F.col("o._name") == F.col("p.a")))
-        return found.join(n, (F.col("n._key") == F.col("p.key")) & (F.col("n._name") == F.col("p.b")))
+        found = unsent(o).join(unsent(pairs), (F.col("o._key") == F.col("p.key")) & (F.col("o._name") == F.col("p.a")))
+        return found.join(unsent(n), (F.col("n._key") == F.col("p.key")) & (F.col("n._name") == F.col("p.b")))
 
 
 # Edit rules: which removed and new records are one record, with the keys that any such pair must share.
@@ -263,17 +263,17 @@ birth_blocks = [NearBlock(lambda a: [F.col(f"{a}.birth")], 0.15), lambda a: [_no
 
 def removed_rows(base: DataFrame, snap: DataFrame) -> DataFrame:
     """Live base rows whose id the snapshot no longer has."""
-    return base.filter(~F.coalesce(F.col("is_removed"), F.lit(False))).join(snap.select("id"), "id", "left_anti")
+    return base.filter(~F.coalesce(F.col("is_removed"), F.lit(False))).join(unsent(snap.select("id")), "id", "left_anti")
 
 
 def returned_rows(base: DataFrame, snap: DataFrame) -> DataFrame:
     """Removed base rows whose id the snapshot has again."""
-    return base.filter("is_removed").join(snap.select("id"), "id", "left_semi")
+    return base.filter("is_removed").join(unsent(snap.select("id")), "id", "left_semi")
 
 
 def added_rows(base: DataFrame, snap: DataFrame) -> DataFrame:
     """Snapshot rows (last of each id) whose id the base does not have."""
-    return keep_last(snap, "id", "src_pos").join(base.select("id"), "id", "left_anti")
+    return keep_last(snap, "id", "src_pos").join(unsent(base.select("id")), "id", "left_anti")
 
 
 def reorder(base: DataFrame, snap: DataFrame) -> DataFrame:

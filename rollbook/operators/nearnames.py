@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import unsent
+
 SHORT = 14
 PIECE = 3
 #: With a larger share short names could be more than two edits apart, or have fewer pieces than edits.
@@ -60,7 +62,7 @@ def _short_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     rest = F.explode(deletions(F.col("name"), F.lit(2)))
     a = left.filter(F.length("name") <= SHORT).select("key", F.col("name").alias("a"), rest.alias("rest"))
     b = right.filter(F.length("name") <= SHORT).select("key", F.col("name").alias("b"), rest.alias("rest"))
-    return a.join(b, ["key", "rest"]).select("key", "a", "b")
+    return a.join(unsent(b), ["key", "rest"]).select("key", "a", "b")
 
 
 def _long_pairs(left: DataFrame, right: DataFrame, share: float, max_len: int | None) -> DataFrame:
@@ -82,14 +84,14 @@ def _long_pairs(left: DataFrame, right: DataFrame, share: float, max_len: int |
     a = a.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / F.col("size")) - 1))).withColumn("at", (F.col("at") * F.col("size")).cast("int"))
     a = a.select("key", "size", cut(F.col("at")).alias("piece"), F.col("name").alias("a"), F.col("at").alias("a_at"), F.col("n").alias("a_n"), "k")
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "a_at", "piece")))
-    cuts = a.join(counts, ["key", "size", "piece"], "left").groupBy("key", "size", "a", "a_n", "k").agg(ordered.alias("p"))
+    cuts = a.join(unsent(counts), ["key", "size", "piece"], "left").groupBy("key", "size", "a", "a_n", "k").agg(ordered.alias("p"))
     cuts = cuts.withColumn("p", F.slice("p", F.lit(1), F.col("k") + 1))
     cost = F.aggregate("p", F.lit(0).cast("long"), lambda total, x: total + x["count"])
     rare = cuts.groupBy("key", "a", "a_n").agg(F.min_by(F.struct("size", "p"), F.struct(cost, "size")).alias("c"))
     rare = rare.select("key", "a", "a_n", F.col("c.size").alias("size"), F.explode("c.p").alias("p")).filter("p.count > 0")
     rare = rare.select("key", "size", F.col("p.piece").alias("piece"), "a", F.col("p.a_at").alias("a_at"), "a_n")
     near = allowed_edits(F.greatest("a_n", "b_n"), share)
-    pairs = rare.join(b, ["key", "size", "piece"]).filter((F.abs(F.col("a_n") - F.col("b_n")) <= near) & (F.abs(F.col("a_at") - F.col("b_at")) <= near))
+    pairs = rare.join(unsent(b), ["key", "size", "piece"]).filter((F.abs(F.col("a_n") - F.col("b_n")) <= near) & (F.abs(F.col("a_at") - F.col("b_at")) <= near))
     return pairs.select("key", "a", "b")
 
 
@@ -107,7 +109,7 @@ def _beginnings(left: DataFrame, right: DataFrame) -> DataFrame:
         return own.select("key", "level", F.substr("name", F.lit(1), F.col("level")).alias("start"), F.col("name").alias(out))
 
     on = ["key", "level", "start"]
-    pairs = shorter(left, "a").join(longer(right, "b"), on).unionByName(longer(left, "a").join(shorter(right, "b"), on))
+    pairs = shorter(left, "a").join(unsent(longer(right, "b")), on).unionByName(longer(left, "a").join(unsent(shorter(right, "b")), on))
     return pairs.filter(F.startswith("b", F.col("a")) | F.startswith("a", F.col("b"))).select("key", "a", "b")
 
 
@@ -120,7 +122,7 @@ def near_name_pairs(left: DataFrame, right: DataFrame, share: float, prefix: boo
     if share > MOST_SHARE:
         raise ValueError(f"shares above {MOST_SHARE} are not handled")
     left, right = (df.select("key", "name").filter("key IS NOT NULL AND name <> ''").distinct() for df in (left, right))
-    pairs = left.join(right, ["key", "name"], "left_semi").select("key", F.col("name").alias("a"), F.col("name").alias("b"))
+    pairs = left.join(unsent(right), ["key", "name"], "left_semi").select("key", F.col("name").alias("a"), F.col("name").alias("b"))
     pairs = pairs.unionByName(_short_pairs(left, right)).unionByName(_long_pairs(left, right, share, max_len))
     if prefix:
         pairs = pairs.unionByName(_beginnings(left, right))

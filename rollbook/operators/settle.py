@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import free_stage, stage_path, staged
+from ..session import free_stage, stage_path, staged, unsent
 
 #: Edges of a group of records that a task settles one by one.
 GROUP = 1_000_000
@@ -25,11 +25,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         wide = both(links)
         low = wide.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = staged(wide.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct(), "large")
+        large = staged(wide.filter("v > u").join(unsent(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+        small = large.join(unsent(low), "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
         new = staged(small.select("e.*").filter("u <> v").distinct(), "links")
-        same = new.count() == links.count() and new.join(links, ["u", "v"], "left_anti").isEmpty()
+        same = new.count() == links.count() and new.join(unsent(links), ["u", "v"], "left_anti").isEmpty()
         for done in (links, large):
             free_stage(done)
         links = new
@@ -89,7 +89,7 @@ def settle_edges(edges: DataFrame, group: int = GROUP, rounds: int = ROUNDS) ->
     while not edges.isEmpty():
         for _ in range(rounds):
             first = edges.groupBy("new_id").agg(F.min(turn).alias("_first"))
-            leads = edges.join(first, "new_id").withColumn("_leads", turn.eqNullSafe(F.col("_first")))
+            leads = edges.join(unsent(first), "new_id").withColumn("_leads", turn.eqNullSafe(F.col("_first")))
             settled = leads.groupBy("old_id").agg(F.min("_leads").alias("_ready"), F.count(F.lit(1)).alias("_free"), F.min("new_id").alias("new_id"))
             settled = staged(settled.filter("_ready").drop("_ready"), "settled")
             found.append(staged(settled.filter("_free = 1").select("old_id", "new_id"), "pairs"))
@@ -99,13 +99,13 @@ def settle_edges(edges: DataFrame, group: int = GROUP, rounds: int = ROUNDS) ->
                 break
         else:
             first = edges.groupBy("new_id").agg(F.min("old_id").alias("v"))
-            roots = components(edges.join(first, "new_id").select(F.col("old_id").alias("u"), "v"))
-            grouped = edges.join(roots.withColumnRenamed("node", "old_id"), "old_id", "left").withColumn("group", F.coalesce("root", "old_id")).drop("root")
+            roots = components(edges.join(unsent(first), "new_id").select(F.col("old_id").alias("u"), "v"))
+            grouped = edges.join(unsent(roots.withColumnRenamed("node", "old_id")), "old_id", "left").withColumn("group", F.coalesce("root", "old_id")).drop("root")
             grouped = staged(grouped, "grouped")
             few = staged(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= group).select("group"), "groups")
-            own = grouped.join(few, "group", "left_semi")
+            own = grouped.join(unsent(few), "group", "left_semi")
             found.append(staged(_one_by_one(own), "pairs"))
-            rest = staged(grouped.join(few, "group", "left_anti").drop("group"), "edges")
+            rest = staged(grouped.join(unsent(few), "group", "left_anti").drop("group"), "edges")
             for done in (edges, grouped, few):
                 free_stage(done)
             edges = rest
@@ -114,6 +114,6 @@ def settle_edges(edges: DataFrame, group: int = GROUP, rounds: int = ROUNDS) ->
 
 def _next(edges: DataFrame, settled: DataFrame, used: DataFrame) -> DataFrame:
     """Edges of records that are not settled to records that are not used."""
-    rest = staged(edges.join(settled, "old_id", "left_anti").join(used, "new_id", "left_anti").select("old_id", "old_ord", "new_id"), "edges")
+    rest = staged(edges.join(unsent(settled), "old_id", "left_anti").join(unsent(used), "new_id", "left_anti").select("old_id", "old_ord", "new_id"), "edges")
     free_stage(edges)
     return rest

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import guards, link, merge
 from ..operators.health import run_meta
 from ..operators.position import dict_encode, keep_last
-from ..session import work_dir
+from ..session import unsent, work_dir
 from ..sources.lists import union_parts
 from ..sources.buckets import BucketedList, merge_incremental
 from ..sources.publish import chunk_rows, publish_versioned, read_chunks, read_current, write_chunks
@@ -122,8 +122,8 @@ edit_pairs AS (SELECT old_id, new_id FROM edges QUALIFY count(*) OVER (PARTITION
 def edit_pairs(spark, sf):
     """No two old records share a candidate here, so the order decides nothing; tests cover the order."""
     old, new = _renamed_lists(spark, sf)
-    gone = old.join(new.select("id"), "id", "left_anti").withColumnRenamed("ord", "base_ord")
-    fresh = new.join(old.select("id"), "id", "left_anti")
+    gone = old.join(unsent(new.select("id")), "id", "left_anti").withColumnRenamed("ord", "base_ord")
+    fresh = new.join(unsent(old.select("id")), "id", "left_anti")
     return merge.pair_edits(gone, fresh, merge.year_rule, merge.year_blocks)
 
 

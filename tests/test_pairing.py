@@ -10,6 +10,7 @@ from rollbook.functions.text import similar_names
 from rollbook.operators import merge, settle
 from rollbook.operators.nearnames import near_name_pairs
 from rollbook.operators.settle import components, settle_edges
+from rollbook.session import staged
 
 
 def lev(a, b):
@@ -120,3 +121,18 @@ def test_components(spark):
             root[u] = root[v] = low
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: r for x, r in root.items() if x != r}
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_growing_side_is_broadcast(spark):
+    """Names and their pieces are many more rows than their compressed files tell, so none of them may be sent to the driver."""
+    names = staged(spark.range(200).select((F.col("id") % 7).alias("key"), F.md5(F.col("id").cast("string")).alias("name")), "names")
+    assert "Broadcast" not in planned(near_name_pairs(names, names, 0.15, prefix=True))
+    old = names.select(F.concat(F.lit("o"), "name").alias("id"), "name", F.col("key").alias("year"), F.xxhash64("name").alias("base_ord"))
+    new = names.select(F.concat(F.lit("n"), "name").alias("id"), "name", F.col("key").alias("year"))
+    for found in (merge.NearBlock(lambda a: [F.col(f"{a}.year")], 0.15).joined(old.alias("o"), new.alias("n")), merge._equal(old.alias("o"), new.alias("n"), merge.year_blocks[1])):
+        assert "Broadcast" not in planned(found) and found.count() == 200
+    assert "Broadcast" not in planned(merge.removed_rows(old.withColumn("is_removed", F.lit(False)), new))
