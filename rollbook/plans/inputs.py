@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import MONTHS
 from ..functions.text import FOLD_FROM, FOLD_TO, LOWER_GUARD
+from ..session import path_bytes
 from ..sources.publish import haystack
 
 TODAY = "2001-08-01"
 AS_OF = "2000-01-01"
 LISTS = ["m", "f", "p"]
 TEXTS = {"documents", "pages"}  # few large rows, much work per row
+TEXT_BYTES = 16_000_000  # of such a table, as it is compressed, for one task
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in TEXTS else df
+    path = f"{sf}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-path_bytes(spark, path) // TEXT_BYTES))) if name in TEXTS else df
 
 
 def day(text: str) -> Column:

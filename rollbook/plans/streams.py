@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..operators.merge import HISTORY
-from ..session import staged, work_dir
+from ..session import free_stage, stage_bytes, staged, work_dir
 from ..sources.buckets import BucketedList
 from ..sources.publish import publish_versioned, read_current
 from ..streaming import eventtime, jobs
@@ -16,18 +16,37 @@ from .news import RUNS_SQL, WATCH_SQL, _digest, _digest_sql, _runs
 from .registry import query
 
 
+#: Bytes of a stream's input, as it is compressed, for one file of a batch.
+FILE_BYTES = 16_000_000
+
+
+def _files_a_batch(stage, batches):
+    """How many files each batch takes, so that a task writes and reads a bounded part of it."""
+    return max(1, -(-stage_bytes(stage) // (batches * FILE_BYTES)))
+
+
+def _write_in_turn(rows, part, parts, path, files):
+    """The rows of each part as so many files, part after part: the files' times give the order in which a stream takes them."""
+    for k in parts:
+        own = rows.filter(F.col(part) == k).drop(part)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+
+
 def _stream(df, label, order=None, files=3):
-    """A frame written as some files and read back as a file stream, one file in each batch; in order, the oldest first."""
+    """A frame written and read back as a file stream that comes in some batches (``files``), each of one file or, of more rows, of as many as
+    it needs; in order, the oldest first."""
     spark = df.sparkSession
     path = work_dir(spark, label)
-    rows = df.repartition(files) if order is None else df.repartitionByRange(files, *order)
+    rows = staged(df, label)
+    each = _files_a_batch(rows, files)
     if order is None:
-        rows.write.parquet(path)
-    else:  # the files' times give the order in which a stream takes them
-        rows = staged(rows.withColumn("_file", F.spark_partition_id()), label)
-        for k in range(files):
-            rows.filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.repartition(files * each).write.parquet(path)
+    else:
+        placed = staged(rows.repartitionByRange(files * each, *order).withColumn("_file", F.floor(F.spark_partition_id() / each)), label)
+        _write_in_turn(placed, "_file", range(files), path, each)
+        free_stage(placed)
+    free_stage(rows)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _stream_table(spark, sf, name):
@@ -232,10 +251,10 @@ def stream_buckets_watermark(spark, sf):
     is_late = (F.col("event_id") % 7 == 0) & (F.unix_micros("ts") < lo + (hi - lo) / 4)
     rank = F.when(is_late, F.lit(10)).otherwise(F.least(F.lit(3), F.floor((F.unix_micros("ts") - lo) * 4 / (hi - lo + 1))))
     path = work_dir(spark, "events")
-    rows = e.withColumn("part", rank.cast("int"))
-    for k in (0, 1, 2, 3, 10):  # the files' times give the order in which a stream takes them
-        rows.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    events = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows, parts = staged(e.withColumn("part", rank.cast("int")), "parts"), (0, 1, 2, 3, 10)
+    each = _files_a_batch(rows, len(parts))
+    _write_in_turn(rows, "part", parts, path, each)
+    events = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", each).parquet(path)
     out, checkpoint = work_dir(spark, "closed"), work_dir(spark, "checkpoint")
     eventtime.stream_closed_buckets(events, "ts", "event_type", out, checkpoint)
     closed, still_open = eventtime.closed_buckets(spark, out, "event_type"), eventtime.open_buckets(spark, checkpoint, "event_type")

@@ -68,9 +68,10 @@ class BucketedList:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
+        # buckets are dealt out by size: one of many rows to several tasks, each of which adds a file to its folder
         path = f"{self.root}/data-{uuid.uuid4().hex}"
         placed = rows.select(self.schema.names).withColumn("_bucket", bucket_of(self.key, self.buckets))
-        placed.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        placed.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
         return path, [r[0] for r in self.spark.read.parquet(path).select("_bucket").distinct().collect()] if not rows.isEmpty() else []
 
     def _point(self, path: str, filled: Sequence[int], emptied: Sequence[int], tag: str | None) -> None:
