@@ -22,6 +22,7 @@ from .nearnames import deletions
 
 LISTS_DEFAULT = "m"
 BLOCK = 100_000   # variants that are sent to every task; more are joined by their grams
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 200, 100_000   # texts and pairs of text and query that a task holds as Python objects
 PAGE = 50
 NEW_DAYS = 30
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
@@ -139,6 +140,21 @@ def _blocks(always: DataFrame | None) -> Iterator[list]:
         yield [r["q"] for r in own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k).collect()]
 
 
+def _matched(matcher: Matcher, batches: Iterator[pa.RecordBatch], kept: Sequence[str], arrow_q: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, whose last column is the text, per query that they match; only some texts and pairs at a time are Python objects."""
+    for batch in batches:
+        texts, at, qs = batch.column(batch.num_columns - 1), [], []
+        for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            for j, h in enumerate(texts.slice(i, TEXTS_AT_ONCE).to_pylist(), i):
+                found = matcher.match(h)
+                at.extend([j] * len(found))
+                qs.extend(found)
+                if len(at) >= PAIRS_AT_ONCE or j == batch.num_rows - 1:
+                    rows = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), pa.array(qs, arrow_q)], [*kept, "q"])
+                    at, qs = [], []
+
+
 def _scan(corpus: DataFrame, variants: DataFrame, matcher: Matcher) -> DataFrame:
     kept = [c for c in corpus.columns if c != "h"]
     q_type = variants.schema["q"].dataType
@@ -147,11 +163,7 @@ def _scan(corpus: DataFrame, variants: DataFrame, matcher: Matcher) -> DataFrame
     sent = corpus.sparkSession.sparkContext.broadcast(matcher)
 
     def match(batches):
-        for batch in batches:
-            found = [sent.value.match(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
-            at = pa.array([i for i, qs in enumerate(found) for _ in qs], pa.int64())
-            qs = pa.array([q for own in found for q in own], arrow_q)
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), qs], [*kept, "q"])
+        yield from _matched(sent.value, batches, kept, arrow_q)
 
     return corpus.select(*kept, "h").mapInArrow(match, schema)
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import pyarrow as pa
 from rollbook.functions.spelling import query_tokens, token_variants
 from rollbook.operators import link, search, watch
 
@@ -153,3 +154,16 @@ def test_watch_reports_only_unseen(spark):
     edges = spark.createDataFrame([("c1", "c0")], "id string, edit_of string")
     seen = spark.createDataFrame([(1, "c0")], "q int, id string")
     assert rows(watch.watch_fresh(m, seen, edges), "q", "id") == {(1, "f")}
+
+
+def test_a_scan_holds_few_texts_and_pairs_at_a_time():
+    class Seen(search.Matcher):
+        def match(self, text):
+            return list(range(500)) if text else []
+
+    texts = pa.array([f"t{i}" if i % 3 else None for i in range(1500)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(1500)), texts], ["id", "h"]), pa.RecordBatch.from_arrays([pa.array([7]), pa.array([""])], ["id", "h"])]
+    out = list(search._matched(Seen([], {}, [], False), batches, ["id"], pa.int64()))
+    assert max(b.num_rows for b in out) <= search.PAIRS_AT_ONCE + 500
+    assert sum(b.num_rows for b in out) == 1000 * 500
+    assert {i for b in out for i in b.column(0).to_pylist()} == {i for i in range(1500) if i % 3}
