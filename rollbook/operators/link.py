@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import unsent
+
 MAX_HOPS = 8  # reached by three doublings
 
 
@@ -71,10 +73,22 @@ def cross_links(persons: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links_of(requested: DataFrame, persons: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All linked ids of the requested person ids (record pages), made from the membership tables."""
+    """All linked ids of the requested person ids (record pages), made from the membership tables; each pair once.
+
+    A pair that shares several keys is given out by the smallest one, which both records' own keys tell, so pairs leave the join as they are
+    made: they may be as many as the square of a group, and are neither shuffled nor held.
+    """
     p, w, _ = link_groups(persons, wanted)
-    asked = p.join(requested.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "person_id")
-    return w.join(asked, ["name", "year"]).select("person_id", F.col("id").alias("wanted_id")).distinct()
+    key = F.struct("name", "year")
+
+    def keyed(rows: DataFrame, own: str) -> DataFrame:
+        rows = rows.filter("year IS NOT NULL").select("id", "name", "year").distinct()
+        return rows.groupBy("id").agg(F.collect_list(key).alias(own)).select("id", own, F.inline(own))
+
+    asked = keyed(p.join(unsent(requested.select("id").distinct()), "id", "left_semi"), "_p").withColumnRenamed("id", "person_id")
+    both = keyed(w, "_w").join(unsent(asked), ["name", "year"])
+    once = (F.size("_p") == 1) | (F.size("_w") == 1) | (F.array_min(F.array_intersect("_p", "_w")) == key)
+    return both.filter(once).select("person_id", F.col("id").alias("wanted_id"))
 
 
 def chain_paths(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Linking, chains, spelling, matching and ranges on small literal frames."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-import pyarrow as pa
 from rollbook.functions.spelling import query_tokens, token_variants
 from rollbook.operators import link, search, watch
 
@@ -167,3 +167,15 @@ def test_a_scan_holds_few_texts_and_pairs_at_a_time():
     assert max(b.num_rows for b in out) <= search.PAIRS_AT_ONCE + 500
     assert sum(b.num_rows for b in out) == 1000 * 500
     assert {i for b in out for i in b.column(0).to_pylist()} == {i for i in range(1500) if i % 3}
+
+
+def test_links_of_gives_pairs_once_without_gathering_them(spark):
+    p = spark.createDataFrame([(i, n, y) for i in range(6) for n, y in (("a", 1), ("b", 1), ("c", None))[: 1 + i % 3]], "id int, name string, year int")
+    w = spark.createDataFrame([(10, "a", ["b", "c"], 1), (11, "b", None, 1), (12, "c", ["a"], None), (13, "", ["a", "a"], 1)], "id int, name string, aliases array<string>, year int")
+    asked = spark.createDataFrame([(i,) for i in (0, 1, 1, 2, 5, 9)], "id int")
+    found = link.links_of(asked, p, w)
+    got = [tuple(r) for r in found.select("person_id", "wanted_id").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in (0, 1, 2, 5) for j in (10, 13)} | {(i, 11) for i in (1, 2, 5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
