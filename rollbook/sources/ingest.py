@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import any_date, day_first_all, day_first_date, exact_or_before, serial_date, worded_date
@@ -256,9 +256,8 @@ def anchor_segments(docs: DataFrame, key: str, body: str, rules: AnchorRules = A
 
 def segment_metrics(segments: DataFrame, key: str) -> DataFrame:
     """Counters per document. Cells dropped before its first record are its table header and do not count."""
-    first = F.min(F.when(F.col("outcome") == "record", F.col("seg")))
-    starts = segments.groupBy(key).agg(first.alias("first_record"))
-    rows = segments.join(starts, key)
+    first = F.min(F.when(F.col("outcome") == "record", F.col("seg"))).over(Window.partitionBy(key))  # the segments of one document
+    rows = segments.withColumn("first_record", first)
     late = F.col("seg") > F.col("first_record")
     return rows.groupBy(key).agg(
         F.count_if(F.col("outcome") == "record").alias("records"), F.sum("excluded").alias("excluded"),

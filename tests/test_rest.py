@@ -291,3 +291,11 @@ def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_root(Fake)
+
+
+def test_segment_metrics_cut_each_document_once(spark):
+    rows = [(1, 0, "skipped", 5, 0, ""), (1, 1, "record", 2, 1, "x"), (1, 2, "record", 3, 0, ""), (2, 0, "unanchored", 4, 0, "")]
+    segments = spark.createDataFrame(rows, "doc int, seg int, outcome string, dropped int, excluded int, included string")
+    found = ingest.segment_metrics(segments, "doc")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1, 1, 0, 3, 1), (2, 0, 0, 0, 1, 0, 0)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
