@@ -23,7 +23,7 @@ CHARS_AT_ONCE = 2_000_000
 CHARS_A_SLOT, SLOTS = 20_000_000, (8, 4096)
 #: Up to so many grams or texts are named in the filters of a scan; more are joined.
 NAMED = 2000
-#: Queries whose variants are compared with a text at once.
+#: A text meets about the variants of so many queries at once.
 QUERIES_AT_ONCE = 2000
 #: Texts in the sample that tells which grams are rare (this only decides by which gram a variant is looked for).
 SAMPLE = 2000
@@ -32,14 +32,17 @@ FILTER_BITS = 1 << 22
 _NONE = np.uint64((1 << 21) - 1)  # stands where a gram has no further character
 
 
-def _grams(text: str) -> np.ndarray:
-    """The distinct grams of a text, in ascending order."""
+def _grams(text: str, mask: np.ndarray | None = None) -> np.ndarray:
+    """The distinct grams of a text, in ascending order; with a mask of hashes only those that it lets pass, which are sorted alone."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     two, none = np.uint64(21), np.uint64(42)
     one = (c << none) | (_NONE << two) | _NONE
     pair = (c[:-1] << none) | (c[1:] << two) | _NONE
     three = (c[:-2] << none) | (c[1:-1] << two) | c[2:]
-    return np.unique(np.concatenate([one, pair, three])).view(np.int64)
+    every = np.concatenate([one, pair, three])
+    if mask is not None:
+        every = every[mask[(every % np.uint64(FILTER_BITS - 3)).view(np.int64)]]
+    return np.unique(every).view(np.int64)
 
 
 def _grams_of_variant(variant: str) -> np.ndarray:
@@ -106,14 +109,15 @@ def probes(grams: DataFrame, sizes: DataFrame, any_token: bool) -> DataFrame:
 def verified(rows: DataFrame, found: DataFrame, asked: DataFrame, any_token: bool) -> DataFrame:
     """``rows`` (numbered, with ``h``) that hold what a query asks for, without ``h``, with ``q``.
 
-    ``found`` has candidates ``(_doc, q)``, each once; ``asked`` the variants. A text meets the variants of some thousand queries at
-    once, in one row; it is there again for further thousands of queries that it is a candidate for.
+    ``found`` has candidates ``(_doc, q)``, each once; ``asked`` the variants. A text meets each variant of its queries once, however many of them
+    ask for it, those of some thousand queries in one row. A query that is no candidate for a text lacks a gram there, so it gains nothing by what others find.
     """
+    words = asked.filter("variant <> ''")
     n = asked.select("q").distinct().count()
-    deal = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // QUERIES_AT_ONCE))))
-    lists = found.join(asked.filter("variant <> ''"), "q").groupBy("_doc", deal.alias("_deal")).agg(F.collect_list(F.struct("q", "token_no", "variant")).alias("_asked"))
-    held = lists.join(rows.select("_doc", "h"), "_doc")
-    held = held.select("_doc", F.inline(F.expr("filter(_asked, x -> contains(h, x.variant))"))).select("_doc", "q", "token_no").distinct()
+    deal = F.pmod(F.xxhash64("variant"), F.lit(max(1, -(-n // QUERIES_AT_ONCE))))
+    lists = found.join(words.select("q", "variant").distinct(), "q").groupBy("_doc", deal.alias("_deal")).agg(F.collect_set("variant").alias("_asked"))
+    held = lists.join(rows.select("_doc", "h"), "_doc").select("_doc", F.explode(F.expr("filter(_asked, x -> contains(h, x))")).alias("variant"))
+    held = held.join(words, "variant").select("_doc", "q", "token_no").distinct()
     if any_token:
         hits = held.select("_doc", "q").distinct()
     else:
@@ -160,9 +164,7 @@ def _gram_rows(rows: DataFrame, bits: np.ndarray | None) -> DataFrame:
             doc = part.column(0).to_numpy()
             out, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d, t in zip(doc.tolist(), texts, strict=True):
-                g = _grams(t or "")
-                if mask is not None:
-                    g = g[mask[g % (FILTER_BITS - 3)]]
+                g = _grams(t or "", mask)
                 out.append(g)
                 of.append(np.full(len(g), d))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(of))], ["gram", "_doc"])
@@ -209,7 +211,8 @@ class GramIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(gram[heads]), pa.array(np.diff(edges)), docs], ["gram", "n", "docs"])
 
         posted = rows.select("_doc", "h").mapInArrow(post, "gram long, n long, docs array<long>").withColumn("slot", _slot(F.col("gram"), slots))
-        posted.repartition(slots, "slot").sortWithinPartitions("slot", "gram").write.partitionBy("slot").parquet(f"{path}/grams")
+        # dealt out by size: a slot of frequent grams goes to several tasks, each of which adds a sorted file to its folder
+        posted.hint("rebalance", "slot").sortWithinPartitions("slot", "gram").write.partitionBy("slot").parquet(f"{path}/grams")
         spark.createDataFrame([(slots,)], "slots int").write.parquet(f"{path}/size")
         return cls(spark, path)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,21 @@ def test_watchlists_of_any_size(spark, monkeypatch):
     few = rows(watch.watch_matches(corpus, qs), "q", "id")
     monkeypatch.setattr(search, "BLOCK", 5)
     assert rows(watch.watch_matches(corpus, qs), "q", "id") == few == [(1, "c1"), (1, "f"), (3, "f")]
+
+
+def test_a_text_meets_a_variant_of_many_queries_once(spark):
+    rows = spark.createDataFrame([(d, f"x{d}", f"text {d} alphabeta gammadelta"[: 30 if d % 2 else 16]) for d in range(6)], "_doc long, id string, h string")
+    asked = spark.createDataFrame([(q, t, v) for q in range(40) for t, v in ((0, "alphabeta"), (0, "text"), (1, "gammadelta"))], "q int, token_no int, variant string")
+    found = spark.createDataFrame([(d, q) for d in range(6) for q in range(40)], "_doc long, q int")
+    for any_token, docs in ((True, range(6)), (False, (1, 3, 5))):
+        hits = grams.verified(rows, found, asked, any_token)
+        got = [tuple(r) for r in hits.collect()]
+        assert sorted(got) == sorted((f"x{d}", q) for d in docs for q in range(40))
+        assert "collect_set(variant" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_let_pass_are_those_of_the_mask():
+    mask = np.zeros(grams.FILTER_BITS, bool)
+    every = grams._grams("abcabc дом\ud800")
+    mask[every[::3] % (grams.FILTER_BITS - 3)] = True
+    assert grams._grams("abcabc дом\ud800", mask).tolist() == [g for g in every.tolist() if mask[g % (grams.FILTER_BITS - 3)]]
