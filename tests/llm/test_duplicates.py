@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from rollbook.llm import components as stars
 from rollbook.llm import near, repeats, vectors
 from rollbook.llm.components import components
 from rollbook.llm.queries import QUERIES
@@ -113,6 +114,45 @@ def test_components(spark, edges):
     assert got == {x: ties.root(x) for x in ties.up}
 
 
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+def test_components_of_edges_tied_in_parts(spark, monkeypatch, at_once):
+    """Chains, hubs with the lowest and the highest number, and loose pairs, dealt over partitions in any order, some tied in parts of a few edges."""
+    monkeypatch.setattr(stars, "EDGES_AT_ONCE", at_once)
+    rng = random.Random(7)
+    name = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(700)]
+    edges = [(name[i], name[i + 1]) for i in range(199)] + [(min(name) - 1, name[i]) for i in range(200, 400)] + [(max(name) + 1, name[i]) for i in range(390, 600)]
+    edges += [(name[i], name[i + 1]) for i in range(600, 700, 2)] + [(name[i], name[i]) for i in range(9)]
+    rng.shuffle(edges)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ties = Sets({x for u, v in edges for x in (u, v) if u != v})
+    for u, v in edges:
+        if u != v:
+            ties.tie(u, v)
+    assert got == {x: ties.root(x) for x in ties.up}
+
+
+def test_components_in_few_tasks(spark):
+    """A round shuffles little: with stars that were made twice and checked in a shuffle of their own this took 1,909 tasks."""
+    tracker, n = spark.sparkContext.statusTracker(), 40
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 200)], "u long, v long").repartition(5)
+    for k, x in (("spark.sql.shuffle.partitions", n), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(k, x)
+    spark.sparkContext.setJobGroup("few tasks", "")
+    try:
+        assert components(edges).where("component NOT IN (0, 100)").count() == 0
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert tasks < 30 * n
+
+
 def removal_truth(texts, length):
     raws = [(t or "").encode() for t in texts]
     starts = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
