@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 
 from rollbook.llm import components as stars
 from rollbook.llm import near, repeats, vectors
+from rollbook.llm import shingles as shingle_parts
 from rollbook.llm.components import components
 from rollbook.llm.queries import QUERIES
 from rollbook.llm.shingles import shingle_sets, super_minhash
@@ -83,6 +85,29 @@ def test_shingle_sets_and_signatures(texts):
         assert abs((ranks[::2] == ranks[1::2]).mean() - share) < 0.01
 
 
+@pytest.mark.parametrize("sizes", [[400_000], [200] * 2000], ids=["one large set", "many sets"])
+def test_signatures_in_bounded_memory(monkeypatch, sizes):
+    """What a signature takes beside its set doesn't grow with the sets of a group; sets taken in parts get the same one."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, sum(sizes)).astype(np.uint64)
+    tracemalloc.start()
+    got = super_minhash(hashes, np.array(sizes), 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    monkeypatch.setattr(shingle_parts, "ELEMENTS_AT_ONCE", 1 << 30)
+    assert np.array_equal(got, super_minhash(hashes, np.array(sizes), 128))
+
+
+def test_signatures_of_sets_taken_in_parts(monkeypatch):
+    sizes = np.array([0, 3, 0, 70, 5, 0, 1, 41, 200, 0])
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, sizes.sum()).astype(np.uint64)
+    whole = super_minhash(hashes, sizes, 128)
+    for at_once in (1, 2, 40, 64):
+        monkeypatch.setattr(shingle_parts, "ELEMENTS_AT_ONCE", at_once)
+        assert np.array_equal(whole, super_minhash(hashes, sizes, 128))
+    assert super_minhash(hashes[:0], np.zeros(2, np.int64), 4).tolist() == [[2**64 - 1] * 4] * 2
+
+
 def test_near_duplicates(spark, frame, empty):
     docs = [(r["doc_id"], r["text"]) for r in frame.collect()]
     check_near(near.near_duplicates(frame).collect(), docs)
