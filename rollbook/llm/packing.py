@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .bpe import encoded_groups
+from .tasks import lean
 
 #: Fillings that the search may try before it returns its best solution; a dominated one that is passed over counts as one of PASSED.
 STEPS, PASSED = 20_000, 32
@@ -260,7 +261,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long"
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(cut, schema)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(lean(cut), schema)
 
 
 def pack(
@@ -292,4 +293,4 @@ def pack(
     by_task = by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     numbered = cut.join(by_task, ["task", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("number"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields[:-1]) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(place, schema)
+    return numbered.mapInArrow(lean(place), schema)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .near import _fields
 from .shingles import mix, seeded
+from .tasks import lean
 from .words import ragged, text_groups
 
 LENGTH = 200
@@ -165,7 +166,7 @@ def sampled(rows: DataFrame, length: int, buckets: int) -> tuple[np.ndarray, np.
     total = max(rows.count(), 1)
     every = 1 << 40
     few = rows.where(F.pmod(F.col("k1"), F.lit(every)) < int(min(1.0, SAMPLE / total) * every)).distinct()
-    got = staged(few.mapInArrow(show, "lead long, bytes binary"), "leads")  # of texts of any length, so counted before any are collected
+    got = staged(few.mapInArrow(lean(show), "lead long, bytes binary"), "leads")  # of texts of any length, so counted before any are collected
     often = got.groupBy("lead").count().where(F.col("count") > max(FEW, FREQUENT * min(SAMPLE, total))).select("lead")
     share = min(0.25, LEADS / max(got.count(), 1))
     leads = np.sort(np.array([bytes(r["bytes"]) for r in got.select("bytes").where(F.rand(3) < share).collect()] or [b""], "S24"))
@@ -236,8 +237,8 @@ def _needed(rows: DataFrame, length: int) -> DataFrame:
         keep[order[several]] = True
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k1, k2, place)], ["k1", "k2", "place"])
 
-    told = rows.mapInArrow(tell, "to long, lead long, k1 long, k2 long, place long, known boolean, witness boolean")
-    found = told.repartition("to").mapInArrow(settle, "k1 long, k2 long, place long")
+    told = rows.mapInArrow(lean(tell), "to long, lead long, k1 long, k2 long, place long, known boolean, witness boolean")
+    found = told.repartition("to").mapInArrow(lean(settle), "k1 long, k2 long, place long")
     return found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))  # of one text
 
 
@@ -416,8 +417,8 @@ def repeated_places(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     needed = _needed(rows, length)
     texts = _distinct_texts(rows).join(needed, ["k1", "k2"]).select("k1", "k2", "text", "places")
     schema = "bucket long, k1 long, k2 long, start long, back long, bytes binary, one long, two long, known boolean"
-    sent = texts.mapInArrow(lambda b: _send(b, length, splitters, frequent), schema)
-    return sent.repartition("bucket").mapInArrow(lambda b: _compare(b, length), "k1 long, k2 long, start long, stop long")
+    sent = texts.mapInArrow(lean(lambda b: _send(b, length, splitters, frequent)), schema)
+    return sent.repartition("bucket").mapInArrow(lean(lambda b: _compare(b, length)), "k1 long, k2 long, start long, stop long")
 
 
 def _trimmed(raw: bytes, start: int, stop: int) -> bytes:
@@ -459,7 +460,7 @@ def removals(df: DataFrame, text_col: str = "text", length: int = LENGTH, charac
                     [part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
                     ["k1", "k2", "starts", "stops", "kept"])
 
-    return texts.mapInArrow(cut, "k1 long, k2 long, starts array<long>, stops array<long>, kept binary")
+    return texts.mapInArrow(lean(cut), "k1 long, k2 long, starts array<long>, stops array<long>, kept binary")
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False) -> DataFrame:
