@@ -8,21 +8,24 @@ from functools import reduce
 from operator import and_, or_
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.spelling import edit_budget, query_tokens, token_variants
 from ..functions.text import normalize
-from ..session import staged
+from ..session import staged, unsent
 from .grams import GramIndex, match_by_grams
 from .nearnames import deletions
 
 LISTS_DEFAULT = "m"
 BLOCK = 100_000   # variants that are sent to every task; more are joined by their grams
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 200, 100_000   # texts and pairs of text and query that a task holds as Python objects
+SHARE = 256   # of queries that ask for the same, so many stand in one row
+SENT = 1_000_000   # queries whose numbers are sent to every task; those of more are joined
 PAGE = 50
 NEW_DAYS = 30
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
@@ -116,21 +119,72 @@ def match_queries(corpus: DataFrame, variants: DataFrame, any_token: bool = Fals
     """Rows of ``corpus`` (``h`` and any others, ids or not, repeated or not) per query ``q`` that they match; ``h`` is dropped.
 
     A token matches when any of its variants is a substring; an empty variant never is. Queries of ``always`` match every row. One scan
-    of the corpus: up to ``BLOCK`` variants are sent to every task, more are joined by their grams and never leave the executors. Of queries that
-    match every row, whose result is as long as the corpus for each, ``BLOCK`` are sent at a time.
+    of the corpus: up to ``BLOCK`` variants are sent to every task, more are joined by their grams and never leave the executors. Queries that ask for
+    the same are looked for as one and told apart at the end. Of queries that match every row, whose result is as long as the corpus for each, ``BLOCK``
+    are sent at a time.
     """
     asked = staged(variants.select("q", "token_no", F.coalesce("variant", F.lit("")).alias("variant")).distinct(), "variants")
-    if asked.count() > BLOCK:
-        out = match_by_grams(corpus, asked, any_token)
-    else:
-        own = [tuple(r) for r in asked.collect()]  # at most BLOCK rows
-        needed = Counter(q for q, _ in {r[:2] for r in own})
-        out = _scan(corpus, variants, Matcher([r for r in own if r[2]], needed, [], any_token))
+    out = _match_many(corpus, asked, any_token) if asked.count() > BLOCK else _match_few(corpus, asked, any_token)
     for part in _blocks(always):
         out = out.unionByName(_scan(corpus, variants, Matcher([], {}, part, any_token)))
     return out
 
 
+def _matcher(asked: Sequence[tuple], any_token: bool) -> Matcher:
+    return Matcher([r for r in asked if r[2]], Counter(q for q, _ in {r[:2] for r in asked}), [], any_token)
+
+
+def _match_few(corpus: DataFrame, asked: DataFrame, any_token: bool) -> DataFrame:
+    """One scan for at most ``BLOCK`` variants."""
+    own = [tuple(r) for r in asked.collect()]
+    tokens, queries, sets = defaultdict(set), defaultdict(set), defaultdict(list)
+    for q, token_no, variant in own:
+        tokens[q, token_no].add(variant)
+    for (q, _), token in tokens.items():
+        queries[q].add(frozenset(token))
+    for q, asks in queries.items():
+        sets[frozenset(asks)].append(q)
+    if len(queries) - len(sets) < SHARE:
+        return _scan(corpus, asked, _matcher(own, any_token))
+    one = [(k, no, v) for k, asks in enumerate(sets) for no, token in enumerate(asks) for v in token]
+    shares = {k: -(-len(qs) // SHARE) for k, qs in enumerate(sets.values())}
+    dealt = [(k, i, qs[i :: shares[k]]) for k, qs in enumerate(sets.values()) for i in range(shares[k])]
+    schema = StructType().add("_alike", "long").add("_share", "integer").add("_qs", ArrayType(asked.schema["q"].dataType))
+    return _told_apart(corpus, _scan_shares(corpus, _matcher(one, any_token), shares), F.broadcast(corpus.sparkSession.createDataFrame(dealt, schema)))
+
+
+def _match_many(corpus: DataFrame, asked: DataFrame, any_token: bool) -> DataFrame:
+    """What :func:`match_queries` gives for any number of variants, each set of tokens looked for once, however many queries ask for it.
+
+    The queries of a set are dealt over shares of some ``SHARE``. A text that matches is a row for each share until the end, where the queries of
+    the share come in; neither the pairs of text and query nor a hot set's queries are ever shuffled or held together.
+    """
+    tokens = asked.groupBy("q", "token_no").agg(F.sort_array(F.collect_list("variant")).alias("token"))
+    queries = staged(tokens.groupBy("q").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "queries")
+    shares = F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares")
+    sets = staged(queries.groupBy("tokens").agg(shares).withColumn("_alike", F.monotonically_increasing_id()), "sets")
+    n = queries.count()
+    if n - sets.count() < SHARE and queries.filter("q is null").isEmpty():
+        return match_by_grams(corpus, asked, any_token)
+    one = sets.select(F.col("_alike").alias("q"), F.posexplode("tokens").alias("token_no", "token"))
+    one = staged(one.select("q", "token_no", F.explode("token").alias("variant")), "variants")
+    joined = F.broadcast if n <= SENT else unsent
+    if one.count() <= BLOCK:
+        hits = _scan_shares(corpus, _matcher([tuple(r) for r in one.collect()], any_token), dict(sets.select("_alike", "_shares").collect()))
+    else:
+        hits = match_by_grams(corpus, one, any_token).withColumnRenamed("q", "_alike").join(joined(sets.drop("tokens")), "_alike")
+        hits = hits.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    share = F.pmod(F.xxhash64("q"), F.col("_shares")).cast("int").alias("_share")
+    dealt = queries.join(sets, "tokens").groupBy("_alike", share).agg(F.collect_list(F.struct("q")).alias("_qs"))
+    dealt = dealt.withColumn("_qs", F.transform("_qs", lambda x: x["q"]))  # a list of structs keeps a query whose number is null
+    return _told_apart(corpus, hits, joined(staged(dealt, "shares")))
+
+
+def _told_apart(corpus: DataFrame, hits: DataFrame, dealt: DataFrame) -> DataFrame:
+    """A row for each query of a share that a text matches."""
+    return hits.join(dealt, ["_alike", "_share"]).select(*[c for c in corpus.columns if c != "h"], F.explode("_qs").alias("q"))
+
+
 def _blocks(always: DataFrame | None) -> Iterator[list]:
     if always is None or always.isEmpty():
         return
@@ -168,6 +222,36 @@ def _scan(corpus: DataFrame, variants: DataFrame, matcher: Matcher) -> DataFrame
     return corpus.select(*kept, "h").mapInArrow(match, schema)
 
 
+def _by_share(found: pa.RecordBatch, shares: Mapping[int, int]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, whose last column is a set of tokens, for each share of its queries; those of a share stand together, so that the same
+    few queries come again and again in the result, which files pack well."""
+    alike = found.column(found.num_columns - 1).to_numpy()
+    order = np.argsort(alike, kind="stable")
+    sets, first, n = np.unique(alike[order], return_index=True, return_counts=True)
+    ends = np.cumsum(n * np.array([shares[x] for x in sets.tolist()], np.int64))
+    starts = np.concatenate([[0], ends[:-1]])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        at = np.arange(lo, min(lo + PAIRS_AT_ONCE, ends[-1]))
+        k = np.searchsorted(ends, at, "right")
+        share, i = np.divmod(at - starts[k], n[k])
+        rows = pa.array(order[first[k] + i])
+        yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in found.columns[:-1]), pa.array(sets[k]), pa.array(share.astype(np.int32))], [*found.schema.names[:-1], "_alike", "_share"])
+
+
+def _scan_shares(corpus: DataFrame, matcher: Matcher, shares: Mapping[int, int]) -> DataFrame:
+    """The rows of the corpus per set of tokens ``_alike`` that they match and ``_share`` of its queries."""
+    kept = [c for c in corpus.columns if c != "h"]
+    schema = StructType([corpus.schema[c] for c in kept]).add("_alike", "long").add("_share", "integer")
+    sent = corpus.sparkSession.sparkContext.broadcast((matcher, shares))
+
+    def match(batches):
+        matcher, shares = sent.value
+        for found in _matched(matcher, batches, kept, pa.int64()):
+            yield from _by_share(found, shares)
+
+    return corpus.select(*kept, "h").mapInArrow(match, schema)
+
+
 # --- vocabulary and typos --------------------------------------------------------------------------
 
 def vocabulary(corpus: DataFrame) -> DataFrame:

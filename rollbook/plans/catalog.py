@@ -202,7 +202,7 @@ def search_indexed(spark, sf):
 @query("search_many_queries", f"""WITH {DOCS_SQL}, qs AS (SELECT page_id AS q, regexp_extract(url, 'https?://([a-z]+\\.)*([a-z]+)\\.example', 2) AS word FROM pages)
 SELECT q, id FROM qs JOIN docs ON contains(h, {sql_norm('word')}) WHERE word <> ''""")
 def search_many_queries(spark, sf):
-    """One query per page (the site word of its url), so the set of queries grows with the data; its few variants are sent to the tasks."""
+    """One query per page (the site word of its url), so the set of queries grows with the data; those of a word are looked for as one."""
     word = F.regexp_extract("url", "https?://([a-z]+\\.)*([a-z]+)\\.example", 2)
     queries = table(spark, sf, "pages").select(F.col("page_id").alias("q"), word.alias("query"))
     return search.match_queries(docs(spark, sf).select("id", "h"), search.spell_tokens(search.parse_queries(queries))).select("q", "id")

@@ -1,6 +1,9 @@
 """Linking, chains, spelling, matching and ranges on small literal frames."""
 
+from collections import Counter
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions.spelling import query_tokens, token_variants
@@ -179,3 +182,32 @@ def test_links_of_gives_pairs_once_without_gathering_them(spark):
     assert set(got) == {(i, j) for i in (0, 1, 2, 5) for j in (10, 13)} | {(i, 11) for i in (1, 2, 5)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("block", [100_000, 40, 4])  # sets of tokens are sent from the driver, found by Spark, joined by grams
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_queries_that_ask_for_the_same_are_looked_for_once(spark, monkeypatch, block, sent):
+    texts = [(1, "alpha beta gamma"), (2, "beta"), (2, "beta"), (None, "gamma alpha"), (4, None), (5, ""), (6, "delta бета")]
+    asked = [[["alpha"], ["gamma"]], [["beta", "бета"]], [["gamma"], ["alpha"], ["gamma"]], [["zeta"]], [["beta"], [""]], [["бета", "beta"]], [["delta"]]]
+    queries = [(q if q else None, asked[q % 6] if q < 60 else asked[6]) for q in range(61)]
+    c = spark.createDataFrame(texts, "id long, h string")
+    v = spark.createDataFrame([(q, t, w) for q, ts in queries for t, ws in enumerate(ts) for w in ws], "q int, token_no int, variant string")
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "SENT", sent, raising=False)
+    monkeypatch.setattr(search, "SHARE", 3, raising=False)
+    looked, made, joined = [], search.Matcher.__init__, search.match_by_grams
+    monkeypatch.setattr(search.Matcher, "__init__", lambda self, rows, *a: looked.append(len(rows)) or made(self, rows, *a))
+    monkeypatch.setattr(search, "match_by_grams", lambda corpus, asked, *a: looked.append(asked.filter("variant <> ''").count()) or joined(corpus, asked, *a))
+    for any_token, test in ((False, all), (True, any)):
+        want = Counter((q, i) for q, ts in queries for i, h in texts if h is not None and test(any(w and w in h for w in ws) for ws in ts))
+        assert Counter((r["q"], r["id"]) for r in search.match_queries(c, v, any_token).collect()) == want and want[None, None] == 1
+    assert looked == [7, 7]  # variants of five sets of tokens, however many queries; "zeta" is one of them
+
+
+def test_queries_of_a_share_stand_together_in_the_result():
+    found = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([i % 3 for i in range(3000)], pa.int64())], ["id", "q"])
+    out = list(search._by_share(found, {0: 1, 1: 200, 2: 7}))
+    assert max(b.num_rows for b in out) <= search.PAIRS_AT_ONCE and len(out) == 3
+    got = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [(i, k, s) for k, n in enumerate((1, 200, 7)) for s in range(n) for i in range(k, 3000, 3)]
+    assert list(search._by_share(found.slice(0, 0), {})) == []
